@@ -16,6 +16,7 @@ from ..functions.hashing import row_hash_column
 from ..functions.names import ident, idents, require_columns
 from ..functions.predicates import condition
 from ..functions.types import canon, convert
+from ..sources.sinks import write_staging
 
 # ---------------------------------------------------------------- helpers
 
@@ -121,9 +122,8 @@ def _exact_sample(df: DataFrame, fraction: float, seed: int, columns: Sequence[s
     #   1) 65,536 buckets on the first 16 bits of the hash (bounded -> broadcast),
     #   2) 65,536 buckets on the next 16 bits, inside the one edge bucket,
     #   3) distinct full hashes inside the one edge (b1, b2) bucket.
-    # Rows with one equal hash are equal on the hashed columns; the few needed
-    # from that last group are taken by per-input-partition quotas, so no task
-    # ever holds a large group.
+    # Each pass reads only the hashed columns and the rows of the edge bucket,
+    # and no task ever holds a large group.
     cols = idents(columns) if columns else list(df.columns)
     require_columns(df, cols)
     base = df.columns
@@ -150,11 +150,15 @@ def _exact_sample(df: DataFrame, fraction: float, seed: int, columns: Sequence[s
     h3 = _cumulative(h3, "_tw_h", "_tw_c3", F.max("_tw_n2").over(Window.partitionBy()), "_tw_3")
     x3 = edge2.join(h3.select("_tw_h", "_tw_3_state", "_tw_3_need"), "_tw_h")
     take3 = x3.filter(F.col("_tw_3_state") == "in").select(*base)
-    edge3 = x3.filter(F.col("_tw_3_state") == "edge").withColumn("_tw_pid", F.spark_partition_id())
-
-    per_part = edge3.groupBy("_tw_pid").agg(F.count(F.lit(1)).alias("_tw_c4"), F.max("_tw_3_need").alias("_tw_n3"))
+    edge3 = x3.filter(F.col("_tw_3_state") == "edge").select(*base, "_tw_3_need")
+    # The last group holds rows equal on the hashed columns; its few needed
+    # rows are taken by per-partition quotas.  The group is written once to
+    # the shared scratch folder, so partition ids are data (file splits) and
+    # agree between the counting pass and the taking pass.
+    staged = write_staging(edge3).withColumn("_tw_pid", F.spark_partition_id())
+    per_part = staged.groupBy("_tw_pid").agg(F.count(F.lit(1)).alias("_tw_c4"), F.max("_tw_3_need").alias("_tw_n3"))
     per_part = _cumulative(per_part, "_tw_pid", "_tw_c4", F.max("_tw_n3").over(Window.partitionBy()), "_tw_4")
-    x4 = edge3.join(F.broadcast(per_part.select("_tw_pid", "_tw_4_need")), "_tw_pid")
+    x4 = staged.join(F.broadcast(per_part.select("_tw_pid", "_tw_4_need")), "_tw_pid")
     rn = F.row_number().over(Window.partitionBy("_tw_pid").orderBy(*[F.col(c).asc_nulls_first() for c in base]))
     take4 = x4.withColumn("_tw_rn", rn).filter(F.col("_tw_rn") <= F.col("_tw_4_need")).select(*base)
     return take1.unionByName(take2).unionByName(take3).unionByName(take4)
