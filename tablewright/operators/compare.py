@@ -28,7 +28,10 @@ def value_differs(left: Column, right: Column, tolerance: float | None, numeric:
     """True where the pair differs; both null -> equal; one null -> differs."""
     if tolerance and numeric:
         one_null = left.isNull() != right.isNull()
-        return one_null | F.coalesce(F.abs(left - right) > F.lit(float(tolerance)), F.lit(False))
+        # equal values (NaN = NaN included) never differ; Spark orders NaN
+        # above every number, so abs(NaN - NaN) > tol alone would say they do
+        far = F.coalesce(F.abs(left - right) > F.lit(float(tolerance)), F.lit(False))
+        return one_null | (far & ~left.eqNullSafe(right))
     return ~left.eqNullSafe(right)
 
 
