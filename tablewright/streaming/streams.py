@@ -20,19 +20,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.names import idents
 from ..operators.quality import quarantine
 from ..operators.rows import deduplicate
-from ..sources.sinks import new_scratch_path, upsert_path
+from ..sources.sinks import _fs, new_scratch_path, upsert_path
 
 
 def open_stream(spark: SparkSession, path: str, *, format: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+    """A file dataset as a stream.  A single file is opened as its folder
+    filtered to that file name (the stream source watches folders)."""
     schema = spark.read.format(format).load(path).schema
     reader = spark.readStream.format(format).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", p.getName()).load(p.getParent().toString())
     return reader.load(path)
 
 
@@ -97,4 +104,8 @@ def dedup_stream(stream: DataFrame, subset: Sequence[str], event_time: str, dela
     """Drop rows whose key was already seen, keeping state only as long as
     the watermark on ``event_time`` (``delay`` like ``"10 minutes"``) allows."""
     ks = idents(subset, what="subset")
+    if isinstance(stream.schema[event_time].dataType, T.TimestampNTZType):
+        # watermarks need TIMESTAMP; a zone-less time gets a session-zone copy
+        marked = stream.withColumn("_tw_event_time", F.col(event_time).cast("timestamp"))
+        return marked.withWatermark("_tw_event_time", delay).dropDuplicatesWithinWatermark(ks).drop("_tw_event_time")
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(ks)
