@@ -35,6 +35,17 @@ def value_differs(left: Column, right: Column, tolerance: float | None, numeric:
     return ~left.eqNullSafe(right)
 
 
+DUPLICATE_KEY_RULES = ("allow", "error")
+
+
+def check_unique_keys(df: DataFrame, keys: Sequence[str], where: str) -> None:
+    """Raise if any key occurs twice: one aggregate pass (partial counts per
+    map task first, so a hot key is pre-reduced), one row to the driver."""
+    dup = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"{where} has duplicate keys, e.g. {dict(dup[0].asDict())}")
+
+
 def _kernel(
     a: DataFrame,
     b: DataFrame,
@@ -44,11 +55,18 @@ def _kernel(
     suffix: str,
     labels: tuple[str, str, str, str],
     status_column: str,
+    on_duplicate_keys: str = "allow",
 ) -> DataFrame:
     ks = idents(keys, what="keys")
     cmp = idents(compare_columns or [], allow_empty=True)
     require_columns(a, ks + cmp, where="first input")
     require_columns(b, ks + cmp, where="second input")
+    if on_duplicate_keys not in DUPLICATE_KEY_RULES:
+        raise ValueError(f"on_duplicate_keys must be one of {DUPLICATE_KEY_RULES}")
+    if on_duplicate_keys == "error":
+        # duplicated keys multiply rows in the join; refuse them up front
+        check_unique_keys(a, ks, "first input")
+        check_unique_keys(b, ks, "second input")
     ident(status_column)
     kl = {k.lower() for k in ks}
     a_cols = [c for c in a.columns if c.lower() not in kl]
@@ -104,16 +122,16 @@ DELTA_LABELS = ("DELETE", "INSERT", "UPDATE", "UNCHANGED")
 SNAPSHOT_LABELS = ("REMOVED", "ADDED", "CHANGED", "UNCHANGED")
 
 
-def reconcile(src, tgt, keys, compare_columns=None, tolerance=None, *, status_column="recon_status"):
-    return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column)
+def reconcile(src, tgt, keys, compare_columns=None, tolerance=None, *, status_column="recon_status", on_duplicate_keys="allow"):
+    return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column, on_duplicate_keys)
 
 
-def delta(old, new, keys, compare_columns=None, tolerance=None, *, status_column="change_type"):
-    return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column)
+def delta(old, new, keys, compare_columns=None, tolerance=None, *, status_column="change_type", on_duplicate_keys="allow"):
+    return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column, on_duplicate_keys)
 
 
-def snapshot_diff(d1, d2, keys, compare_columns=None, tolerance=None, *, status_column="change_status"):
-    return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column)
+def snapshot_diff(d1, d2, keys, compare_columns=None, tolerance=None, *, status_column="change_status", on_duplicate_keys="allow"):
+    return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column, on_duplicate_keys)
 
 
 RULE_OPS = ("eq", "neq", "gt", "gte", "lt", "lte")

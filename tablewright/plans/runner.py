@@ -111,11 +111,11 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
     if a == "action-union":
         return setops.union(ins, c["type"], align_schema=c.get("align_schema", False))
     if a == "action-reconciliation":
-        return compare.reconcile(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "recon_status")
+        return compare.reconcile(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "recon_status", on_duplicate_keys=c.get("on_duplicate_keys", "allow"))
     if a == "action-delta-detection":
-        return compare.delta(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_type")
+        return compare.delta(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_type", on_duplicate_keys=c.get("on_duplicate_keys", "allow"))
     if a == "action-snapshot-diff":
-        return compare.snapshot_diff(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_status")
+        return compare.snapshot_diff(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_status", on_duplicate_keys=c.get("on_duplicate_keys", "allow"))
     if a == "action-exception-extract":
         return quality.exceptions(ins, c["condition"], c.get("output_mode", "exceptions_only"), flag=flag)
     if a == "action-cross-validate":

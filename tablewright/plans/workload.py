@@ -298,6 +298,35 @@ def q_agg_extended(spark, d):
     return out.withColumns({"qty_std": F.round("qty_std", 6), "qty_var": F.round("qty_var", 6)})
 
 
+@register(
+    "agg_moments",
+    """WITH s AS (SELECT l_returnflag, avg(l_quantity) AS mu, count(*) AS n FROM lineitem GROUP BY l_returnflag)
+       SELECT l.l_returnflag,
+              round(sqrt(any_value(s.n)) * sum(power(l.l_quantity - s.mu, 3)) / power(sum(power(l.l_quantity - s.mu, 2)), 1.5), 6) AS qty_skew,
+              round(any_value(s.n) * sum(power(l.l_quantity - s.mu, 4)) / power(sum(power(l.l_quantity - s.mu, 2)), 2) - 3, 6) AS qty_kurt
+       FROM lineitem l JOIN s ON l.l_returnflag = s.l_returnflag GROUP BY l.l_returnflag""",
+)
+def q_agg_moments(spark, d):
+    out = agg_ops.aggregate(
+        T(spark, d, "lineitem"),
+        ["l_returnflag"],
+        [{"column": "l_quantity", "agg": "skewness", "alias": "qty_skew"}, {"column": "l_quantity", "agg": "kurtosis", "alias": "qty_kurt"}],
+    )
+    return out.withColumns({"qty_skew": F.round("qty_skew", 6), "qty_kurt": F.round("qty_kurt", 6)})
+
+
+@register(
+    "agg_product",
+    "SELECT l_orderkey, product(l_linenumber) AS line_product, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey",
+)
+def q_agg_product(spark, d):
+    return agg_ops.aggregate(
+        T(spark, d, "lineitem"),
+        ["l_orderkey"],
+        [{"column": "l_linenumber", "agg": "product", "alias": "line_product"}, {"column": "l_linenumber", "agg": "len", "alias": "n_lines"}],
+    )
+
+
 @register(
     "agg_multi",
     """SELECT nation, round(sum(balance), 2) AS total_balance, count(key) AS n_accounts, max(balance) AS max_balance

@@ -41,3 +41,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def scale_conf(input_bytes: int, total_cores: int, *, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a large cluster run (apply with ``SparkSession.builder.config``).
+
+    Shuffle partitions: enough that one reducer's share stays near
+    ``target_partition_bytes`` (AQE coalesces small ones and splits skewed
+    ones at run time), and never fewer than twice the cores.  Scan splits of
+    256 MiB keep map tasks long enough to amortise start-up.
+    """
+    parts = max(2 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes * 2),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        # broadcast only what Spark measured to be small
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }

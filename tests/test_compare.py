@@ -91,3 +91,12 @@ def test_missing_compare_column_named(spark):
     b = spark.createDataFrame([(1,)], "k bigint")
     with pytest.raises(ValueError, match="second input is missing columns"):
         compare.reconcile(a, b, ["k"], ["v"])
+
+
+def test_duplicate_keys_rule(spark):
+    a = spark.createDataFrame([(1, 1), (1, 2)], "k bigint, v bigint")
+    b = spark.createDataFrame([(1, 1)], "k bigint, v bigint")
+    assert compare.reconcile(a, b, ["k"], ["v"]).count() == 2  # allowed: rows multiply
+    with pytest.raises(ValueError, match="duplicate keys"):
+        compare.reconcile(a, b, ["k"], ["v"], on_duplicate_keys="error")
+    assert compare.delta(b, b, ["k"], ["v"], on_duplicate_keys="error").count() == 1

@@ -95,3 +95,11 @@ def test_staging_cuts_lineage(spark):
     plan = _plan(staged)
     assert "Scan parquet" in plan and "Range" not in plan
     assert sinks.scratch_dir(spark) == spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def test_scale_conf():
+    from tablewright.session import scale_conf
+
+    conf = scale_conf(100 * (1 << 40), 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
