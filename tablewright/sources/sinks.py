@@ -81,8 +81,14 @@ def write(
     create_if_missing: bool = True,
     partition_by: Sequence[str] | None = None,
     options: Mapping[str, str] | None = None,
+    stage_jdbc: bool = True,
 ) -> WriteReport:
-    """Write ``df`` to exactly one target and report the rows written."""
+    """Write ``df`` to exactly one target and report the rows written.
+
+    File and table writes commit only when every task succeeded.  A JDBC
+    write commits per task, so by default the data is first written to the
+    shared scratch folder and copied from there (``stage_jdbc``).
+    """
     spark = df.sparkSession
     if mode not in WRITE_MODES:
         raise ValueError(f"write mode must be one of {WRITE_MODES}, not {mode!r}")
@@ -96,9 +102,15 @@ def write(
     if mode == "merge":
         keys = idents(merge_keys or [], what="merge_keys")
         require_columns(df, keys, where="merge input")
-        if path is None:
-            raise ValueError("merge on plain storage needs a path target (tables: use a catalog with MERGE INTO)")
-        return upsert_path(df, path, keys, format=format, partition_by=partition_by)
+        if path is not None:
+            return upsert_path(df, path, keys, format=format, partition_by=partition_by)
+        if table is not None:
+            return upsert_table(df, table, keys)
+        raise ValueError("merge needs a path or catalog table target")
+    if jdbc is not None and stage_jdbc:
+        # run the whole plan (and its in-plan checks) into the shared scratch
+        # folder first, so a failing job never leaves a partial database write
+        df = write_staging(df)
     obs = Observation(f"tw_write_{uuid.uuid4().hex[:8]}")
     counted = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     if jdbc is not None:
@@ -131,13 +143,7 @@ def upsert_path(
     """
     spark = df.sparkSession
     keys = list(keys)
-    dup = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    # a filter (not a dropped column) so the optimizer cannot prune the check
-    checked = (
-        df.withColumn("_tw_dup", dup)
-        .filter(F.when(F.col("_tw_dup") > 1, F.raise_error(F.lit("merge source has duplicate keys"))).otherwise(F.lit(True)))
-        .drop("_tw_dup")
-    )
+    checked = _dedup_check(df, keys)
     if path_exists(spark, path):
         target = spark.read.format(format).load(path)
         merged = target.join(checked.select(*keys), keys, "left_anti").unionByName(checked, allowMissingColumns=True)
@@ -165,6 +171,35 @@ def upsert_path(
     return WriteReport(path, "merge", int(obs.get.get("rows", 0)), list(merged.columns))
 
 
+def _dedup_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    dup = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    # a filter (not a dropped column) so the optimizer cannot prune the check
+    return (
+        df.withColumn("_tw_dup", dup)
+        .filter(F.when(F.col("_tw_dup") > 1, F.raise_error(F.lit("merge source has duplicate keys"))).otherwise(F.lit(True)))
+        .drop("_tw_dup")
+    )
+
+
+def upsert_table(df: DataFrame, table: str, keys: Sequence[str]) -> WriteReport:
+    """Keyed merge into a catalog table of any file format: the merged result
+    is staged in the shared scratch folder (cutting the read of the table out
+    of the lineage), then the table is overwritten from the staged copy."""
+    spark = df.sparkSession
+    keys = list(keys)
+    checked = _dedup_check(df, keys)
+    if spark.catalog.tableExists(table):
+        current = spark.table(table)
+        merged = current.join(checked.select(*keys), keys, "left_anti").unionByName(checked, allowMissingColumns=True)
+        merged = merged.select(*current.columns, *[c for c in merged.columns if c not in current.columns])
+    else:
+        merged = checked
+    staged = write_staging(merged)
+    obs = Observation(f"tw_merge_{uuid.uuid4().hex[:8]}")
+    staged.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").saveAsTable(table)
+    return WriteReport(table, "merge", int(obs.get.get("rows", 0)), list(merged.columns))
+
+
 def write_staging(df: DataFrame, path: str | None = None, mode: str = "overwrite", *, format: str = "parquet") -> DataFrame:
     """Write ``df`` and return a DataFrame reading the written copy: lineage is
     cut here and later steps (and retries after a lost executor) start from

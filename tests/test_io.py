@@ -103,3 +103,27 @@ def test_scale_conf():
     conf = scale_conf(100 * (1 << 40), 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_merge_into_catalog_table(spark):
+    spark.sql("DROP TABLE IF EXISTS tw_merge_t")
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    sinks.write(base, table="tw_merge_t", mode="overwrite")
+    upd = spark.createDataFrame([(2, "B"), (3, "C")], "k bigint, v string")
+    rep = sinks.write(upd, table="tw_merge_t", mode="merge", merge_keys=["k"])
+    assert rep.rows_written == 3
+    assert sorted(tuple(r) for r in spark.table("tw_merge_t").collect()) == [(1, "a"), (2, "B"), (3, "C")]
+    spark.sql("DROP TABLE tw_merge_t")
+
+
+def test_jdbc_non_null_violation_leaves_target_untouched(spark):
+    from tablewright.operators.mapping import map_target
+
+    url = "jdbc:derby:memory:twnn;create=true"
+    target = {"url": url, "table": "APP.NN", "properties": DERBY}
+    good = spark.createDataFrame([(1,), (2,)], "id bigint")
+    sinks.write(good, jdbc=target, mode="overwrite")
+    bad = map_target(spark.createDataFrame([(3,), (None,)], "id bigint"), [{"target_column": "id", "source_column": "id", "nullable": False}])
+    with pytest.raises(Exception, match="non-nullable"):
+        sinks.write(bad, jdbc=target, mode="append")
+    assert read_source(spark, jdbc=JdbcOptions(url=url, table="APP.NN", properties=DERBY)).count() == 2
