@@ -824,6 +824,80 @@ def q_unpivot(spark, d):
     return reshape.unpivot(T(spark, d, "part"), ["p_partkey"], ["p_size", "p_retailprice"])
 
 
+# ------------------------------------------------------------------ the other given tables
+
+
+@register(
+    "explode_embedding",
+    """SELECT e.vec_id, e.label, u.x AS embedding
+       FROM embeddings e LEFT JOIN LATERAL (SELECT unnest(e.embedding) AS x) u ON true""",
+)
+def q_explode_embedding(spark, d):
+    return reshape.explode(T(spark, d, "embeddings"), "embedding")
+
+
+@register(
+    "dedup_last_turn",
+    "SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC NULLS LAST, text DESC NULLS LAST) = 1",
+)
+def q_dedup_last_turn(spark, d):
+    return rows.deduplicate(T(spark, d, "conversations"), ["conv_id"], "last", order_by=["turn"])
+
+
+@register(
+    "anti_join_unlabeled",
+    "SELECT d.* FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+)
+def q_anti_unlabeled(spark, d):
+    return joins.anti_join(T(spark, d, "documents"), T(spark, d, "labels"), ["doc_id"])
+
+
+@register(
+    "row_hash_pages",
+    """SELECT page_id, url, sha256(concat_ws('|', CAST(page_id AS VARCHAR), coalesce(url, ''), coalesce(html, ''))) AS page_hash
+       FROM pages""",
+)
+def q_row_hash_pages(spark, d):
+    return rows.row_hash(T(spark, d, "pages"), ["page_id", "url", "html"], "page_hash").drop("html")
+
+
+@register(
+    "agg_documents",
+    """SELECT lang, count(doc_id) AS n_docs, sum(n_chars) AS total_chars, round(avg(n_chars), 6) AS mean_chars,
+              count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS n_sources,
+              max(length(text)) AS longest_text
+       FROM documents GROUP BY lang""",
+)
+def q_agg_documents(spark, d):
+    docs = T(spark, d, "documents").withColumn("text_length", F.length("text"))
+    out = agg_ops.aggregate(
+        docs,
+        ["lang"],
+        [
+            {"column": "doc_id", "agg": "count", "alias": "n_docs"},
+            {"column": "n_chars", "agg": "sum", "alias": "total_chars"},
+            {"column": "n_chars", "agg": "mean", "alias": "mean_chars"},
+            {"column": "source", "agg": "n_unique", "alias": "n_sources"},
+            {"column": "text_length", "agg": "max", "alias": "longest_text"},
+        ],
+    )
+    return out.withColumn("mean_chars", F.round("mean_chars", 6))
+
+
+@register(
+    "reconcile_labels",
+    """WITH l2 AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels)
+       SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, a.toxic, b.quality AS quality_new, b.toxic AS toxic_new,
+              CASE WHEN b.doc_id IS NULL THEN 'DELETE' WHEN a.doc_id IS NULL THEN 'INSERT'
+                   WHEN a.quality IS DISTINCT FROM b.quality OR a.toxic IS DISTINCT FROM b.toxic THEN 'UPDATE' ELSE 'UNCHANGED' END AS change_type
+       FROM labels a FULL JOIN l2 b ON a.doc_id = b.doc_id""",
+)
+def q_reconcile_labels(spark, d):
+    labels = T(spark, d, "labels")
+    relabeled = labels.withColumn("quality", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    return compare.delta(labels, relabeled, ["doc_id"], ["quality", "toxic"])
+
+
 # ------------------------------------------------------------------ sinks
 
 
