@@ -21,7 +21,7 @@ from ..operators import aggregate as agg_ops
 from ..operators import compare, joins, quality, reshape, rows, setops
 from ..operators.mapping import map_target
 from ..sources.readers import read_source
-from ..sources.sinks import WriteReport, new_scratch_path, write, write_quarantine, write_staging
+from ..sources.sinks import WriteReport, new_scratch_path, observed_rows, write, write_quarantine, write_staging
 from .spec import Spec, Step, parse_spec
 
 # actions after which a carried sort order still holds
@@ -52,7 +52,7 @@ class RunReport:
     columns: list[str]
     rows_written: int | None
     target: str | None
-    source_rows: dict[str, int]
+    source_rows: dict[str, int | None]
     side_writes: dict[str, int]
     plan_build_ms: dict[str, float]
     duration_s: float
@@ -186,11 +186,7 @@ def run(spark: SparkSession, spec: Spec | dict) -> RunReport:
         t = spec.target
         report = write(built.final, path=t.path, table=t.table, jdbc=t.jdbc, format=t.format, mode=t.write_mode,
                        merge_keys=t.merge_keys, create_if_missing=t.create_if_missing)
-    counts = {}
-    for name, obs in built.source_counts.items():
-        try:
-            counts[name] = int(obs.get.get("rows", 0)) if report is not None else -1
-        except Exception:
-            counts[name] = -1
+    # sources the written plan read report within moments of the write
+    counts = {name: observed_rows(obs, wait_s=5.0) for name, obs in built.source_counts.items()}
     return RunReport(spec.final, list(built.final.columns), report.rows_written if report else None,
                      report.target if report else None, counts, side, built.step_ms, time.perf_counter() - t0)

@@ -6,6 +6,7 @@ so no second pass over the data is needed for the report.
 """
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -23,10 +24,26 @@ WRITE_MODES = ("append", "overwrite", "merge")
 class WriteReport:
     target: str
     mode: str
-    rows_written: int
+    rows_written: int | None
     columns: list[str]
 
 
+def observed_rows(obs: Observation, wait_s: float = 30.0) -> int | None:
+    """Row count from an observation after its action ran.  The metrics
+    arrive through the listener bus shortly after the job ends, so this waits
+    up to ``wait_s``; ``None`` when the observed plan never ran (Catalyst may
+    fold a node away entirely), instead of blocking forever."""
+    jo = getattr(obs, "_jo", None)
+    if jo is None:
+        return None
+    deadline = time.monotonic() + wait_s
+    while not jo.future().isCompleted():
+        if time.monotonic() > deadline:
+            return None
+        time.sleep(0.02)
+    return int(obs.get.get("rows", 0))
+
+
 # ---------------------------------------------------------------- paths
 
 
@@ -127,7 +144,7 @@ def write(
             w.saveAsTable(table)
         else:
             w.save(path)
-    return WriteReport(name, mode, int(obs.get.get("rows", 0)), list(df.columns))
+    return WriteReport(name, mode, observed_rows(obs), list(df.columns))
 
 
 def upsert_path(
@@ -168,7 +185,7 @@ def upsert_path(
         raise RuntimeError(f"could not move merged data into {path}")
     if old is not None:
         fs.delete(old, True)
-    return WriteReport(path, "merge", int(obs.get.get("rows", 0)), list(merged.columns))
+    return WriteReport(path, "merge", observed_rows(obs), list(merged.columns))
 
 
 def _dedup_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -197,7 +214,7 @@ def upsert_table(df: DataFrame, table: str, keys: Sequence[str]) -> WriteReport:
     staged = write_staging(merged)
     obs = Observation(f"tw_merge_{uuid.uuid4().hex[:8]}")
     staged.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").saveAsTable(table)
-    return WriteReport(table, "merge", int(obs.get.get("rows", 0)), list(merged.columns))
+    return WriteReport(table, "merge", observed_rows(obs), list(merged.columns))
 
 
 def write_staging(df: DataFrame, path: str | None = None, mode: str = "overwrite", *, format: str = "parquet") -> DataFrame:
