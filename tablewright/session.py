@@ -22,7 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("TW_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("TW_DRIVER_MEMORY") or _driver_memory())
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.warehouse.dir", os.environ.get("TW_WAREHOUSE_DIR") or tempfile.mkdtemp(prefix="tw-warehouse-"))
     )
@@ -32,6 +32,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _driver_memory() -> str:
+    """Half the machine's memory, capped at 8 GiB (local mode runs
+    everything inside the driver JVM)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(8, total // 2 // (1 << 30)))}g"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use ``spark.checkpoint.dir`` when the cluster names it; only when it is
     unset (local runs, tests) make a fresh local folder."""
