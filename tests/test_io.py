@@ -127,3 +127,11 @@ def test_jdbc_non_null_violation_leaves_target_untouched(spark):
     with pytest.raises(Exception, match="non-nullable"):
         sinks.write(bad, jdbc=target, mode="append")
     assert read_source(spark, jdbc=JdbcOptions(url=url, table="APP.NN", properties=DERBY)).count() == 2
+
+
+def test_catalog_table_source(spark):
+    spark.sql("DROP TABLE IF EXISTS tw_src_t")
+    spark.range(10).withColumn("g", F.col("id") % 2).write.saveAsTable("tw_src_t")
+    df = read_source(spark, table="tw_src_t", columns=["id"], filters=[{"column": "g", "op": "eq", "value": 1}])
+    assert sorted(r.id for r in df.collect()) == [1, 3, 5, 7, 9]
+    spark.sql("DROP TABLE tw_src_t")

@@ -134,3 +134,16 @@ def test_mapping_cast_strict(spark):
     out = mapping.map_target(df, [{"target_column": "n", "operation": {"type": "cast", "columns": ["v"], "data_type": "integer"}}])
     with pytest.raises(Exception):
         out.collect()
+
+
+def test_all_literal_mapping_one_row_per_input(spark):  # N18
+    df = spark.range(4)
+    out = mapping.map_target(df, [{"target_column": "a", "literal": 1}, {"target_column": "b", "literal": "x"}])
+    assert out.count() == 4
+
+
+def test_integer_overflow_raises(spark):  # N9
+    df = spark.createDataFrame([(9223372036854775807, 1)], "a bigint, b bigint")
+    out = mapping.map_target(df, [{"target_column": "s", "operation": {"type": "add", "columns": ["a", "b"]}}])
+    with pytest.raises(Exception, match="overflow|ARITHMETIC"):
+        out.collect()
