@@ -97,8 +97,11 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
         target = step.output.target_column if step.output and step.output.target_column else c["target_column"]
         return rows.row_hash(x, c["columns"], target, c.get("algo", "sha256"))
     if a == "action-write-staging":
-        path = c.get("path") or new_scratch_path(x.sparkSession, f"staging-{c['table']}")
-        return write_staging(x, path, c.get("mode", "overwrite"))
+        if c.get("path") or not c.get("schema"):
+            path = c.get("path") or new_scratch_path(x.sparkSession, f"staging-{c['table']}")
+            return write_staging(x, path, c.get("mode", "overwrite"))
+        # schema + table name a catalog table
+        return write_staging(x, mode=c.get("mode", "overwrite"), table=f"{c['schema']}.{c['table']}")
     if a == "action-error-quarantine":
         valid, rejected = quality.quarantine(x, c["error_column"], c.get("include_valid_output", True))
         target = {"path": c["path"]} if c.get("path") else {"table": ".".join(p for p in (c.get("schema"), c["table"]) if p)}

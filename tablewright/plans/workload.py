@@ -920,6 +920,46 @@ def q_staging(spark, d):
     return rows.filter_rows(staged, {"column": "o_orderstatus", "op": "eq", "value": "F"})
 
 
+# ------------------------------------------------------------------ streaming
+
+
+@register(
+    "stream_quarantine_rejected",
+    "SELECT *, 'PENDING' AS error FROM orders WHERE o_orderstatus = 'P'",
+)
+def q_stream_quarantine(spark, d):
+    """orders replayed as a file stream; each micro-batch split into valid and
+    rejected rows (two sinks); the rejected side is read back."""
+    from ..streaming.streams import open_stream, quarantine_stream
+
+    base = new_scratch_path(spark, "stream-quarantine")
+    src = open_stream(spark, f"{d}/orders.parquet").withColumn(
+        "error", F.when(F.col("o_orderstatus") == "P", F.lit("PENDING"))
+    )
+    q = quarantine_stream(src, "error", f"{base}/valid", f"{base}/rejected", checkpoint=f"{base}/_checkpoint", trigger_once=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/rejected").drop("batch_id")
+
+
+@register(
+    "stream_upsert",
+    with_cte(V.ORDERS_TGT_SQL)
+    + "SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_tgt) UNION ALL SELECT * FROM orders_tgt",
+)
+def q_stream_upsert(spark, d):
+    """orders_tgt arrives as a stream and is merged into a copy of orders per
+    micro-batch (keyed upsert on o_orderkey)."""
+    from ..streaming.streams import open_stream, upsert_stream
+
+    base = new_scratch_path(spark, "stream-upsert")
+    orders = T(spark, d, "orders")
+    orders.write.parquet(f"{base}/target")
+    V.orders_tgt(orders).write.parquet(f"{base}/inbox")
+    q = upsert_stream(open_stream(spark, f"{base}/inbox"), f"{base}/target", ["o_orderkey"], checkpoint=f"{base}/_checkpoint", trigger_once=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/target")
+
+
 # ------------------------------------------------------------------ whole request (flagship)
 
 

@@ -217,14 +217,19 @@ def upsert_table(df: DataFrame, table: str, keys: Sequence[str]) -> WriteReport:
     return WriteReport(table, "merge", observed_rows(obs), list(merged.columns))
 
 
-def write_staging(df: DataFrame, path: str | None = None, mode: str = "overwrite", *, format: str = "parquet") -> DataFrame:
+def write_staging(
+    df: DataFrame, path: str | None = None, mode: str = "overwrite", *, format: str = "parquet", table: str | None = None
+) -> DataFrame:
     """Write ``df`` and return a DataFrame reading the written copy: lineage is
     cut here and later steps (and retries after a lost executor) start from
-    the files.  Default location: a fresh folder under the shared
-    ``spark.checkpoint.dir``."""
+    the files.  Target: ``path``, or a catalog ``table``, or by default a
+    fresh folder under the shared ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     if mode not in ("overwrite", "append"):
         raise ValueError("staging mode must be overwrite or append")
+    if table is not None and path is None:
+        df.write.mode(mode).format(format).saveAsTable(table)
+        return spark.table(table)
     target = path or new_scratch_path(spark, "staging")
     df.write.mode(mode).format(format).save(target)
     return spark.read.format(format).load(target)

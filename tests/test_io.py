@@ -135,3 +135,12 @@ def test_catalog_table_source(spark):
     df = read_source(spark, table="tw_src_t", columns=["id"], filters=[{"column": "g", "op": "eq", "value": 1}])
     assert sorted(r.id for r in df.collect()) == [1, 3, 5, 7, 9]
     spark.sql("DROP TABLE tw_src_t")
+
+
+def test_staging_to_catalog_table(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS tw_stage")
+    out = sinks.write_staging(spark.range(6), table="tw_stage.t1")
+    assert out.count() == 6 and spark.catalog.tableExists("tw_stage.t1")
+    out = sinks.write_staging(spark.range(2), mode="append", table="tw_stage.t1")
+    assert out.count() == 8
+    spark.sql("DROP DATABASE tw_stage CASCADE")
