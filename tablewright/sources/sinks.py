@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import idents, require_columns
@@ -156,7 +156,7 @@ def upsert_path(
     The merged result goes to a new sibling folder, then the folders are
     swapped by rename, so readers never see a half-written target and the
     plan never overwrites a path it is reading.  Keys in ``df`` must be
-    unique; a duplicate aborts the job inside the plan.
+    unique; a duplicate is refused before anything is written.
     """
     spark = df.sparkSession
     keys = list(keys)
@@ -189,13 +189,14 @@ def upsert_path(
 
 
 def _dedup_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    dup = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    # a filter (not a dropped column) so the optimizer cannot prune the check
-    return (
-        df.withColumn("_tw_dup", dup)
-        .filter(F.when(F.col("_tw_dup") > 1, F.raise_error(F.lit("merge source has duplicate keys"))).otherwise(F.lit(True)))
-        .drop("_tw_dup")
-    )
+    """Refuse a merge source with a repeated key (the merge would be
+    ambiguous).  One aggregate over the key columns only, counted partially
+    on every map task, so a hot key costs one row per task; at most one row
+    reaches the driver."""
+    dup = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"merge source has duplicate keys, e.g. {dup[0].asDict()}")
+    return df
 
 
 def upsert_table(df: DataFrame, table: str, keys: Sequence[str]) -> WriteReport:
