@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Type names accepted in configs and the Spark type each maps to.
-# ``decimal`` is exact here (the reference used a float for it); a
-# ``decimal(p,s)`` spelling is accepted as well.
+# ``decimal`` is exact here; a ``decimal(p,s)`` spelling is accepted as well.
 TYPE_NAMES = {
     "string": "string",
     "int": "bigint",
@@ -108,7 +107,10 @@ def convert(col: Column, type_name: str, fmt: str | None = None, strict: bool =
             return F.to_date(text, spark_pattern(fmt)) if strict else F.try_to_date(text, spark_pattern(fmt))
         if strict:
             return F.to_timestamp_ntz(text, pattern)
-        return F.try_to_timestamp(text, pattern).cast("timestamp_ntz")
+        # parse as zone-less directly (a session-zone round trip would move
+        # wall times that fall into a daylight-saving gap); the strict parser
+        # only runs where the lenient one succeeded, so it cannot raise
+        return F.when(F.try_to_timestamp(text, pattern).isNotNull(), F.to_timestamp_ntz(text, pattern))
     if fmt:
         raise ValueError(f"a format applies to date/datetime only, not {type_name!r}")
     return col.cast(target) if strict else col.try_cast(target)
@@ -119,10 +121,11 @@ def canon(col: Column, dtype: T.DataType, *, double_scale: int = 6) -> Column:
 
     integers / strings / booleans / dates / decimals: plain cast;
     floats: through ``decimal(38, double_scale)`` (avoids ``1.0E10`` forms);
+    NaN, infinities and values beyond that decimal keep Spark's own text;
     timestamps: ``yyyy-MM-dd HH:mm:ss.SSSSSS``.
     """
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return col.cast(f"decimal(38,{double_scale})").cast("string")
+        return F.coalesce(col.try_cast(f"decimal(38,{double_scale})").cast("string"), col.cast("string"))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
