@@ -1,4 +1,4 @@
-"""Comparisons: reference cases F18-F22 plus the null/tolerance matrix."""
+"""Comparisons: FIXTURES cases F18-F22 plus the null/tolerance matrix."""
 import pytest
 
 from tablewright.operators import compare

@@ -1,4 +1,4 @@
-"""Joins: reference cases F12, F14, F15, F29 plus the output contract, null
+"""Joins: FIXTURES cases F12, F14, F15, F29 plus the output contract, null
 keys, self joins and the as-of join against brute force."""
 import datetime as dt
 
