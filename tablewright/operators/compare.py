@@ -56,11 +56,17 @@ def _kernel(
     labels: tuple[str, str, str, str],
     status_column: str,
     on_duplicate_keys: str = "allow",
+    columns: str = "all",
 ) -> DataFrame:
     ks = idents(keys, what="keys")
     cmp = idents(compare_columns or [], allow_empty=True)
     require_columns(a, ks + cmp, where="first input")
     require_columns(b, ks + cmp, where="second input")
+    if columns not in ("all", "compared"):
+        raise ValueError("columns must be 'all' or 'compared'")
+    if columns == "compared":
+        # only keys and compared values cross the shuffle
+        a, b = a.select(*ks, *cmp), b.select(*ks, *cmp)
     if on_duplicate_keys not in DUPLICATE_KEY_RULES:
         raise ValueError(f"on_duplicate_keys must be one of {DUPLICATE_KEY_RULES}")
     if on_duplicate_keys == "error":
@@ -122,16 +128,16 @@ DELTA_LABELS = ("DELETE", "INSERT", "UPDATE", "UNCHANGED")
 SNAPSHOT_LABELS = ("REMOVED", "ADDED", "CHANGED", "UNCHANGED")
 
 
-def reconcile(src, tgt, keys, compare_columns=None, tolerance=None, *, status_column="recon_status", on_duplicate_keys="allow"):
-    return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column, on_duplicate_keys)
+def reconcile(src, tgt, keys, compare_columns=None, tolerance=None, *, status_column="recon_status", on_duplicate_keys="allow", columns="all"):
+    return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column, on_duplicate_keys, columns)
 
 
-def delta(old, new, keys, compare_columns=None, tolerance=None, *, status_column="change_type", on_duplicate_keys="allow"):
-    return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column, on_duplicate_keys)
+def delta(old, new, keys, compare_columns=None, tolerance=None, *, status_column="change_type", on_duplicate_keys="allow", columns="all"):
+    return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column, on_duplicate_keys, columns)
 
 
-def snapshot_diff(d1, d2, keys, compare_columns=None, tolerance=None, *, status_column="change_status", on_duplicate_keys="allow"):
-    return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column, on_duplicate_keys)
+def snapshot_diff(d1, d2, keys, compare_columns=None, tolerance=None, *, status_column="change_status", on_duplicate_keys="allow", columns="all"):
+    return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column, on_duplicate_keys, columns)
 
 
 RULE_OPS = ("eq", "neq", "gt", "gte", "lt", "lte")

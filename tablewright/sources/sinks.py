@@ -99,12 +99,18 @@ def write(
     partition_by: Sequence[str] | None = None,
     options: Mapping[str, str] | None = None,
     stage_jdbc: bool = True,
+    bucket_by: tuple[int, Sequence[str]] | None = None,
 ) -> WriteReport:
     """Write ``df`` to exactly one target and report the rows written.
 
     File and table writes commit only when every task succeeded.  A JDBC
     write commits per task, so by default the data is first written to the
     shared scratch folder and copied from there (``stage_jdbc``).
+
+    ``bucket_by=(n, keys)`` (catalog tables) stores the rows hash-bucketed
+    and sorted on ``keys``: later joins, comparisons and aggregations on those
+    keys between tables with the same bucket count read co-located data and
+    skip the shuffle.
     """
     spark = df.sparkSession
     if mode not in WRITE_MODES:
@@ -140,6 +146,11 @@ def write(
         w = counted.write.mode(mode).format(format).options(**dict(options or {}))
         if partition_by:
             w = w.partitionBy(*partition_by)
+        if bucket_by is not None:
+            if table is None:
+                raise ValueError("bucket_by needs a catalog table target")
+            n, bkeys = bucket_by
+            w = w.bucketBy(int(n), *bkeys).sortBy(*bkeys)
         if table is not None:
             w.saveAsTable(table)
         else:

@@ -100,3 +100,26 @@ def test_duplicate_keys_rule(spark):
     with pytest.raises(ValueError, match="duplicate keys"):
         compare.reconcile(a, b, ["k"], ["v"], on_duplicate_keys="error")
     assert compare.delta(b, b, ["k"], ["v"], on_duplicate_keys="error").count() == 1
+
+
+def test_compared_columns_only(spark):
+    a = spark.createDataFrame([(1, 1, "x")], "k bigint, v bigint, other string")
+    b = spark.createDataFrame([(1, 2, "y")], "k bigint, v bigint, other string")
+    out = compare.reconcile(a, b, ["k"], ["v"], columns="compared")
+    assert out.columns == ["k", "v", "v_tgt", "recon_status"] and out.first().recon_status == "MISMATCHED"
+
+
+def test_bucketed_tables_compare_without_shuffle(spark):
+    from tablewright.sources import sinks
+
+    for t in ("tw_b1", "tw_b2"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_totalprice")
+    sinks.write(o, table="tw_b1", mode="overwrite", bucket_by=(4, ["o_orderkey"]))
+    sinks.write(o.withColumn("o_totalprice", o.o_totalprice + 1), table="tw_b2", mode="overwrite", bucket_by=(4, ["o_orderkey"]))
+    out = compare.reconcile(spark.table("tw_b1"), spark.table("tw_b2"), ["o_orderkey"], ["o_totalprice"], 0.5)
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert out.filter("recon_status = 'MISMATCHED'").count() == o.count()
+    for t in ("tw_b1", "tw_b2"):
+        spark.sql(f"DROP TABLE {t}")
