@@ -114,11 +114,11 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
     if a == "action-union":
         return setops.union(ins, c["type"], align_schema=c.get("align_schema", False))
     if a == "action-reconciliation":
-        return compare.reconcile(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "recon_status", on_duplicate_keys=c.get("on_duplicate_keys", "allow"))
+        return compare.reconcile(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "recon_status", on_duplicate_keys=c.get("on_duplicate_keys", "allow"), columns=c.get("columns", "all"))
     if a == "action-delta-detection":
-        return compare.delta(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_type", on_duplicate_keys=c.get("on_duplicate_keys", "allow"))
+        return compare.delta(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_type", on_duplicate_keys=c.get("on_duplicate_keys", "allow"), columns=c.get("columns", "all"))
     if a == "action-snapshot-diff":
-        return compare.snapshot_diff(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_status", on_duplicate_keys=c.get("on_duplicate_keys", "allow"))
+        return compare.snapshot_diff(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_status", on_duplicate_keys=c.get("on_duplicate_keys", "allow"), columns=c.get("columns", "all"))
     if a == "action-exception-extract":
         return quality.exceptions(ins, c["condition"], c.get("output_mode", "exceptions_only"), flag=flag)
     if a == "action-cross-validate":
@@ -188,7 +188,8 @@ def run(spark: SparkSession, spec: Spec | dict) -> RunReport:
     if spec.target is not None:
         t = spec.target
         report = write(built.final, path=t.path, table=t.table, jdbc=t.jdbc, format=t.format, mode=t.write_mode,
-                       merge_keys=t.merge_keys, create_if_missing=t.create_if_missing)
+                       merge_keys=t.merge_keys, create_if_missing=t.create_if_missing,
+                       bucket_by=(t.bucket_by[0], t.bucket_by[1]) if t.bucket_by else None)
     # sources the written plan read report within moments of the write
     counts = {name: observed_rows(obs, wait_s=5.0) for name, obs in built.source_counts.items()}
     return RunReport(spec.final, list(built.final.columns), report.rows_written if report else None,

@@ -76,14 +76,14 @@ CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
     "action-handle-drift": ({"mode", "expected_schema"}, {"default_value"}, 1),
     "action-merge-join": ({"type", "on"}, {"suffix"}, 2),
     "action-union": ({"type"}, {"align_schema"}, "2+"),
-    "action-reconciliation": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys"}, 2),
-    "action-delta-detection": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys"}, 2),
+    "action-reconciliation": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
+    "action-delta-detection": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
     "action-exception-extract": ({"condition"}, {"output_mode"}, "1+"),
     "action-cross-validate": ({"keys", "rules"}, set(), 2),
     "action-aggregate-multi": ({"union_type", "group_by", "metrics"}, {"order_by", "align_schema"}, "2+"),
     "action-rolling-join": ({"on"}, {"right_on", "by", "strategy", "tolerance", "suffix", "bucket_width"}, 2),
     "action-anti-join": ({"on"}, set(), 2),
-    "action-snapshot-diff": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys"}, 2),
+    "action-snapshot-diff": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
 }
 
 
@@ -136,6 +136,7 @@ class Target:
     merge_keys: list[str] | None = None
     create_if_missing: bool = True
     column_mappings: list[dict] | None = None
+    bucket_by: list | None = None  # [n, [keys]] for catalog tables
 
 
 @dataclass
@@ -228,7 +229,7 @@ def parse_spec(d: dict) -> Spec:
     target = None
     if d.get("target") is not None:
         t = d["target"]
-        _fields(t, {"path", "table", "jdbc", "format", "write_mode", "merge_keys", "create_if_missing", "column_mappings"}, "target")
+        _fields(t, {"path", "table", "jdbc", "format", "write_mode", "merge_keys", "create_if_missing", "column_mappings", "bucket_by"}, "target")
         target = Target(**t)
         if target.write_mode not in ("append", "overwrite", "merge"):
             raise ValueError(f"write_mode must be append, overwrite or merge, not {target.write_mode!r}")
