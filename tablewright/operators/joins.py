@@ -279,18 +279,23 @@ def asof_join(
     null_r, null_l = F.lit(None).cast(rtype), F.lit(None).cast(ltype)
     # side: 0 carried-in row from earlier buckets, 1 right row, 2 left row,
     # 3 carried-in row from later buckets
-    rows = [
-        L_ok.select(*part, "_tw_t", F.lit(2).alias("_tw_s"), "_tw_l", null_r.alias("_tw_r")),
-        R.select(*part, "_tw_t", F.lit(1).alias("_tw_s"), null_l.alias("_tw_l"), "_tw_r"),
-    ]
+    # both carried rows of a bucket come out of one pass over the bucket
+    # table (one explode), so the summary is planned and shuffled once
+    carried = []
     if want_b:
-        rows.append(carry.filter(F.col("_tw_cb").isNotNull()).select(
-            *part, (F.col("_tw_b") * F.lit(width)).alias("_tw_t"), F.lit(0).alias("_tw_s"), null_l.alias("_tw_l"), F.col("_tw_cb").alias("_tw_r")
-        ))
+        carried.append(F.struct((F.col("_tw_b") * F.lit(width)).cast("double").alias("t"), F.lit(0).alias("s"), F.col("_tw_cb").alias("r")))
     if want_f:
-        rows.append(carry.filter(F.col("_tw_cf").isNotNull()).select(
-            *part, ((F.col("_tw_b") + 1) * F.lit(width)).alias("_tw_t"), F.lit(3).alias("_tw_s"), null_l.alias("_tw_l"), F.col("_tw_cf").alias("_tw_r")
-        ))
+        carried.append(F.struct(((F.col("_tw_b") + 1) * F.lit(width)).cast("double").alias("t"), F.lit(3).alias("s"), F.col("_tw_cf").alias("r")))
+    carry_rows = (
+        carry.select(*part, F.explode(F.array(*carried)).alias("_tw_c"))
+        .filter(F.col("_tw_c.r").isNotNull())
+        .select(*part, F.col("_tw_c.t").alias("_tw_t"), F.col("_tw_c.s").alias("_tw_s"), null_l.alias("_tw_l"), F.col("_tw_c.r").alias("_tw_r"))
+    )
+    rows = [
+        L_ok.select(*part, F.col("_tw_t").cast("double").alias("_tw_t"), F.lit(2).alias("_tw_s"), "_tw_l", null_r.alias("_tw_r")),
+        R.select(*part, F.col("_tw_t").cast("double").alias("_tw_t"), F.lit(1).alias("_tw_s"), null_l.alias("_tw_l"), "_tw_r"),
+        carry_rows,
+    ]
     u = reduce(lambda a, b: a.unionByName(b), rows)
     out = u
     if want_b:
