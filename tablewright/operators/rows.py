@@ -118,12 +118,17 @@ def _cumulative(hist: DataFrame, order: str, count: str, need: Column, prefix: s
 
 
 def _exact_sample(df: DataFrame, fraction: float, seed: int, columns: Sequence[str] | None) -> DataFrame:
-    # Three histogram passes narrow the cut to rows sharing one full hash:
-    #   1) 65,536 buckets on the first 16 bits of the hash (bounded -> broadcast),
+    # The cut is found with three small histograms, each written to the shared
+    # scratch folder as soon as it is known:
+    #   1) 65,536 buckets on the first 16 bits of the hash,
     #   2) 65,536 buckets on the next 16 bits, inside the one edge bucket,
     #   3) distinct full hashes inside the one edge (b1, b2) bucket.
-    # Each pass reads only the hashed columns and the rows of the edge bucket,
-    # and no task ever holds a large group.
+    # These passes read only the hashed columns.  The returned plan is one pass
+    # over the input joined with the written histograms (the first two hold
+    # at most 65,536 rows and are broadcast).  Rows tied on the hash at the
+    # cut are equal on the hashed columns; only when such a tie exists is that
+    # group written once more and split by per-partition quotas, so no task
+    # ever holds a large group.
     cols = idents(columns) if columns else list(df.columns)
     require_columns(df, cols)
     base = df.columns
@@ -132,36 +137,44 @@ def _exact_sample(df: DataFrame, fraction: float, seed: int, columns: Sequence[s
         .withColumn("_tw_b1", F.substring("_tw_h", 1, 4))
         .withColumn("_tw_b2", F.substring("_tw_h", 5, 4))
     )
-    frac = F.lit(fraction)
-    h1 = x.groupBy("_tw_b1").agg(F.count(F.lit(1)).alias("_tw_c1"))
-    total = F.sum("_tw_c1").over(Window.partitionBy())
-    h1 = _cumulative(h1, "_tw_b1", "_tw_c1", F.floor(total * frac), "_tw_1")
-    x1 = x.join(F.broadcast(h1.select("_tw_b1", "_tw_1_state", "_tw_1_need")), "_tw_b1")
-    take1 = x1.filter(F.col("_tw_1_state") == "in").select(*base)
-    edge1 = x1.filter(F.col("_tw_1_state") == "edge")
-
-    h2 = edge1.groupBy("_tw_b2").agg(F.count(F.lit(1)).alias("_tw_c2"), F.max("_tw_1_need").alias("_tw_n1"))
-    h2 = _cumulative(h2, "_tw_b2", "_tw_c2", F.max("_tw_n1").over(Window.partitionBy()), "_tw_2")
-    x2 = edge1.join(F.broadcast(h2.select("_tw_b2", "_tw_2_state", "_tw_2_need")), "_tw_b2")
-    take2 = x2.filter(F.col("_tw_2_state") == "in").select(*base)
-    edge2 = x2.filter(F.col("_tw_2_state") == "edge")
-
-    h3 = edge2.groupBy("_tw_h").agg(F.count(F.lit(1)).alias("_tw_c3"), F.max("_tw_2_need").alias("_tw_n2"))
-    h3 = _cumulative(h3, "_tw_h", "_tw_c3", F.max("_tw_n2").over(Window.partitionBy()), "_tw_3")
-    x3 = edge2.join(h3.select("_tw_h", "_tw_3_state", "_tw_3_need"), "_tw_h")
-    take3 = x3.filter(F.col("_tw_3_state") == "in").select(*base)
-    edge3 = x3.filter(F.col("_tw_3_state") == "edge").select(*base, "_tw_3_need")
-    # The last group holds rows equal on the hashed columns; its few needed
-    # rows are taken by per-partition quotas.  The group is written once to
-    # the shared scratch folder, so partition ids are data (file splits) and
-    # agree between the counting pass and the taking pass.
-    staged = write_staging(edge3).withColumn("_tw_pid", F.spark_partition_id())
+    keys = x.select("_tw_h", "_tw_b1", "_tw_b2")
+    everyone = Window.partitionBy()  # over a bounded histogram only
+
+    h1 = keys.groupBy("_tw_b1").agg(F.count(F.lit(1)).alias("_tw_c1"))
+    h1 = _cumulative(h1, "_tw_b1", "_tw_c1", F.floor(F.sum("_tw_c1").over(everyone) * F.lit(fraction)), "_tw_1")
+    h1 = write_staging(h1.select("_tw_b1", "_tw_1_state", "_tw_1_need"))
+    edge1 = F.broadcast(h1.filter(F.col("_tw_1_state") == "edge"))
+
+    e1 = keys.join(edge1, "_tw_b1")
+    h2 = e1.groupBy("_tw_b2").agg(F.count(F.lit(1)).alias("_tw_c2"), F.max("_tw_1_need").alias("_tw_n1"))
+    h2 = _cumulative(h2, "_tw_b2", "_tw_c2", F.max("_tw_n1").over(everyone), "_tw_2")
+    h2 = write_staging(h2.select("_tw_b2", "_tw_2_state", "_tw_2_need"))
+    edge2 = F.broadcast(h2.filter(F.col("_tw_2_state") == "edge"))
+
+    e2 = e1.join(edge2, "_tw_b2")
+    h3 = e2.groupBy("_tw_h").agg(F.count(F.lit(1)).alias("_tw_c3"), F.max("_tw_2_need").alias("_tw_n2"))
+    h3 = _cumulative(h3, "_tw_h", "_tw_c3", F.max("_tw_n2").over(everyone), "_tw_3")
+    h3 = write_staging(h3.select("_tw_h", "_tw_3_state", "_tw_3_need"))
+
+    y1 = x.join(F.broadcast(h1), "_tw_b1")
+    take1 = y1.filter(F.col("_tw_1_state") == "in").select(*base)
+    y2 = y1.filter(F.col("_tw_1_state") == "edge").join(F.broadcast(h2), "_tw_b2")
+    take2 = y2.filter(F.col("_tw_2_state") == "in").select(*base)
+    y3 = y2.filter(F.col("_tw_2_state") == "edge").join(h3, "_tw_h")
+    take3 = y3.filter(F.col("_tw_3_state") == "in").select(*base)
+    out = take1.unionByName(take2).unionByName(take3)
+    if h3.filter(F.col("_tw_3_state") == "edge").limit(1).count() == 0:
+        return out
+    # A tie at the cut: its rows are written once, so partition ids are data
+    # (file splits) and agree between the counting pass and the taking pass.
+    staged = write_staging(y3.filter(F.col("_tw_3_state") == "edge").select(*base, "_tw_3_need"))
+    staged = staged.withColumn("_tw_pid", F.spark_partition_id())
     per_part = staged.groupBy("_tw_pid").agg(F.count(F.lit(1)).alias("_tw_c4"), F.max("_tw_3_need").alias("_tw_n3"))
-    per_part = _cumulative(per_part, "_tw_pid", "_tw_c4", F.max("_tw_n3").over(Window.partitionBy()), "_tw_4")
+    per_part = _cumulative(per_part, "_tw_pid", "_tw_c4", F.max("_tw_n3").over(everyone), "_tw_4")
     x4 = staged.join(F.broadcast(per_part.select("_tw_pid", "_tw_4_need")), "_tw_pid")
     rn = F.row_number().over(Window.partitionBy("_tw_pid").orderBy(*[F.col(c).asc_nulls_first() for c in base]))
     take4 = x4.withColumn("_tw_rn", rn).filter(F.col("_tw_rn") <= F.col("_tw_4_need")).select(*base)
-    return take1.unionByName(take2).unionByName(take3).unionByName(take4)
+    return out.unionByName(take4)
 
 
 # ---------------------------------------------------------------- de-duplicate
