@@ -151,7 +151,7 @@ def build(spark: SparkSession, spec: Spec | dict, *, count_sources: bool = True)
     for s in spec.sources:
         df = read_source(spark, path=s.path, format=s.format, table=s.table, jdbc=s.jdbc, columns=s.columns,
                          filters=s.filters, limit=spec.options.max_rows_per_source, options=s.options)
-        if count_sources and s.name in reach:
+        if count_sources and spec.options.collect_metrics and s.name in reach:
             obs = Observation(f"tw_src_{s.name}")
             df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
             built.source_counts[s.name] = obs

@@ -12,6 +12,7 @@ from typing import Any
 
 from ..functions.names import ident
 from ..operators.mapping import validate_mappings
+from .request import normalize_request
 
 # The action names of the request contract.
 ACTIONS = (
@@ -205,6 +206,9 @@ def parse_step(d: dict) -> Step:
 
 
 def parse_spec(d: dict) -> Spec:
+    """Validate a whole request (flat form, or the database-request form
+    rewritten by ``request.normalize_request``)."""
+    d = normalize_request(d)
     _fields(d, {"version", "sources", "actions", "target", "options"}, "request")
     if str(d.get("version", "1.0")) != "1.0":
         raise ValueError("version must be '1.0'")
@@ -245,8 +249,16 @@ def parse_spec(d: dict) -> Spec:
                     raise ValueError(f"merge_keys must be mapped target columns: {bad}")
     opts = Options()
     if d.get("options") is not None:
-        _fields(d["options"], {"final_dataset", "max_rows_per_source", "collect_metrics"}, "options")
-        opts = Options(**d["options"])
+        o = dict(d["options"])
+        _fields(o, {"final_dataset", "max_rows_per_source", "collect_metrics", "parallel_load", "include_action_audit", "fail_mode"}, "options")
+        # accepted for compatibility: sources are lazy and Spark schedules the
+        # scans (parallel_load); plan-build times are always reported
+        # (include_action_audit); fail_mode had no defined meaning
+        if o.get("fail_mode", "fail_fast") not in ("fail_fast", "tolerant"):
+            raise ValueError("fail_mode must be 'fail_fast' or 'tolerant'")
+        for k in ("parallel_load", "include_action_audit", "fail_mode"):
+            o.pop(k, None)
+        opts = Options(**o)
     spec = Spec(sources, steps, target, opts)
     if spec.final not in known:
         raise ValueError(f"final_dataset {spec.final!r} is not defined")
