@@ -64,6 +64,9 @@ def _kernel(
     require_columns(b, ks + cmp, where="second input")
     if columns not in ("all", "compared"):
         raise ValueError("columns must be 'all' or 'compared'")
+    both = {k.lower() for k in ks} & {c.lower() for c in cmp}
+    if both:
+        raise ValueError(f"keys cannot be compare columns: {sorted(both)}")
     if columns == "compared":
         # only keys and compared values cross the shuffle
         a, b = a.select(*ks, *cmp), b.select(*ks, *cmp)

@@ -23,15 +23,29 @@ def missing_columns(df: DataFrame, expected: Mapping[str, str] | Sequence[str])
     return [c for c in expected if c.lower() not in have]
 
 
+# Which Spark types satisfy each declared type family.
+_FAMILIES = {
+    "string": (T.StringType,),
+    "bigint": (T.IntegralType,),
+    "double": (T.FloatType, T.DoubleType),
+    "boolean": (T.BooleanType,),
+    "date": (T.DateType,),
+    "timestamp_ntz": (T.TimestampNTZType, T.TimestampType),
+}
+
+
 def type_mismatches(df: DataFrame, expected: Mapping[str, str]) -> list[str]:
+    """Declared type families not met: integer = any integral type, float =
+    float or double, decimal = any decimal, datetime = either timestamp."""
     out = []
     for name, tname in expected.items():
         if name.lower() not in {c.lower() for c in df.columns}:
             continue
-        want = T._parse_datatype_string(spark_type(tname))
+        want = spark_type(tname)
         got = field_type(df, name)
-        if type(got) is not type(want) and not (isinstance(got, T.DecimalType) and isinstance(want, T.DecimalType)):
-            out.append(f"{name}:{got.simpleString()}!={want.simpleString()}")
+        ok = isinstance(got, T.DecimalType) if want.startswith("decimal") else isinstance(got, _FAMILIES[want])
+        if not ok:
+            out.append(f"{name}:{got.simpleString()}!={tname}")
     return out
 
 

@@ -123,3 +123,9 @@ def test_bucketed_tables_compare_without_shuffle(spark):
     assert out.filter("recon_status = 'MISMATCHED'").count() == o.count()
     for t in ("tw_b1", "tw_b2"):
         spark.sql(f"DROP TABLE {t}")
+
+
+def test_key_as_compare_column_refused(spark):
+    a = spark.createDataFrame([(1, 1)], "k bigint, v bigint")
+    with pytest.raises(ValueError, match="keys cannot"):
+        compare.reconcile(a, a, ["k"], ["k"])
