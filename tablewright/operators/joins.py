@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import field_type, ident, idents, require_columns
+from ..functions.sizing import maybe_broadcast
 
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "semi": "left_semi"}
 
@@ -79,8 +80,13 @@ def merge_join(
     suffix: str = "_right",
     *,
     null_safe: bool = False,
+    broadcast_max_bytes: int | None = None,
 ) -> DataFrame:
-    """Equi-join on key pairs (names may differ between the sides)."""
+    """Equi-join on key pairs (names may differ between the sides).
+
+    ``broadcast_max_bytes``: hint a broadcast of the right side when the
+    optimizer's size estimate is under this bound (inner / left / semi);
+    above it, or for right / full joins, Spark's shuffle join is kept."""
     if how not in JOIN_TYPES:
         raise ValueError(f"join type must be one of {sorted(JOIN_TYPES)}, not {how!r}")
     lkeys, rkeys = _pairs(on)
@@ -88,11 +94,13 @@ def merge_join(
     require_columns(right, rkeys, where="right input")
     kind = JOIN_TYPES[how]
     if kind == "left_semi":
-        return semi_join(left, right, on)
+        return semi_join(left, right, on, broadcast_max_bytes=broadcast_max_bytes)
     keep_rk = kind in ("right", "full")
     names = _right_names(left if kind != "right" else left.drop(*lkeys), right, rkeys, suffix, keep_rk)
     tmp = {c: f"_tw_r{i}" for i, c in enumerate(right.columns)}
     r = right.select(*[F.col(c).alias(tmp[c]) for c in right.columns])
+    if kind in ("inner", "left"):
+        r = maybe_broadcast(r, broadcast_max_bytes)
     eq = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
     cond = reduce(and_, [eq(left[lk], r[tmp[rk]]) for lk, rk in zip(lkeys, rkeys)])
     joined = left.join(r, cond, kind)
@@ -105,17 +113,19 @@ def merge_join(
     return joined.select(*lcols, *rcols)
 
 
-def semi_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
+def semi_join(left: DataFrame, right: DataFrame, on, *, broadcast_max_bytes: int | None = None) -> DataFrame:
     """Left rows with at least one key match on the right (no duplication)."""
     lkeys, rkeys = _pairs(on)
     require_columns(left, lkeys, where="left input")
     require_columns(right, rkeys, where="right input")
-    r = right.select(*[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(rkeys)])
+    r = maybe_broadcast(right.select(*[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(rkeys)]), broadcast_max_bytes)
     cond = reduce(and_, [left[lk] == r[f"_tw_k{i}"] for i, lk in enumerate(lkeys)])
     return left.join(r, cond, "left_semi")
 
 
-def anti_join(left: DataFrame, right: DataFrame, on, *, flag: str | None = None, overwrite: bool = False) -> DataFrame:
+def anti_join(
+    left: DataFrame, right: DataFrame, on, *, flag: str | None = None, overwrite: bool = False, broadcast_max_bytes: int | None = None
+) -> DataFrame:
     """Left rows without a key match on the right; rows with a null key never
     match and are kept.  With ``flag`` every left row is kept and the column
     says whether it had no match (true = no match)."""
@@ -125,13 +135,13 @@ def anti_join(left: DataFrame, right: DataFrame, on, *, flag: str | None = None,
     r = right.select(*[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(rkeys)])
     cond = reduce(and_, [left[lk] == r[f"_tw_k{i}"] for i, lk in enumerate(lkeys)])
     if not flag:
-        return left.join(r, cond, "left_anti")
+        return left.join(maybe_broadcast(r, broadcast_max_bytes), cond, "left_anti")
     ident(flag)
     if not overwrite and flag.lower() in _lower(left.columns):
         raise ValueError(f"column {flag!r} already exists; pass overwrite=True to replace it")
     # distinct right keys first, so a key repeated on the right cannot
     # multiply left rows; the distinct is a partial+final aggregate
-    marker = r.distinct().withColumn("_tw_hit", F.lit(True))
+    marker = maybe_broadcast(r.distinct().withColumn("_tw_hit", F.lit(True)), broadcast_max_bytes)
     joined = left.join(marker, cond, "left")
     keep = [left[c] for c in left.columns if c.lower() != flag.lower()]
     return joined.select(*keep, F.col("_tw_hit").isNull().alias(flag))

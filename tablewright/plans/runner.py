@@ -110,7 +110,7 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
     if a == "action-handle-drift":
         return quality.handle_drift(x, c["mode"], c["expected_schema"], c.get("default_value"))
     if a == "action-merge-join":
-        return joins.merge_join(x, ins[1], c["on"], c["type"], c.get("suffix", "_right"))
+        return joins.merge_join(x, ins[1], c["on"], c["type"], c.get("suffix", "_right"), broadcast_max_bytes=c.get("broadcast_max_bytes"))
     if a == "action-union":
         return setops.union(ins, c["type"], align_schema=c.get("align_schema", False))
     if a == "action-reconciliation":
@@ -130,7 +130,7 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
         return joins.asof_join(x, ins[1], c["on"], right_on=c.get("right_on"), by=c.get("by"), strategy=c.get("strategy", "backward"),
                                tolerance=c.get("tolerance"), suffix=c.get("suffix", "_right"), bucket_width=c.get("bucket_width"))
     if a == "action-anti-join":
-        return joins.anti_join(x, ins[1], c["on"], flag=flag)
+        return joins.anti_join(x, ins[1], c["on"], flag=flag, broadcast_max_bytes=c.get("broadcast_max_bytes"))
     raise ValueError(f"Unsupported action: {a!r}")
 
 

@@ -75,7 +75,7 @@ CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
     "action-write-staging": ({"table"}, {"schema", "mode", "path"}, 1),
     "action-error-quarantine": ({"error_column", "table"}, {"schema", "include_valid_output", "path"}, 1),
     "action-handle-drift": ({"mode", "expected_schema"}, {"default_value"}, 1),
-    "action-merge-join": ({"type", "on"}, {"suffix"}, 2),
+    "action-merge-join": ({"type", "on"}, {"suffix", "broadcast_max_bytes"}, 2),
     "action-union": ({"type"}, {"align_schema"}, "2+"),
     "action-reconciliation": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
     "action-delta-detection": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
@@ -83,7 +83,7 @@ CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
     "action-cross-validate": ({"keys", "rules"}, set(), 2),
     "action-aggregate-multi": ({"union_type", "group_by", "metrics"}, {"order_by", "align_schema"}, "2+"),
     "action-rolling-join": ({"on"}, {"right_on", "by", "strategy", "tolerance", "suffix", "bucket_width"}, 2),
-    "action-anti-join": ({"on"}, set(), 2),
+    "action-anti-join": ({"on"}, {"broadcast_max_bytes"}, 2),
     "action-snapshot-diff": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
 }
 

@@ -156,3 +156,23 @@ def test_asof_events_against_brute_force(spark):
         out = joins.asof_join(p, v, "ts", by="user_id", strategy=strategy, tolerance=day, bucket_width=3_600_000_000.0)
         got = {r.event_id: r.event_id_right for r in out.collect()}
         assert got == _brute_asof(lrows, rrows, strategy, day)
+
+
+def test_broadcast_only_under_checked_size(spark):
+    from tablewright.functions.sizing import estimated_bytes
+
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+        nation = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
+        cust = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+        size = estimated_bytes(nation)
+        small = joins.merge_join(cust, nation, [{"left": "c_nationkey", "right": "n_nationkey"}], "inner", broadcast_max_bytes=size + 1)
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+        big = joins.merge_join(orders, cust, [{"left": "o_custkey", "right": "c_custkey"}], "inner", broadcast_max_bytes=size)
+        plan = big._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        assert small.count() == cust.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
