@@ -65,10 +65,21 @@ def sort_rows(df: DataFrame, columns: Sequence[str], order: str = "asc", nulls_l
     return df.orderBy(*[key(c) for c in cols])
 
 
-def limit_rows(df: DataFrame, n: int) -> DataFrame:
-    if not isinstance(n, int) or n < 1:
+# A limit funnels its rows through one task; above this many rows the cap
+# is taken by hash order instead (spread over all tasks).
+SINGLE_TASK_LIMIT = 1_000_000
+
+
+def limit_rows(df: DataFrame, n: int, *, single_task_max: int = SINGLE_TASK_LIMIT) -> DataFrame:
+    """At most ``n`` rows, no particular ones (as SQL ``LIMIT`` without
+    ``ORDER BY``).  Up to ``single_task_max`` rows this is Spark's limit, which
+    stops reading early; a larger cap is taken as the ``n`` rows with the
+    smallest row hash, so the rows never pass through a single task."""
+    if not isinstance(n, int) or isinstance(n, bool) or n < 1:
         raise ValueError("limit must be a positive integer")
-    return df.limit(n)
+    if n <= single_task_max:
+        return df.limit(n)
+    return _hash_select(df, list(df.columns), 0, lambda total: F.least(F.lit(n).cast("long"), total))
 
 
 # ---------------------------------------------------------------- sample
@@ -92,7 +103,9 @@ def sample_rows(
         raise ValueError("sample_fraction must be in (0, 1]")
     if not exact:
         return df.sample(withReplacement=False, fraction=float(fraction), seed=seed)
-    return _exact_sample(df, float(fraction), 0 if seed is None else int(seed), columns)
+    cols = idents(columns) if columns else list(df.columns)
+    frac = float(fraction)
+    return _hash_select(df, cols, 0 if seed is None else int(seed), lambda total: F.floor(total * F.lit(frac)))
 
 
 def seeded_hash(df: DataFrame, columns: Sequence[str], seed: int) -> Column:
@@ -117,7 +130,8 @@ def _cumulative(hist: DataFrame, order: str, count: str, need: Column, prefix: s
     )
 
 
-def _exact_sample(df: DataFrame, fraction: float, seed: int, columns: Sequence[str] | None) -> DataFrame:
+def _hash_select(df: DataFrame, cols: Sequence[str], seed: int, need) -> DataFrame:
+    """The ``need(total)`` rows with the smallest seeded hash of ``cols``."""
     # The cut is found with three small histograms, each written to the shared
     # scratch folder as soon as it is known:
     #   1) 65,536 buckets on the first 16 bits of the hash,
@@ -129,7 +143,6 @@ def _exact_sample(df: DataFrame, fraction: float, seed: int, columns: Sequence[s
     # cut are equal on the hashed columns; only when such a tie exists is that
     # group written once more and split by per-partition quotas, so no task
     # ever holds a large group.
-    cols = idents(columns) if columns else list(df.columns)
     require_columns(df, cols)
     base = df.columns
     x = (
@@ -141,7 +154,7 @@ def _exact_sample(df: DataFrame, fraction: float, seed: int, columns: Sequence[s
     everyone = Window.partitionBy()  # over a bounded histogram only
 
     h1 = keys.groupBy("_tw_b1").agg(F.count(F.lit(1)).alias("_tw_c1"))
-    h1 = _cumulative(h1, "_tw_b1", "_tw_c1", F.floor(F.sum("_tw_c1").over(everyone) * F.lit(fraction)), "_tw_1")
+    h1 = _cumulative(h1, "_tw_b1", "_tw_c1", need(F.sum("_tw_c1").over(everyone)), "_tw_1")
     h1 = write_staging(h1.select("_tw_b1", "_tw_1_state", "_tw_1_need"))
     edge1 = F.broadcast(h1.filter(F.col("_tw_1_state") == "edge"))
 

@@ -81,9 +81,9 @@ def read_source(
         require_columns(df, cols, where="source")
         df = df.select(*cols)
     if limit is not None:
-        if int(limit) < 1:
-            raise ValueError("max rows must be positive")
-        df = df.limit(int(limit))
+        from ..operators.rows import limit_rows
+
+        df = limit_rows(df, int(limit))
     return df
 
 
