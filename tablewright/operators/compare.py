@@ -8,8 +8,11 @@ are set and differ (beyond ``tolerance`` for numeric columns; text always
 compares exactly).  Null keys never match, so a null-key row appears once
 from each side.
 
-At scale this is one shuffle per side on the keys (sort-merge or shuffled
-hash full outer join); Spark cannot broadcast a full outer join side.
+At scale the full outer join is written as matched pairs (inner join) plus
+the rows of each side whose key is absent from the other (anti joins against
+the other side's distinct keys).  Each side is shuffled once (the exchanges
+are shared), and AQE can split a hot key in all three joins, which it cannot
+do in a full outer join.  ``split_full_join=False`` plans one full outer join.
 """
 from __future__ import annotations
 
@@ -57,6 +60,7 @@ def _kernel(
     status_column: str,
     on_duplicate_keys: str = "allow",
     columns: str = "all",
+    split_full_join: bool = True,
 ) -> DataFrame:
     ks = idents(keys, what="keys")
     cmp = idents(compare_columns or [], allow_empty=True)
@@ -99,7 +103,21 @@ def _kernel(
     )
     aa = a.withColumn("_tw_in_a", F.lit(True))
     cond = reduce(and_, [aa[k] == bb[bk[k]] for k in ks])
-    j = aa.join(bb, cond, "full")
+    if split_full_join:
+        # full outer join as matched pairs + rows of each side without a
+        # partner.  AQE can split a hot key in an inner or anti join on either
+        # side (it cannot in a full outer join); the anti joins probe the
+        # *distinct* keys of the other side, so a hot key costs one row there.
+        a_keys = a.select(*[F.col(k).alias(f"_tw_a{i}") for i, k in enumerate(ks)]).distinct()
+        b_keys = bb.select(*[F.col(bk[k]).alias(f"_tw_b{i}") for i, k in enumerate(ks)]).distinct()
+        pairs = aa.join(bb, cond, "inner").select(*aa.columns, *bb.columns)
+        only_a = aa.join(b_keys, reduce(and_, [aa[k] == b_keys[f"_tw_b{i}"] for i, k in enumerate(ks)]), "left_anti")
+        only_b = bb.join(a_keys, reduce(and_, [bb[bk[k]] == a_keys[f"_tw_a{i}"] for i, k in enumerate(ks)]), "left_anti")
+        null_a = [F.lit(None).cast(f.dataType).alias(f.name) for f in aa.schema.fields]
+        null_b = [F.lit(None).cast(f.dataType).alias(f.name) for f in bb.schema.fields]
+        j = pairs.unionByName(only_a.select(*aa.columns, *null_b)).unionByName(only_b.select(*null_a, *bb.columns))
+    else:
+        j = aa.join(bb, cond, "full")
 
     def right_of(c: str) -> str:
         return next(n for src, n in b_names.items() if src.lower() == c.lower())
@@ -117,8 +135,8 @@ def _kernel(
         .otherwise(F.lit(same))
     )
     return j.select(
-        *[F.coalesce(aa[k], F.col(bk[k])).alias(k) for k in ks],
-        *[aa[c] for c in a_cols],
+        *[F.coalesce(F.col(k), F.col(bk[k])).alias(k) for k in ks],
+        *[F.col(c) for c in a_cols],
         *[F.col(n) for n in b_names.values()],
         status.alias(status_column),
     )
@@ -131,16 +149,25 @@ DELTA_LABELS = ("DELETE", "INSERT", "UPDATE", "UNCHANGED")
 SNAPSHOT_LABELS = ("REMOVED", "ADDED", "CHANGED", "UNCHANGED")
 
 
-def reconcile(src, tgt, keys, compare_columns=None, tolerance=None, *, status_column="recon_status", on_duplicate_keys="allow", columns="all"):
-    return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column, on_duplicate_keys, columns)
+def reconcile(
+    src, tgt, keys, compare_columns=None, tolerance=None, *, status_column="recon_status", on_duplicate_keys="allow", columns="all",
+    split_full_join=True,
+):
+    return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
 
 
-def delta(old, new, keys, compare_columns=None, tolerance=None, *, status_column="change_type", on_duplicate_keys="allow", columns="all"):
-    return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column, on_duplicate_keys, columns)
+def delta(
+    old, new, keys, compare_columns=None, tolerance=None, *, status_column="change_type", on_duplicate_keys="allow", columns="all",
+    split_full_join=True,
+):
+    return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
 
 
-def snapshot_diff(d1, d2, keys, compare_columns=None, tolerance=None, *, status_column="change_status", on_duplicate_keys="allow", columns="all"):
-    return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column, on_duplicate_keys, columns)
+def snapshot_diff(
+    d1, d2, keys, compare_columns=None, tolerance=None, *, status_column="change_status", on_duplicate_keys="allow", columns="all",
+    split_full_join=True,
+):
+    return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
 
 
 RULE_OPS = ("eq", "neq", "gt", "gte", "lt", "lte")
