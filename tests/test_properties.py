@@ -78,3 +78,31 @@ def test_dedup_matches_model(spark, data):
         counts[k] = counts.get(k, 0) + 1
     none = sorted(tuple(r) for r in rows.deduplicate(df, ["k"], "none").collect())
     assert none == sorted(x for x in data if counts[x[0]] == 1)
+
+
+@SETTINGS
+@given(left=table, right=table, null_safe=st.booleans())
+def test_full_join_matches_model(spark, left, right, null_safe):
+    a = spark.createDataFrame(left, "k bigint, v double")
+    b = spark.createDataFrame(right, "k bigint, v double")
+
+    def same(x, y):
+        return x == y if (x is not None and y is not None) else (null_safe and x is None and y is None)
+
+    want = []
+    for k, v in left:
+        partners = [(k2, w) for k2, w in right if same(k, k2)]
+        want += [(k, v, k2, w) for k2, w in partners] or [(k, v, None, None)]
+    for k2, w in right:
+        if not any(same(k, k2) for k, _ in left):
+            want.append((None, None, k2, w))
+    got = [tuple(r) for r in joins.merge_join(a, b, ["k"], "full", null_safe=null_safe).collect()]
+
+    def key(t):
+        return tuple((x is None, 0 if x is None else (1e9 if x != x else x)) for x in t)
+
+    assert sorted(map(_canon_row, got), key=key) == sorted(map(_canon_row, want), key=key)
+
+
+def _canon_row(t):
+    return tuple(float("inf") if isinstance(x, float) and math.isnan(x) else x for x in t)
