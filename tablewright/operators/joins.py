@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
+from pyspark.ml.feature import Bucketizer  # JVM binary search per row, no Python
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,6 +221,28 @@ def _tolerance_units(tolerance, dt: T.DataType, per_second: float) -> float | No
     return float(tolerance)
 
 
+def _quantile_buckets(L: DataFrame, R: DataFrame, rows_per_bucket: int, max_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Add ``_tw_b`` to both sides: the index of the key's quantile range.
+    Bounds come from one aggregate (a count and ``percentile_approx``; only
+    the bound list reaches the driver); the index is found by the JVM
+    ``Bucketizer``'s binary search."""
+    times = L.select("_tw_t").unionByName(R.select("_tw_t"))
+    n = times.count()
+    nb = min(max_buckets, max(1, -(-n // max(1, rows_per_bucket))))
+    if nb <= 1:
+        return L.withColumn("_tw_b", F.lit(0).cast("long")), R.withColumn("_tw_b", F.lit(0).cast("long"))
+    probs = [i / nb for i in range(1, nb)]
+    bounds = times.agg(F.percentile_approx(F.col("_tw_t").cast("double"), probs, max(10_000, 4 * nb)).alias("q")).first()["q"]
+    splits = [float("-inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
+
+    def add(df: DataFrame) -> DataFrame:
+        b = Bucketizer(splits=splits, inputCol="_tw_td", outputCol="_tw_bd")
+        out = b.transform(df.withColumn("_tw_td", F.col("_tw_t").cast("double")))
+        return out.withColumn("_tw_b", F.col("_tw_bd").cast("long")).drop("_tw_td", "_tw_bd")
+
+    return add(L), add(R)
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -232,6 +255,7 @@ def asof_join(
     suffix: str = "_right",
     bucket_width: float | None = None,
     rows_per_bucket: int = 1_000_000,
+    max_buckets: int = 10_000,
 ) -> DataFrame:
     """For each left row, the right row with the nearest ``right_on`` value
     not after (backward), not before (forward) or closest to (nearest, ties go
@@ -241,9 +265,13 @@ def asof_join(
 
     Plan: both sides are unioned and cut into (by, time bucket) window
     partitions, so neither a hot ``by`` key nor a missing ``by`` puts all rows in
-    one task.  A small bucket-level table carries the last (first) right row of
-    earlier (later) buckets into each bucket as a synthetic row.  One shuffle of
-    the data plus aggregates over bucket summaries.
+    one task.  Bucket bounds are approximate quantiles of the key (one small
+    eager aggregate; about ``rows_per_bucket`` rows each, at most
+    ``max_buckets``), so a burst of rows in a short time span is split too;
+    ``bucket_width`` gives fixed-width buckets instead.  A small bucket-level
+    table carries the last (first) right row of earlier (later) buckets into
+    each bucket as a synthetic row.  One shuffle of the data plus aggregates
+    over bucket summaries.
     """
     if strategy not in ASOF_STRATEGIES:
         raise ValueError(f"strategy must be one of {ASOF_STRATEGIES}, not {strategy!r}")
@@ -275,23 +303,12 @@ def asof_join(
     usable = reduce(and_, [F.col(k).isNotNull() for k in bkeys + ["_tw_t"]])
     L_ok, L_skip = L.filter(usable), L.filter(~usable)
 
-    width = bucket_width
-    if width is None:
-        # one small eager aggregate sizes the buckets from the data range
-        stats = L_ok.select("_tw_t").unionByName(R.select("_tw_t")).agg(
-            F.min("_tw_t").alias("lo"), F.max("_tw_t").alias("hi"), F.count(F.lit(1)).alias("n")
-        ).first()
-        if stats["n"] == 0 or stats["lo"] is None:
-            width = 1.0
-        else:
-            nb = max(1, -(-stats["n"] // rows_per_bucket))
-            width = max(float(stats["hi"] - stats["lo"]) / nb, 1.0) if nb > 1 else float(stats["hi"] - stats["lo"]) + 1.0
+    if bucket_width is not None:
+        bucket = F.floor(F.col("_tw_t") / F.lit(float(bucket_width))).cast("long")
+        L_ok = L_ok.withColumn("_tw_b", bucket)
+        R = R.withColumn("_tw_b", bucket)
     else:
-        width = float(width)
-    bucket = F.floor(F.col("_tw_t") / F.lit(width)).cast("long")
-    L_ok = L_ok.withColumn("_tw_b", bucket)
-    R = R.withColumn("_tw_b", bucket)
-
+        L_ok, R = _quantile_buckets(L_ok, R, rows_per_bucket, max_buckets)
     want_b = strategy in ("backward", "nearest")
     want_f = strategy in ("forward", "nearest")
     part = bkeys + ["_tw_b"]
@@ -317,11 +334,12 @@ def asof_join(
     # 3 carried-in row from later buckets
     # both carried rows of a bucket come out of one pass over the bucket
     # table (one explode), so the summary is planned and shuffled once
+    # a carried-in row sorts before (after) every row of its bucket
     carried = []
     if want_b:
-        carried.append(F.struct((F.col("_tw_b") * F.lit(width)).cast("double").alias("t"), F.lit(0).alias("s"), F.col("_tw_cb").alias("r")))
+        carried.append(F.struct(F.lit(float("-inf")).alias("t"), F.lit(0).alias("s"), F.col("_tw_cb").alias("r")))
     if want_f:
-        carried.append(F.struct(((F.col("_tw_b") + 1) * F.lit(width)).cast("double").alias("t"), F.lit(3).alias("s"), F.col("_tw_cf").alias("r")))
+        carried.append(F.struct(F.lit(float("inf")).alias("t"), F.lit(3).alias("s"), F.col("_tw_cf").alias("r")))
     carry_rows = (
         carry.select(*part, F.explode(F.array(*carried)).alias("_tw_c"))
         .filter(F.col("_tw_c.r").isNotNull())
