@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import field_type, ident, idents
+from ..functions.names import field_type, ident
 from ..functions.predicates import condition
 from ..functions.types import spark_type
 

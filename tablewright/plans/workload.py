@@ -13,12 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import operators  # noqa: F401
-from ..functions.predicates import condition
 from ..operators import aggregate as agg_ops
 from ..operators import compare, joins, mapping, quality, reshape, rows, setops
 from ..sources.readers import read_source
 from ..sources.sinks import new_scratch_path, upsert_path, write_staging
+from ..streaming.streams import open_stream, quarantine_stream, upsert_stream
 from . import variants as V
 from .runner import build, run
 
@@ -930,8 +929,6 @@ def q_staging(spark, d):
 def q_stream_quarantine(spark, d):
     """orders replayed as a file stream; each micro-batch split into valid and
     rejected rows (two sinks); the rejected side is read back."""
-    from ..streaming.streams import open_stream, quarantine_stream
-
     base = new_scratch_path(spark, "stream-quarantine")
     src = open_stream(spark, f"{d}/orders.parquet").withColumn(
         "error", F.when(F.col("o_orderstatus") == "P", F.lit("PENDING"))
@@ -949,8 +946,6 @@ def q_stream_quarantine(spark, d):
 def q_stream_upsert(spark, d):
     """orders_tgt arrives as a stream and is merged into a copy of orders per
     micro-batch (keyed upsert on o_orderkey)."""
-    from ..streaming.streams import open_stream, upsert_stream
-
     base = new_scratch_path(spark, "stream-upsert")
     orders = T(spark, d, "orders")
     orders.write.parquet(f"{base}/target")

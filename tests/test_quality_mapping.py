@@ -1,7 +1,6 @@
 """Data quality and target mapping: F7, F8, F16, F17, F30-F32 and the
 declared steps (quarantine, drift)."""
 import pytest
-from pyspark.sql import functions as F
 
 from tablewright.operators import mapping, quality
 

@@ -1,6 +1,5 @@
 """Union and aggregation (F13 plus the N1/N3 rules)."""
 import pytest
-from pyspark.sql import functions as F
 
 from tablewright.operators import aggregate as agg
 from tablewright.operators import setops
