@@ -21,7 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("TW_SESSION_TZ", "UTC"))
         .config("spark.driver.memory", os.environ.get("TW_DRIVER_MEMORY") or _driver_memory())
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.warehouse.dir", os.environ.get("TW_WAREHOUSE_DIR") or tempfile.mkdtemp(prefix="tw-warehouse-"))
