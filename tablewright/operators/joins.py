@@ -221,26 +221,29 @@ def _tolerance_units(tolerance, dt: T.DataType, per_second: float) -> float | No
     return float(tolerance)
 
 
-def _quantile_buckets(L: DataFrame, R: DataFrame, rows_per_bucket: int, max_buckets: int) -> tuple[DataFrame, DataFrame]:
+def _quantile_buckets(L: DataFrame, R: DataFrame, rows_per_bucket: int, max_buckets: int) -> tuple[DataFrame, DataFrame, bool]:
     """Add ``_tw_b`` to both sides: the index of the key's quantile range.
     Bounds come from one aggregate (a count and ``percentile_approx``; only
     the bound list reaches the driver); the index is found by the JVM
-    ``Bucketizer``'s binary search."""
+    ``Bucketizer``'s binary search.  Also says whether one time value spans
+    several quantiles (a heavy tie no bucket can split)."""
     times = L.select("_tw_t").unionByName(R.select("_tw_t"))
     n = times.count()
     nb = min(max_buckets, max(1, -(-n // max(1, rows_per_bucket))))
     if nb <= 1:
-        return L.withColumn("_tw_b", F.lit(0).cast("long")), R.withColumn("_tw_b", F.lit(0).cast("long"))
+        return L.withColumn("_tw_b", F.lit(0).cast("long")), R.withColumn("_tw_b", F.lit(0).cast("long")), False
     probs = [i / nb for i in range(1, nb)]
     bounds = times.agg(F.percentile_approx(F.col("_tw_t").cast("double"), probs, max(10_000, 4 * nb)).alias("q")).first()["q"]
-    splits = [float("-inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
+    distinct = sorted(set(float(b) for b in bounds))
+    heavy_ties = len(distinct) < len(bounds)
+    splits = [float("-inf")] + distinct + [float("inf")]
 
     def add(df: DataFrame) -> DataFrame:
         b = Bucketizer(splits=splits, inputCol="_tw_td", outputCol="_tw_bd")
         out = b.transform(df.withColumn("_tw_td", F.col("_tw_t").cast("double")))
         return out.withColumn("_tw_b", F.col("_tw_bd").cast("long")).drop("_tw_td", "_tw_bd")
 
-    return add(L), add(R)
+    return add(L), add(R), heavy_ties
 
 
 def asof_join(
@@ -256,6 +259,7 @@ def asof_join(
     bucket_width: float | None = None,
     rows_per_bucket: int = 1_000_000,
     max_buckets: int = 10_000,
+    collapse_ties: bool | None = None,
 ) -> DataFrame:
     """For each left row, the right row with the nearest ``right_on`` value
     not after (backward), not before (forward) or closest to (nearest, ties go
@@ -268,7 +272,10 @@ def asof_join(
     one task.  Bucket bounds are approximate quantiles of the key (one small
     eager aggregate; about ``rows_per_bucket`` rows each, at most
     ``max_buckets``), so a burst of rows in a short time span is split too;
-    ``bucket_width`` gives fixed-width buckets instead.  A small bucket-level
+    ``bucket_width`` gives fixed-width buckets instead.  When one time value
+    holds more rows than a bucket (seen from repeated quantile bounds, or
+    ``collapse_ties=True``), rows are first reduced to one per (by, time) a
+    side and matched rows are joined back.  A small bucket-level
     table carries the last (first) right row of earlier (later) buckets into
     each bucket as a synthetic row.  One shuffle of the data plus aggregates
     over bucket summaries.
@@ -303,12 +310,23 @@ def asof_join(
     usable = reduce(and_, [F.col(k).isNotNull() for k in bkeys + ["_tw_t"]])
     L_ok, L_skip = L.filter(usable), L.filter(~usable)
 
+    heavy_ties = False
     if bucket_width is not None:
         bucket = F.floor(F.col("_tw_t") / F.lit(float(bucket_width))).cast("long")
         L_ok = L_ok.withColumn("_tw_b", bucket)
         R = R.withColumn("_tw_b", bucket)
     else:
-        L_ok, R = _quantile_buckets(L_ok, R, rows_per_bucket, max_buckets)
+        L_ok, R, heavy_ties = _quantile_buckets(L_ok, R, rows_per_bucket, max_buckets)
+    collapse = heavy_ties if collapse_ties is None else collapse_ties
+    L_rows = L_ok
+    if collapse:
+        # Many rows share one time value: every left row with that (by, time)
+        # gets the same match, and of right rows with one (by, time) only the
+        # last can be matched.  The window then sees one row per (by, time) a
+        # side; left rows get their match back by an equi-join, which AQE can
+        # split on a hot key.
+        R = R.groupBy(*bkeys, "_tw_b", "_tw_t").agg(F.max("_tw_r").alias("_tw_r"))
+        L_ok = L_ok.select(*bkeys, "_tw_b", "_tw_t").distinct().withColumn("_tw_l", F.lit(None).cast(L_rows.schema["_tw_l"].dataType))
     want_b = strategy in ("backward", "nearest")
     want_f = strategy in ("forward", "nearest")
     part = bkeys + ["_tw_b"]
@@ -374,7 +392,12 @@ def asof_join(
         best = F.when(choose_b, F.col("_tw_mb")).otherwise(F.col("_tw_mf"))
         best_gap = F.when(choose_b, gap_b).otherwise(gap_f)
         pick = best if tol is None else F.when(best_gap <= F.lit(tol), best)
-    matched = out.select("_tw_l", pick.alias("_tw_m"))
+    if collapse:
+        found = out.select(*bkeys, "_tw_b", "_tw_t", pick.alias("_tw_m"))
+        rows_t = L_rows.withColumn("_tw_t", F.col("_tw_t").cast("double"))
+        matched = rows_t.join(found, [*bkeys, "_tw_b", "_tw_t"], "inner").select("_tw_l", "_tw_m")
+    else:
+        matched = out.select("_tw_l", pick.alias("_tw_m"))
     skipped = L_skip.select("_tw_l", null_r.alias("_tw_m"))
     res = matched.unionByName(skipped)
     return res.select(*[F.col("_tw_l").getField(c).alias(c) for c in lrow_cols], *[F.col("_tw_m").getField(n).alias(n) for n in names.values()])

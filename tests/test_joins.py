@@ -156,6 +156,9 @@ def test_asof_events_against_brute_force(spark):
         out = joins.asof_join(p, v, "ts", by="user_id", strategy=strategy, tolerance=day, bucket_width=3_600_000_000.0)
         got = {r.event_id: r.event_id_right for r in out.collect()}
         assert got == _brute_asof(lrows, rrows, strategy, day)
+        # the tie-collapsing plan gives the same answer
+        out = joins.asof_join(p, v, "ts", by="user_id", strategy=strategy, tolerance=day, rows_per_bucket=200, collapse_ties=True)
+        assert {r.event_id: r.event_id_right for r in out.collect()} == got
 
 
 def test_broadcast_only_under_checked_size(spark):

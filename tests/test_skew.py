@@ -81,3 +81,30 @@ def test_asof_burst_in_time_is_split(spark):
         cands = [(t2, j) for j, _, t2 in R if t2 <= t]
         want = max(cands)[1] if cands else None
         assert got[i] == want
+
+
+def test_asof_identical_timestamps_collapse(spark):
+    # a third of all rows of one key share one timestamp on both sides
+    rnd = random.Random(11)
+    L, R = [], []
+    for i in range(1500):
+        t = 777.0 if i % 3 == 0 else float(rnd.randint(0, 5000))
+        (L if i % 2 else R).append((i, 0 if i % 5 else 1, t))
+    left = spark.createDataFrame(L, "id bigint, g bigint, t double")
+    right = spark.createDataFrame(R, "rid bigint, g bigint, t double")
+    for strategy, collapse in (("backward", None), ("forward", None), ("nearest", None), ("nearest", True), ("backward", False)):
+        out = joins.asof_join(left, right, "t", by="g", strategy=strategy, rows_per_bucket=40, collapse_ties=collapse)
+        got = {r.id: r.rid for r in out.collect()}
+        assert len(got) == len(L) == out.count()
+        for i, g, t in L:
+            back = max([(t2, j) for j, g2, t2 in R if g2 == g and t2 <= t], default=None)
+            fwd = [(t2, j) for j, g2, t2 in R if g2 == g and t2 >= t]
+            # among equal right times the highest id wins in both directions
+            fwd = max([c for c in fwd if c[0] == min(fwd)[0]]) if fwd else None
+            if strategy == "backward":
+                want = back
+            elif strategy == "forward":
+                want = fwd
+            else:
+                want = back if fwd is None or (back is not None and t - back[0] <= fwd[0] - t) else fwd
+            assert got[i] == (want[1] if want else None), (strategy, i)
