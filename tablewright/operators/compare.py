@@ -182,7 +182,13 @@ def _rule(left: Column, right: Column, op: str, tolerance: float) -> Column:
 
 
 def cross_validate(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], rules: Sequence[dict], *, status_column: str = "validation_status"
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    rules: Sequence[dict],
+    *,
+    status_column: str = "validation_status",
+    on_duplicate_keys: str = "allow",
 ) -> DataFrame:
     """Inner join on keys (right clashes get ``_right``); PASS when every rule
     holds, FAIL otherwise (a null rule result is a FAIL).  A rule names the
@@ -192,6 +198,11 @@ def cross_validate(
         raise ValueError("cross-validate needs at least one rule")
     require_columns(left, ks, where="left input")
     require_columns(right, ks, where="right input")
+    if on_duplicate_keys not in DUPLICATE_KEY_RULES:
+        raise ValueError(f"on_duplicate_keys must be one of {DUPLICATE_KEY_RULES}")
+    if on_duplicate_keys == "error":
+        check_unique_keys(left, ks, "left input")
+        check_unique_keys(right, ks, "right input")
     ident(status_column)
     kl = {k.lower() for k in ks}
     taken = {c.lower() for c in left.columns}

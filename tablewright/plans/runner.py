@@ -122,7 +122,8 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
     if a == "action-exception-extract":
         return quality.exceptions(ins, c["condition"], c.get("output_mode", "exceptions_only"), flag=flag)
     if a == "action-cross-validate":
-        return compare.cross_validate(x, ins[1], c["keys"], c["rules"], status_column=flag or "validation_status")
+        return compare.cross_validate(x, ins[1], c["keys"], c["rules"], status_column=flag or "validation_status",
+                                      on_duplicate_keys=c.get("on_duplicate_keys", "allow"))
     if a == "action-aggregate-multi":
         return agg_ops.aggregate_multi(ins, c["union_type"], c["group_by"], c["metrics"], align_schema=c.get("align_schema", False),
                                        order_by=c.get("order_by"))

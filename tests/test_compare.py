@@ -135,3 +135,12 @@ def test_key_as_compare_column_refused(spark):
     a = spark.createDataFrame([(1, 1)], "k bigint, v bigint")
     with pytest.raises(ValueError, match="keys cannot"):
         compare.reconcile(a, a, ["k"], ["k"])
+
+
+def test_cross_validate_duplicate_rule(spark):
+    a = spark.createDataFrame([(1, 1.0), (1, 2.0)], "k bigint, v double")
+    b = spark.createDataFrame([(1, 1.0)], "k bigint, w double")
+    rules = [{"left_column": "v", "right_column": "w"}]
+    assert compare.cross_validate(a, b, ["k"], rules).count() == 2
+    with pytest.raises(ValueError, match="duplicate keys"):
+        compare.cross_validate(a, b, ["k"], rules, on_duplicate_keys="error")
