@@ -43,11 +43,14 @@ def _driver_memory() -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use ``spark.checkpoint.dir`` when the cluster names it; only when it is
-    unset (local runs, tests) make a fresh local folder."""
+    """Use ``spark.checkpoint.dir`` when the cluster names it.  Only a local
+    session (tests, local runs) without one gets a fresh local folder; on a
+    cluster a missing setting is an error, never a machine-local folder."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to shared storage: staging and merges write there")
         d = tempfile.mkdtemp(prefix="tw-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
