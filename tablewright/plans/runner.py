@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as agg_ops
 from ..operators import compare, joins, quality, reshape, rows, setops
+from ..functions.names import ident
 from ..operators.mapping import map_target
 from ..sources.readers import read_source
 from ..sources.sinks import WriteReport, new_scratch_path, observed_rows, write, write_quarantine, write_staging
@@ -100,8 +101,11 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
         if c.get("path") or not c.get("schema"):
             path = c.get("path") or new_scratch_path(x.sparkSession, f"staging-{c['table']}")
             return write_staging(x, path, c.get("mode", "overwrite"))
-        # schema + table name a catalog table
-        return write_staging(x, mode=c.get("mode", "overwrite"), table=f"{c['schema']}.{c['table']}")
+        # schema + table name a catalog table (its namespace is created if absent)
+        spark = x.sparkSession
+        if not spark.catalog.databaseExists(ident(c["schema"])):
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS `{c['schema']}`")
+        return write_staging(x, mode=c.get("mode", "overwrite"), table=f"{c['schema']}.{ident(c['table'])}")
     if a == "action-error-quarantine":
         valid, rejected = quality.quarantine(x, c["error_column"], c.get("include_valid_output", True))
         target = {"path": c["path"]} if c.get("path") else {"table": ".".join(p for p in (c.get("schema"), c["table"]) if p)}
