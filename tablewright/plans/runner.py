@@ -108,7 +108,12 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
         return write_staging(x, mode=c.get("mode", "overwrite"), table=f"{c['schema']}.{ident(c['table'])}")
     if a == "action-error-quarantine":
         valid, rejected = quality.quarantine(x, c["error_column"], c.get("include_valid_output", True))
-        target = {"path": c["path"]} if c.get("path") else {"table": ".".join(p for p in (c.get("schema"), c["table"]) if p)}
+        if c.get("path"):
+            target = {"path": c["path"]}
+        else:
+            if c.get("schema") and not x.sparkSession.catalog.databaseExists(ident(c["schema"])):
+                x.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS `{c['schema']}`")
+            target = {"table": ".".join(p for p in (c.get("schema"), ident(c["table"])) if p)}
         built.pending.append((step.name, rejected, target))
         return valid
     if a == "action-handle-drift":
