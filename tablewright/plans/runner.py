@@ -171,7 +171,11 @@ def build(spark: SparkSession, spec: Spec | dict, *, count_sources: bool = True)
         t0 = time.perf_counter()
         ins = [data[i] for i in st.inputs]
         carried = orders[st.inputs[0]] if len(st.inputs) == 1 and st.action in _ORDER_KEEPING | {"action-deduplicate", "action-aggregate", "action-pivot-unpivot"} else None
-        data[st.name] = _apply(st, ins, carried, built)
+        try:
+            data[st.name] = _apply(st, ins, carried, built)
+        except Exception as e:
+            e.add_note(f"while building step {st.name!r} ({st.action})")  # names the failed step
+            raise
         if st.action == "action-sort-dataset":
             orders[st.name] = list(st.config["columns"])
         elif st.action in _ORDER_KEEPING and len(st.inputs) == 1:
