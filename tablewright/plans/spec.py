@@ -82,7 +82,11 @@ CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
     "action-exception-extract": ({"condition"}, {"output_mode"}, "1+"),
     "action-cross-validate": ({"keys", "rules"}, {"on_duplicate_keys"}, 2),
     "action-aggregate-multi": ({"union_type", "group_by", "metrics"}, {"order_by", "align_schema"}, "2+"),
-    "action-rolling-join": ({"on"}, {"right_on", "by", "strategy", "tolerance", "suffix", "bucket_width"}, 2),
+    "action-rolling-join": (
+        {"on"},
+        {"right_on", "by", "strategy", "tolerance", "suffix", "bucket_width", "rows_per_bucket", "max_buckets", "collapse_ties"},
+        2,
+    ),
     "action-anti-join": ({"on"}, {"broadcast_max_bytes"}, 2),
     "action-snapshot-diff": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
 }
