@@ -145,7 +145,9 @@ def semi_join(left: DataFrame, right: DataFrame, on, *, broadcast_max_bytes: int
     lkeys, rkeys = _pairs(on)
     require_columns(left, lkeys, where="left input")
     require_columns(right, rkeys, where="right input")
-    r = maybe_broadcast(right.select(*[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(rkeys)]), broadcast_max_bytes)
+    # only whether a key exists matters: distinct keys are pre-reduced on
+    # every map task, so a key repeated on the right ships once per task
+    r = maybe_broadcast(right.select(*[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(rkeys)]).distinct(), broadcast_max_bytes)
     cond = reduce(and_, [left[lk] == r[f"_tw_k{i}"] for i, lk in enumerate(lkeys)])
     return left.join(r, cond, "left_semi")
 
@@ -159,16 +161,17 @@ def anti_join(
     lkeys, rkeys = _pairs(on)
     require_columns(left, lkeys, where="left input")
     require_columns(right, rkeys, where="right input")
-    r = right.select(*[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(rkeys)])
+    # distinct right keys: a key repeated on the right ships once per map task
+    r = right.select(*[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(rkeys)]).distinct()
     cond = reduce(and_, [left[lk] == r[f"_tw_k{i}"] for i, lk in enumerate(lkeys)])
     if not flag:
         return left.join(maybe_broadcast(r, broadcast_max_bytes), cond, "left_anti")
     ident(flag)
     if not overwrite and flag.lower() in _lower(left.columns):
         raise ValueError(f"column {flag!r} already exists; pass overwrite=True to replace it")
-    # distinct right keys first, so a key repeated on the right cannot
-    # multiply left rows; the distinct is a partial+final aggregate
-    marker = maybe_broadcast(r.distinct().withColumn("_tw_hit", F.lit(True)), broadcast_max_bytes)
+    # the keys are distinct, so a key repeated on the right cannot multiply
+    # left rows
+    marker = maybe_broadcast(r.withColumn("_tw_hit", F.lit(True)), broadcast_max_bytes)
     joined = left.join(marker, cond, "left")
     keep = [left[c] for c in left.columns if c.lower() != flag.lower()]
     return joined.select(*keep, F.col("_tw_hit").isNull().alias(flag))
