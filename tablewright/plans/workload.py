@@ -814,6 +814,26 @@ def q_pivot(spark, d):
     return out.select("user_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in out.columns if c != "user_id"])
 
 
+@register(
+    "pivot_multi",
+    """SELECT user_id,
+              max(value) FILTER (WHERE event_type = 'click') AS click_value,
+              max(value) FILTER (WHERE event_type = 'error') AS error_value,
+              max(value) FILTER (WHERE event_type = 'purchase') AS purchase_value,
+              max(value) FILTER (WHERE event_type = 'signup') AS signup_value,
+              max(value) FILTER (WHERE event_type = 'view') AS view_value,
+              max(ts) FILTER (WHERE event_type = 'click') AS click_ts,
+              max(ts) FILTER (WHERE event_type = 'error') AS error_ts,
+              max(ts) FILTER (WHERE event_type = 'purchase') AS purchase_ts,
+              max(ts) FILTER (WHERE event_type = 'signup') AS signup_ts,
+              max(ts) FILTER (WHERE event_type = 'view') AS view_ts
+       FROM events GROUP BY user_id""",
+)
+def q_pivot_multi(spark, d):
+    """Two value columns: new columns are named ``{pivot value}_{value column}``."""
+    return reshape.pivot(T(spark, d, "events"), ["user_id"], "event_type", ["value", "ts"], "max")
+
+
 @register(
     "unpivot",
     """SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part
