@@ -17,7 +17,7 @@ from ..operators import aggregate as agg_ops
 from ..operators import compare, joins, mapping, quality, reshape, rows, setops
 from ..sources.readers import read_source
 from ..sources.sinks import new_scratch_path, upsert_path, write_staging
-from ..streaming.streams import open_stream, quarantine_stream, upsert_stream
+from ..streaming.streams import dedup_stream, open_stream, quarantine_stream, upsert_stream
 from . import variants as V
 from .runner import build, run
 
@@ -975,6 +975,21 @@ def q_stream_upsert(spark, d):
     return spark.read.parquet(f"{base}/target")
 
 
+@register("stream_dedup_keys", "SELECT DISTINCT user_id, event_type FROM events")
+def q_stream_dedup(spark, d):
+    """events replayed as a stream, repeated (user, event type) keys dropped
+    within a one-hour watermark (state per key, no group held whole); which
+    row of a key survives is arbitrary, so the keys are returned."""
+    base = new_scratch_path(spark, "stream-dedup")
+    deduped = dedup_stream(open_stream(spark, f"{d}/events.parquet"), ["user_id", "event_type"], "ts", "1 hour")
+    q = (
+        deduped.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_type")
+
+
 # ------------------------------------------------------------------ whole request (flagship)
 
 

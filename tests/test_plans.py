@@ -15,7 +15,7 @@ def plan(df):
 def plans(spark):
     out = {}
     for name, fn in E.queries().items():
-        if name in ("merge_upsert", "staging_roundtrip", "flagship_run", "sample_exact", "stream_quarantine_rejected", "stream_upsert"):
+        if name in ("merge_upsert", "staging_roundtrip", "flagship_run", "sample_exact", "stream_quarantine_rejected", "stream_upsert", "stream_dedup_keys"):
             continue  # these write files while being built
         out[name] = plan(fn(spark, SF_SMALL))
     return out
