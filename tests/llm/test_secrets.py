@@ -1,0 +1,55 @@
+import hashlib
+import re
+
+import public_tokenizers
+
+from llm_data import SF_MID
+from tablewright.llm import queries, secrets
+
+
+def base_spans(text):
+    text, out = text or "", []
+    p = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out += [(m.start(), 0, m.end()) for m in re.finditer(p, text) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out)]
+
+
+def test_query_matches_plain_patterns(spark, texts):
+    want = {d: base_spans(t) for d, t in texts}
+    for r in queries.op6_secrets(spark, SF_MID).collect():
+        mine = want[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(mine).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in mine) for k in ("assign", "access", "hex:"))
+        assert set(mine) <= set(r.spans.split(",")) or not mine
+
+
+def scan(text):
+    return secrets.spans(text, secrets._encoding(public_tokenizers.path(secrets.VOCABULARY)))
+
+
+def test_random_strings_are_found_and_names_are_not():
+    assert scan("use q7Zx9LmP2vR8sK4tY6wB now") == ["random:4:24"]
+    clean = "documentation2024 release-notes-2024-11 src/main/java8/util_helpers3 1234567890123456 international"
+    assert scan(clean) == []
+    assert scan("id 123e4567-e89b-12d3-a456-426614174000 here") == []
+    digest = hashlib.sha1(b"x").hexdigest()
+    assert scan("commit " + digest.upper()) == []  # a known digest, in a form the patterns leave
+    assert scan("commit " + digest) == [f"hex:7:{7 + len(digest)}"]
+
+
+def test_failing_matches_hide_what_they_cover():
+    assert scan("secret: token: abcdefgh") == []
+    assert scan("PassWD='abc.def'") == ["assign:0:15"]
+    assert scan("ſecret=abcdefgh") == []  # only A-Z and a-z count
+
+
+def test_redaction_joins_overlaps():
+    assert secrets.replace_spans("ab token=00112233445566778899aabb yz", scan("ab token=00112233445566778899aabb yz"), "[secret]") == "ab [secret] yz"
+
+
+def test_odd_rows(odd):
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(odd).collect() if r.doc_id}
+    assert got[2] == [] and got[3] == [] and got[8] == ["assign:0:15"] and got[9] == []
+    assert secrets.find_secrets(odd).count() == odd.count() and secrets.find_secrets(odd.limit(0)).count() == 0
