@@ -1,0 +1,86 @@
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from llm_data import SF_MID
+from tablewright.llm import katz, queries
+
+
+class Slow:
+    """The model over plain dictionaries."""
+
+    def __init__(self, texts):
+        lines = [[None, *t.encode().lower().split(), "end"] for t in texts]
+        self.words = Counter(w for x in lines for w in x[1:])
+        self.pairs = Counter(p for x in lines for p in zip(x, x[1:]))
+        self.context = Counter(p[0] for p in self.pairs.elements())
+        self.n = sum(self.words.values())
+        self.dw, self.dp = (katz.discounts([sum(c == k for c in t.values()) for k in range(1, katz.KEEP + 2)]) for t in (self.words, self.pairs))
+        self.freed = 1 - sum(float(katz.kept(self.dw, np.array(c))) for c in self.words.values()) / self.n if self.n else 1.0
+
+    def word(self, w):
+        return float(katz.kept(self.dw, np.array(self.words[w]))) / self.n if w in self.words else self.freed
+
+    def p(self, v, w):
+        if not self.context[v]:
+            return self.word(w)
+        if (v, w) in self.pairs:
+            return float(katz.kept(self.dp, np.array(self.pairs[v, w]))) / self.context[v]
+        after = [(x, c) for (u, x), c in self.pairs.items() if u == v]
+        free = 1 - sum(float(katz.kept(self.dp, np.array(c))) for _, c in after) / self.context[v]
+        return free / (1 - sum(self.word(x) for x, _ in after)) * self.word(w)
+
+    def score(self, text):
+        line = [None, *(text or "").encode().lower().split(), "end"]
+        return sum(math.log10(self.p(v, w)) for v, w in zip(line, line[1:]))
+
+    def base(self, text):
+        line = [*(text or "").encode().lower().split(), "end"]
+        return sum(math.log10((self.words[w] + 1) / (self.n + len(self.words) + 1)) for w in line)
+
+
+def corpus(n, seed=3):
+    rng = random.Random(seed)
+    return [" ".join(f"W{min(int(rng.paretovariate(0.8)), 60)}" for _ in range(rng.randrange(0, 40))) for _ in range(n)]
+
+
+def test_every_context_sums_to_one():
+    m = Slow(corpus(150))
+    for v in [*m.context, b"never"]:
+        assert math.isclose(sum(m.p(v, w) for w in [*m.words, b"unknown"]), 1, rel_tol=1e-9)
+
+
+def test_scores_match_the_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 200)
+    monkeypatch.setattr(katz, "PART_BYTES", 500)
+    texts = corpus(150) + [None, "", "new words only here", "W1 W2"]
+    df = spark.createDataFrame([(i if i else None, t, "x", 7) for i, t in enumerate(texts)], "doc_id long, text string, block string, n int").repartition(3)
+    got, model = katz.score(df, F.col("doc_id") % 3 != 0)
+    m = Slow([t or "" for i, t in enumerate(texts) if i and i % 3])
+    assert (model.tokens, model.types) == (m.n, len(m.words))
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id or 0]
+        assert math.isclose(r.score, m.score(t), rel_tol=1e-9) and math.isclose(r.base_score, m.base(t), rel_tol=1e-9)
+        line = [*(t or "").encode().lower().split(), "end"]
+        assert (r.n_tokens, r.n_known) == (len(line), sum(w in m.words for w in line))
+
+
+def test_query_beats_the_base_on_held_out_texts(spark):
+    rows = queries.op9_katz(spark, SF_MID).toPandas()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows.itertuples())
+    held = rows[rows.held_out]
+    assert len(held) > 50 and held.score.sum() > held.base_score.sum()
+
+
+def test_odd_rows(odd):
+    got, _ = katz.score(odd, F.lit(True))
+    assert got.count() == odd.count() and got.where("isnan(score) OR score IS NULL OR score > 0").count() == 0
+    none, model = katz.score(odd, F.lit(None).cast("boolean"))
+    assert model.tokens == 0 and {r.score for r in none.collect()} == {0.0}
+    assert katz.score(odd.limit(0), F.lit(True))[0].count() == 0

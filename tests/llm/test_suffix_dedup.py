@@ -1,0 +1,56 @@
+import hashlib
+import random
+from collections import Counter
+
+from llm_data import SF_MID
+from tablewright.llm import queries, suffix_dedup
+
+
+def slow(texts, length=200):
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = sum(x and not y for x, y in zip(gone, b"\0" + gone))
+        out.append((len(b), sum(gone), spans, bytes(x for x, y in zip(b, gone) if not y)))
+    return out
+
+
+def test_query_matches_brute_force(spark, texts):
+    want = {d: (*x[:3], hashlib.sha256(x[3]).hexdigest()) for (d, _), x in zip(texts, slow([t for _, t in texts]))}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op5_suffix_dedup(spark, SF_MID).collect()}
+    assert got == want
+
+
+def test_partial_and_overlapping_matches(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij éß") for _ in range(n))
+    base = word(3000)
+    texts = [base, word(150) + base[400:601] + word(90), word(70) + base[401:600] + word(9), base[1000:1350] + word(40) + base[1100:1500]]
+    texts += ["ab" * 400, "a" * 199, "a" * 200, "x" * 450, word(60) + "ab" * 120, None, "", base[2000:2200], "é" * 99 + "q", "é" * 99 + "r"]
+    for at in range(0, 900, 37):  # near copies with one changed byte
+        texts.append(base[:at] + "#" + base[at + 1 : 1000])
+    texts += [base[:700]] * 3
+    df = spark.createDataFrame([(i % 40 or None, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, lo int, m int")
+    got = Counter((r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(df).collect())
+    assert got == Counter(slow(texts))
+
+
+def test_odd_rows(odd):
+    rows = odd.where("length(text) < 60000 OR text IS NULL")
+    got = suffix_dedup.dedup(rows).collect()
+    assert len(got) == rows.count() and {r.n_bytes for r in got if r.doc_id in (2, 3)} == {0}
+    assert suffix_dedup.dedup(odd.limit(0)).count() == 0
+
+
+def test_runs_depend_on_content_only():
+    rng = random.Random(8)
+    text = bytes(rng.randrange(97, 105) for _ in range(3000))
+    moved = bytes(rng.randrange(97, 105) for _ in range(777)) + text
+    place = {p: a - p for lo, hi, a in suffix_dedup.runs(text) for p in range(lo, hi + 1)}
+    other = {p - 777: a - p for lo, hi, a in suffix_dedup.runs(moved) for p in range(lo, hi + 1)}
+    assert set(place) == set(range(len(text) - 199)) and all(other[p] == d for p, d in place.items())
