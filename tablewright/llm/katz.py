@@ -32,7 +32,7 @@ from tablewright.llm.common import stage
 
 KEEP = 5
 SLIGHT = 0.01
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 PART_BYTES = 8 << 20
 
 _BEGIN = np.uint64(0x243F6A8885A308D3)
@@ -58,7 +58,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxh3_64_intdigest(word)
         return h
@@ -125,14 +125,14 @@ class _Block:
 
 def _open(r) -> _Block:
     words = np.frombuffer(r.words, "<u8")
-    index = np.frombuffer(r.index, "<u2" if len(words) <= 1 << 16 else "<u4").astype(np.int64)
+    index = np.frombuffer(r.index, "<u2" if len(words) <= 1 << 16 else "<u4").astype(np.int32)
     lengths = np.frombuffer(r.lengths, "<i8")
     before = np.empty_like(index)
     before[1:] = index[:-1]
     before[(np.cumsum(lengths) - lengths)] = len(words)
     train = np.frombuffer(r.train, "u1").astype(bool)
     return _Block(
-        list(r.ids), lengths, words, index, before, np.repeat(train, lengths), np.repeat(np.arange(len(lengths)), lengths)
+        list(r.ids), lengths, words, index, before, np.repeat(train, lengths), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     )
 
 
