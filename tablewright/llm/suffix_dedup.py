@@ -10,17 +10,17 @@ ranks if and only if their strings of the present length are equal.
   through their runs' anchors, and sorting anchors stands for sorting all
   starts.
 * Doubling.  Anchors are ranked by their first ``BASE`` bytes; anchors of
-  unique rank drop out.  The rest are ranked by the pair (rank, rank of the
-  ``BASE`` bytes at offset ``BASE``), again without the unique ones.  The last
-  offset takes them past the threshold: runs are ranked by the pair and all
-  the bytes their starts' strings cover.
-* Runs of equal rank are repeats as a whole.  Where a rank of the second round
-  holds runs that differ in the last one, a representative of each is spread
-  to its starts, and their ``LENGTH``-byte strings are ranked.
+  unique rank drop out.  The rest are ranked by the pair (rank, rank at offset
+  ``BASE``, up to the last byte that the strings of all starts with this
+  anchor share), again without the unique ones, and then past the threshold,
+  with all the bytes that the run's strings cover.
+* Runs of equal last rank are repeats as a whole.  Where runs of equal middle
+  rank differ in the last one, a representative of each is cut into parts of
+  ``PART`` starts, ranked in the same two ways, and at last into single starts.
 
 Counting is partially aggregated, so the copies of a passage are counted
 before they meet; joins of ranks with their counts have one row for a rank on
-one side.  Names are 64-bit hashes, the later rounds' keys combine two to three
+one side.  Names are 64-bit hashes; the later rounds' keys combine two or three
 of them.
 
 Defined cases: a null or empty text keeps nothing and loses nothing; texts
@@ -42,6 +42,7 @@ LENGTH = 200
 SPAN = 128
 GRAM = 16
 BASE = 36
+PART = 16
 
 _SLICE = 1 << 20
 _TABLE = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 64, 256, dtype=np.uint64)
@@ -99,7 +100,7 @@ def _run_column(text: Column, length: int) -> Column:
             rows.append((
                 np.array([a for _, _, a in found], np.int32), np.array([b - f + 1 for f, b, _ in found], np.int32),
                 np.array([f for f, _, _ in found], np.int32),
-                names([name(data[a : a + BASE]) for _, _, a in found]), names([name(data[a + BASE : a + 2 * BASE]) for _, _, a in found]),
+                names([name(data[a : a + BASE]) for _, _, a in found]), names([name(data[a + BASE : a + length - SPAN + 1]) for _, _, a in found]),
                 names([name(data[f : b + length], seed=a - f) for f, b, a in found]),
             ))
         return pd.DataFrame(rows, columns=["a", "m", "lo", "r0", "r1", "r2"])
@@ -107,25 +108,35 @@ def _run_column(text: Column, length: int) -> Column:
     return find(text)
 
 
-def _start_column(text: Column, chosen: Column, length: int) -> Column:
-    """Names of the strings at the starts of the chosen runs (lo, m)."""
+def _part_column(text: Column, chosen: Column, length: int, size: int) -> Column:
+    """The chosen runs of starts (a, s, m, w) cut into parts on a grid of
+    ``size`` starts from the anchor, named by what all strings of the grid's
+    cell share and by all that the part's strings cover."""
 
-    @F.pandas_udf("s array<int>, h array<long>, r2 array<long>")
-    def spread(texts: pd.Series, picks: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("s array<int>, m array<int>, r1 array<long>, r2 array<long>, w array<int>")
+    def cut(texts: pd.Series, picks: pd.Series) -> pd.DataFrame:
         from xxhash import xxh3_64_intdigest as name
 
         rows = []
         for t, ps in zip(texts, picks):
-            data, s, h, r2 = (t or "").encode(), [], [], []
+            data = (t or "").encode()
+            parts, shared = [], []
             for p in ps:
-                for at in range(p["lo"], p["lo"] + p["m"]):
-                    s.append(at)
-                    h.append(name(data[at : at + length]))
-                    r2.append(p["r2"])
-            rows.append((s, np.array(h, dtype=np.uint64).view(np.int64), r2))
-        return pd.DataFrame(rows, columns=["s", "h", "r2"])
+                at, end = p["s"], p["s"] + p["m"]
+                while at < end:
+                    cell = at - (at - p["a"]) % size
+                    to = min(end, cell + size)
+                    parts.append((at, to - at, p["w"]))
+                    shared.append(name(data[cell + size - 1 : cell + length]))
+                    at = to
+            whole = [name(data[s : s + m - 1 + length], seed=m) for s, m, _ in parts]
+            rows.append((
+                [x[0] for x in parts], [x[1] for x in parts], np.array(shared, np.uint64).view(np.int64),
+                np.array(whole, np.uint64).view(np.int64), [x[2] for x in parts],
+            ))
+        return pd.DataFrame(rows, columns=["s", "m", "r1", "r2", "w"])
 
-    return spread(text, chosen)
+    return cut(text, chosen)
 
 
 def _not_unique(rows: DataFrame, ranks: list[str]) -> DataFrame:
@@ -137,35 +148,45 @@ def _not_unique(rows: DataFrame, ranks: list[str]) -> DataFrame:
 def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Byte ranges covered by repeated strings, which may overlap:
     ``doc_id, t`` (hash of the text), ``s, e``."""
-    if length < SPAN + max(GRAM, 2 * BASE) - 1:
-        raise ValueError(f"length must be at least {SPAN + max(GRAM, 2 * BASE) - 1}")
+    if length < SPAN + 2 * BASE:
+        raise ValueError(f"length must be at least {SPAN + 2 * BASE}")
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
-    one = docs.where(F.octet_length("text") >= length).select("doc_id", "t", _run_column(F.col("text"), length).alias("x"))
-    one = one.select("doc_id", "t", F.explode(F.arrays_zip("x.lo", "x.m", "x.r0", "x.r1", "x.r2")).alias("x")).select("doc_id", "t", "x.*")
-    ranked = stage(_not_unique(one, ["r0"]), "rank-base")
-    ranked = stage(_not_unique(ranked, ["r0", "r1"]), "rank-pairs")
-    whole = ranked.groupBy("r0", "r1", "r2").agg(
-        F.count("*").alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "lo", "m")).alias("one")
+    runs_of = docs.where(F.octet_length("text") >= length).select("doc_id", "t", _run_column(F.col("text"), length).alias("x"))
+    one = runs_of.select("doc_id", "t", F.explode(F.arrays_zip("x.a", "x.lo", "x.m", "x.r0", "x.r1", "x.r2")).alias("x"))
+    one = one.select("doc_id", "t", "x.a", F.col("x.lo").alias("s"), "x.m", "x.r0", "x.r1", "x.r2")
+    units = stage(_not_unique(one, ["r0"]), "rank-base")
+    units = stage(_not_unique(units, ["r0", "r1"]).withColumn("w", F.lit(1)), "rank-pairs")
+    found = []
+    for size in (PART, 1, 0):
+        ranges, picks = _rank_whole(units, length)
+        found.append(ranges)
+        if size:
+            picks = picks.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "s", "m", "w")).alias("p"))
+            picks = stage(picks, "rank-part").withColumnsRenamed({"doc_id": "d", "t": "u"})
+            # a repeated row's runs all weigh two, so reading its text twice changes nothing
+            texts = docs.join(small(picks), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")))
+            units = texts.select("doc_id", "t", _part_column(F.col("text"), F.col("p"), length, size).alias("x"))
+            units = units.select("doc_id", "t", F.explode(F.arrays_zip("x.s", "x.m", "x.r1", "x.r2", "x.w")).alias("x"))
+            units = units.select("doc_id", "t", F.col("x.s").alias("a"), "x.s", "x.m", F.lit(0).cast("long").alias("r0"), "x.r1", "x.r2", "x.w")
+            units = stage(units, "ranked-parts")
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _rank_whole(units: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Last round for runs of starts (``s``, ``m``) of weight ``w`` (2: known
+    to repeat).  Returns the ranges of those that repeat as a whole, and
+    representatives of runs that may repeat in part."""
+    whole = units.groupBy("r0", "r1", "r2").agg(
+        F.sum("w").alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "s", "m", "a")).alias("one")
     )
-    whole = stage(whole, "rank-runs")
-    ranges = ranked.join(whole.where("c > 1").select("r0", "r1", "r2"), ["r0", "r1", "r2"], "left_semi").select(
-        "doc_id", "t", F.col("lo").alias("s"), (F.col("lo") + F.col("m") - 1 + length).alias("e")
+    whole = stage(whole, "rank-whole")
+    same = whole.where("c > 1").select("r0", "r1", "r2")
+    ranges = units.where("w = 1").join(same, ["r0", "r1", "r2"], "left_semi").select(
+        "doc_id", "t", "s", (F.col("s") + F.col("m") - 1 + length).alias("e")
     )
-    # ranks of the second round with several runs: at least one of them may match in part
     mixed = whole.groupBy("r0", "r1").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 AND least = 1")
-    picks = whole.join(mixed.select("r0", "r1"), ["r0", "r1"], "left_semi").select("one.*", "r2", "c")
-    weights = picks.select("doc_id", "t", "lo", "m", F.struct("r2", "c").alias("w"))
-    picks = weights.groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "m", F.when(F.col("w.c") > 1, 2).otherwise(1).cast("long").alias("r2"))).alias("p"))
-    picks = stage(picks, "partial-runs").withColumnsRenamed({"doc_id": "d", "t": "u"})
-    texts = docs.join(small(picks), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u"))).dropDuplicates(["doc_id", "t"])
-    starts = texts.select("doc_id", "t", _start_column(F.col("text"), F.col("p"), length).alias("x"))
-    starts = starts.select("doc_id", "t", F.explode(F.arrays_zip("x.s", "x.h", "x.r2")).alias("x")).select(
-        "doc_id", "t", "x.s", "x.h", F.col("x.r2").alias("w")
-    )
-    starts = stage(starts, "rank-starts")
-    shared = starts.groupBy("h").agg(F.sum("w").alias("c"), F.min("w").alias("least")).where("c > 1 AND least = 1").select("h")
-    parts = starts.where("w = 1").join(shared, "h", "left_semi").select("doc_id", "t", "s", (F.col("s") + length).alias("e"))
-    return ranges.unionByName(parts)
+    picks = whole.join(mixed.select("r0", "r1"), ["r0", "r1"], "left_semi")
+    return ranges, picks.select("one.*", F.least("c", F.lit(2)).cast("int").alias("w")).drop("none")
 
 
 def merged(spans: DataFrame) -> DataFrame:
