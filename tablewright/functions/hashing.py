@@ -21,7 +21,7 @@ ALGORITHMS = ("sha256",)
 
 def row_hash_column(df: DataFrame, columns: Sequence[str], algo: str = "sha256") -> Column:
     if algo not in ALGORITHMS:
-        raise ValueError(f"Unsupported hash algorithm: {algo!r}")
+        raise ValueError(f"row hash algorithm must be one of {ALGORITHMS}, not {algo!r}")
     cols = idents(columns)
     parts = [F.coalesce(canon(F.col(c), field_type(df, c)), F.lit("")) for c in cols]
     return F.sha2(F.concat_ws(SEPARATOR, *parts), 256)

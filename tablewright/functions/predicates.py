@@ -88,10 +88,10 @@ def condition(spec: dict, df: DataFrame | None = None) -> Column:
     groups = [k for k in ("and", "or") if k in spec]
     if groups:
         if len(groups) != 1 or len(spec) != 1:
-            raise ValueError("Condition group requires exactly one of 'and' or 'or'")
+            raise ValueError("a condition holds one key, 'and' or 'or', when it is a group")
         members = spec[groups[0]]
         if not isinstance(members, list) or not members:
-            raise ValueError("Condition group cannot be empty")
+            raise ValueError("'and' / 'or' needs a list of at least one condition")
         parts = [condition(m, df) for m in members]
         return reduce(and_ if groups[0] == "and" else or_, parts)
     extra = set(spec) - {"column", "op", "value"}

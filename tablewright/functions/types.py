@@ -116,16 +116,14 @@ def convert(col: Column, type_name: str, fmt: str | None = None, strict: bool =
     return col.cast(target) if strict else col.try_cast(target)
 
 
-def canon(col: Column, dtype: T.DataType, *, double_scale: int = 6) -> Column:
+def canon(col: Column, dtype: T.DataType) -> Column:
     """Canonical text of a value, identical across runs and engines.
 
     integers / strings / booleans / dates / decimals: plain cast;
-    floats: through ``decimal(38, double_scale)`` (avoids ``1.0E10`` forms);
-    NaN, infinities and values beyond that decimal keep Spark's own text;
+    floats: the shortest text that reads back as the same value, so two
+    different values never share a text;
     timestamps: ``yyyy-MM-dd HH:mm:ss.SSSSSS``.
     """
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.coalesce(col.try_cast(f"decimal(38,{double_scale})").cast("string"), col.cast("string"))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):

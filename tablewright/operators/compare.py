@@ -60,7 +60,7 @@ def _kernel(
     status_column: str,
     on_duplicate_keys: str = "allow",
     columns: str = "all",
-    split_full_join: bool = True,
+    split_full_join: bool = False,
 ) -> DataFrame:
     ks = idents(keys, what="keys")
     cmp = idents(compare_columns or [], allow_empty=True)
@@ -151,21 +151,21 @@ SNAPSHOT_LABELS = ("REMOVED", "ADDED", "CHANGED", "UNCHANGED")
 
 def reconcile(
     src, tgt, keys, compare_columns=None, tolerance=None, *, status_column="recon_status", on_duplicate_keys="allow", columns="all",
-    split_full_join=True,
+    split_full_join=False,
 ):
     return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
 
 
 def delta(
     old, new, keys, compare_columns=None, tolerance=None, *, status_column="change_type", on_duplicate_keys="allow", columns="all",
-    split_full_join=True,
+    split_full_join=False,
 ):
     return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
 
 
 def snapshot_diff(
     d1, d2, keys, compare_columns=None, tolerance=None, *, status_column="change_status", on_duplicate_keys="allow", columns="all",
-    split_full_join=True,
+    split_full_join=False,
 ):
     return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
 
@@ -174,6 +174,7 @@ RULE_OPS = ("eq", "neq", "gt", "gte", "lt", "lte")
 
 
 def _rule(left: Column, right: Column, op: str, tolerance: float) -> Column:
+    """``tolerance`` counts for numbers only (the caller passes 0 for others)."""
     if op == "eq":
         return F.abs(left - right) <= F.lit(tolerance) if tolerance else left == right
     if op == "neq":
@@ -229,7 +230,8 @@ def cross_validate(
         require_columns(j, [lc, rc], where="joined input")
         op = rule.get("op", "eq")
         if op not in RULE_OPS:
-            raise ValueError(f"Unsupported cross-validate op: {op!r}")
-        checks.append(_rule(F.col(lc), F.col(rc), op, float(rule.get("tolerance") or 0.0)))
+            raise ValueError(f"rule op must be one of {RULE_OPS}, not {op!r}")
+        numbers = all(isinstance(field_type(j, c), T.NumericType) for c in (lc, rc))
+        checks.append(_rule(F.col(lc), F.col(rc), op, float(rule.get("tolerance") or 0.0) if numbers else 0.0))
     ok = reduce(and_, checks)
     return j.withColumn(status_column, F.when(F.coalesce(ok, F.lit(False)), F.lit("PASS")).otherwise(F.lit("FAIL")))

@@ -82,7 +82,7 @@ def merge_join(
     *,
     null_safe: bool = False,
     broadcast_max_bytes: int | None = None,
-    split_full_join: bool = True,
+    split_full_join: bool = False,
 ) -> DataFrame:
     """Equi-join on key pairs (names may differ between the sides).
 
@@ -97,6 +97,9 @@ def merge_join(
     lkeys, rkeys = _pairs(on)
     require_columns(left, lkeys, where="left input")
     require_columns(right, rkeys, where="right input")
+    # names as the inputs spell them
+    lkeys = [{c.lower(): c for c in left.columns}[k.lower()] for k in lkeys]
+    rkeys = [{c.lower(): c for c in right.columns}[k.lower()] for k in rkeys]
     kind = JOIN_TYPES[how]
     if kind == "left_semi":
         return semi_join(left, right, on, broadcast_max_bytes=broadcast_max_bytes)
@@ -197,8 +200,19 @@ def _parse_duration_seconds(text: str) -> float:
     return total
 
 
-def _time_key(col: Column, dt: T.DataType) -> tuple[Column, float]:
-    """Numeric ordering key for ``on`` and the number of key units per second
+def _key_type(left: T.DataType, right: T.DataType) -> T.DataType:
+    """A type that holds numeric keys of both sides exactly: long for
+    integers, decimal where a decimal takes part, double for floats."""
+    both = (left, right)
+    if all(isinstance(t, T.IntegralType) for t in both):
+        return T.LongType()
+    if all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in both):
+        return T.DecimalType(38, max(t.scale for t in both if isinstance(t, T.DecimalType)))
+    return T.DoubleType()
+
+
+def _time_key(col: Column, dt: T.DataType, numeric: T.DataType) -> tuple[Column, float]:
+    """Ordering key for ``on`` and the number of key units per second
     (timestamps: microseconds; dates: days; numbers: the value)."""
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         epoch = F.lit("1970-01-01 00:00:00").cast(dt.simpleString())
@@ -206,7 +220,7 @@ def _time_key(col: Column, dt: T.DataType) -> tuple[Column, float]:
     if isinstance(dt, T.DateType):
         return F.unix_date(col).cast("long"), 1 / 86400
     if isinstance(dt, T.NumericType):
-        return col.cast("double"), 1.0
+        return col.cast(numeric), 1.0
     raise ValueError(f"as-of key must be numeric, date or timestamp, not {dt.simpleString()}")
 
 
@@ -224,7 +238,7 @@ def _tolerance_units(tolerance, dt: T.DataType, per_second: float) -> float | No
     return float(tolerance)
 
 
-def _quantile_buckets(L: DataFrame, R: DataFrame, rows_per_bucket: int, max_buckets: int) -> tuple[DataFrame, DataFrame, bool]:
+def _quantile_buckets(L: DataFrame, R: DataFrame, rows_per_bucket: int, max_buckets: int | None) -> tuple[DataFrame, DataFrame, bool]:
     """Add ``_tw_b`` to both sides: the index of the key's quantile range.
     Bounds come from one aggregate (a count and ``percentile_approx``; only
     the bound list reaches the driver); the index is found by the JVM
@@ -232,7 +246,8 @@ def _quantile_buckets(L: DataFrame, R: DataFrame, rows_per_bucket: int, max_buck
     several quantiles (a heavy tie no bucket can split)."""
     times = L.select("_tw_t").unionByName(R.select("_tw_t"))
     n = times.count()
-    nb = min(max_buckets, max(1, -(-n // max(1, rows_per_bucket))))
+    nb = max(1, -(-n // max(1, rows_per_bucket)))
+    nb = min(nb, max_buckets) if max_buckets else nb
     if nb <= 1:
         return L.withColumn("_tw_b", F.lit(0).cast("long")), R.withColumn("_tw_b", F.lit(0).cast("long")), False
     probs = [i / nb for i in range(1, nb)]
@@ -261,7 +276,7 @@ def asof_join(
     suffix: str = "_right",
     bucket_width: float | None = None,
     rows_per_bucket: int = 1_000_000,
-    max_buckets: int = 10_000,
+    max_buckets: int | None = None,
     collapse_ties: bool | None = None,
 ) -> DataFrame:
     """For each left row, the right row with the nearest ``right_on`` value
@@ -273,8 +288,8 @@ def asof_join(
     Plan: both sides are unioned and cut into (by, time bucket) window
     partitions, so neither a hot ``by`` key nor a missing ``by`` puts all rows in
     one task.  Bucket bounds are approximate quantiles of the key (one small
-    eager aggregate; about ``rows_per_bucket`` rows each, at most
-    ``max_buckets``), so a burst of rows in a short time span is split too;
+    eager aggregate; about ``rows_per_bucket`` rows each;
+    ``max_buckets`` caps their number), so a burst of rows in a short time span is split too;
     ``bucket_width`` gives fixed-width buckets instead.  When one time value
     holds more rows than a bucket (seen from repeated quantile bounds, or
     ``collapse_ties=True``), rows are first reduced to one per (by, time) a
@@ -294,8 +309,9 @@ def asof_join(
     ldt, rdt = field_type(left, lon), field_type(right, ron)
     if type(ldt) is not type(rdt) and not (isinstance(ldt, T.NumericType) and isinstance(rdt, T.NumericType)):
         raise ValueError(f"as-of keys differ in type: {ldt.simpleString()} vs {rdt.simpleString()}")
-    lkey, per_second = _time_key(F.col(lon), ldt)
-    rkey, _ = _time_key(F.col(ron), rdt)
+    numeric = _key_type(ldt, rdt)
+    lkey, per_second = _time_key(F.col(lon), ldt, numeric)
+    rkey, _ = _time_key(F.col(ron), rdt, numeric)
     tol = _tolerance_units(tolerance, ldt, per_second)
 
     by_l = _lower(bys)
@@ -350,37 +366,40 @@ def asof_join(
 
     rtype = R.schema["_tw_r"].dataType
     ltype = L_ok.schema["_tw_l"].dataType
+    ktype = L_ok.schema["_tw_t"].dataType
     null_r, null_l = F.lit(None).cast(rtype), F.lit(None).cast(ltype)
     # side: 0 carried-in row from earlier buckets, 1 right row, 2 left row,
     # 3 carried-in row from later buckets
     # both carried rows of a bucket come out of one pass over the bucket
     # table (one explode), so the summary is planned and shuffled once
-    # a carried-in row sorts before (after) every row of its bucket
+    # a carried-in row sorts before (after) every row of its bucket, by a
+    # leading order column, so keys keep their own exact type
     carried = []
     if want_b:
-        carried.append(F.struct(F.lit(float("-inf")).alias("t"), F.lit(0).alias("s"), F.col("_tw_cb").alias("r")))
+        carried.append(F.struct(F.lit(0).alias("s"), F.col("_tw_cb").alias("r")))
     if want_f:
-        carried.append(F.struct(F.lit(float("inf")).alias("t"), F.lit(3).alias("s"), F.col("_tw_cf").alias("r")))
+        carried.append(F.struct(F.lit(3).alias("s"), F.col("_tw_cf").alias("r")))
     carry_rows = (
         carry.select(*part, F.explode(F.array(*carried)).alias("_tw_c"))
         .filter(F.col("_tw_c.r").isNotNull())
-        .select(*part, F.col("_tw_c.t").alias("_tw_t"), F.col("_tw_c.s").alias("_tw_s"), null_l.alias("_tw_l"), F.col("_tw_c.r").alias("_tw_r"))
+        .select(*part, F.lit(None).cast(ktype).alias("_tw_t"), F.col("_tw_c.s").alias("_tw_s"), null_l.alias("_tw_l"), F.col("_tw_c.r").alias("_tw_r"))
     )
     rows = [
-        L_ok.select(*part, F.col("_tw_t").cast("double").alias("_tw_t"), F.lit(2).alias("_tw_s"), "_tw_l", null_r.alias("_tw_r")),
-        R.select(*part, F.col("_tw_t").cast("double").alias("_tw_t"), F.lit(1).alias("_tw_s"), null_l.alias("_tw_l"), "_tw_r"),
+        L_ok.select(*part, "_tw_t", F.lit(2).alias("_tw_s"), "_tw_l", null_r.alias("_tw_r")),
+        R.select(*part, "_tw_t", F.lit(1).alias("_tw_s"), null_l.alias("_tw_l"), "_tw_r"),
         carry_rows,
     ]
     u = reduce(lambda a, b: a.unionByName(b), rows)
+    place = F.when(F.col("_tw_s") == 0, 0).when(F.col("_tw_s") == 3, 2).otherwise(1)
     out = u
     if want_b:
         # right rows at an equal key sort before the left row: r.on <= l.on
-        wbk = Window.partitionBy(*part).orderBy("_tw_t", "_tw_s", "_tw_r").rowsBetween(Window.unboundedPreceding, 0)
+        wbk = Window.partitionBy(*part).orderBy(place, "_tw_t", "_tw_s", "_tw_r").rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumn("_tw_mb", F.last("_tw_r", ignorenulls=True).over(wbk))
     if want_f:
         # for the forward pass left rows sort first at an equal key: r.on >= l.on
         side_f = F.when(F.col("_tw_s") == 2, F.lit(0)).otherwise(F.col("_tw_s"))
-        wfk = Window.partitionBy(*part).orderBy("_tw_t", side_f, F.col("_tw_r").desc()).rowsBetween(0, Window.unboundedFollowing)
+        wfk = Window.partitionBy(*part).orderBy(place, "_tw_t", side_f, F.col("_tw_r").desc()).rowsBetween(0, Window.unboundedFollowing)
         out = out.withColumn("_tw_mf", F.first("_tw_r", ignorenulls=True).over(wfk))
     out = out.filter(F.col("_tw_s") == 2)
 
@@ -397,8 +416,7 @@ def asof_join(
         pick = best if tol is None else F.when(best_gap <= F.lit(tol), best)
     if collapse:
         found = out.select(*bkeys, "_tw_b", "_tw_t", pick.alias("_tw_m"))
-        rows_t = L_rows.withColumn("_tw_t", F.col("_tw_t").cast("double"))
-        matched = rows_t.join(found, [*bkeys, "_tw_b", "_tw_t"], "inner").select("_tw_l", "_tw_m")
+        matched = L_rows.join(found, [*bkeys, "_tw_b", "_tw_t"], "inner").select("_tw_l", "_tw_m")
     else:
         matched = out.select("_tw_l", pick.alias("_tw_m"))
     skipped = L_skip.select("_tw_l", null_r.alias("_tw_m"))

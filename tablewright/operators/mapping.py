@@ -59,7 +59,7 @@ def validate_mappings(mappings: Sequence[dict]) -> None:
                 raise ValueError(f"unknown operation fields: {sorted(extra)}")
             kind = op.get("type")
             if kind not in OPERATION_ARITY:
-                raise ValueError(f"Unsupported target operation: {kind!r}")
+                raise ValueError(f"no mapping operation is named {kind!r}")
             cols = op.get("columns") or []
             want = OPERATION_ARITY[kind]
             if (want is None and len(cols) < 1) or (want is not None and len(cols) != want):
@@ -136,7 +136,7 @@ def mapping_column(df: DataFrame, m: dict, on_zero: str = "null") -> Column:
         expr = _operation(df, m["operation"], on_zero)
     t = m["target_column"]
     if m.get("nullable", True) is False:
-        expr = F.when(expr.isNull(), F.raise_error(F.lit(f"Target column '{t}' is non-nullable but contains nulls"))).otherwise(expr)
+        expr = F.when(expr.isNull(), F.raise_error(F.lit(f"null in column '{t}', which is mapped as non-nullable"))).otherwise(expr)
     return expr.alias(t)
 
 
@@ -150,6 +150,6 @@ def map_target(df: DataFrame, mappings: Sequence[dict], *, on_zero: str = "null"
         have = {c.lower() for c in df.columns}
         missing = sorted(c for c in need if c.lower() not in have)
         if missing:
-            raise ValueError(f"Target column '{m['target_column']}' references missing columns: {missing}")
+            raise ValueError(f"mapping of '{m['target_column']}' reads missing columns {missing}")
     require_columns(df, [c for m in mappings for c in required_columns(m)])
     return df.select(*[mapping_column(df, m, on_zero) for m in mappings])

@@ -7,6 +7,7 @@ take an explicit ``order_by`` because a distributed frame has no input order.
 """
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,21 +66,12 @@ def sort_rows(df: DataFrame, columns: Sequence[str], order: str = "asc", nulls_l
     return df.orderBy(*[key(c) for c in cols])
 
 
-# A limit funnels its rows through one task; above this many rows the cap
-# is taken by hash order instead (spread over all tasks).
-SINGLE_TASK_LIMIT = 1_000_000
-
-
-def limit_rows(df: DataFrame, n: int, *, single_task_max: int = SINGLE_TASK_LIMIT) -> DataFrame:
-    """At most ``n`` rows, no particular ones (as SQL ``LIMIT`` without
-    ``ORDER BY``).  Up to ``single_task_max`` rows this is Spark's limit, which
-    stops reading early; a larger cap is taken as the ``n`` rows with the
-    smallest row hash, so the rows never pass through a single task."""
+def limit_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows: after a sort the top rows in its order, otherwise
+    no particular ones.  Always Spark's limit, for any ``n``."""
     if not isinstance(n, int) or isinstance(n, bool) or n < 1:
         raise ValueError("limit must be a positive integer")
-    if n <= single_task_max:
-        return df.limit(n)
-    return _hash_select(df, list(df.columns), 0, lambda total: F.least(F.lit(n).cast("long"), total))
+    return df.limit(n)
 
 
 # ---------------------------------------------------------------- sample
@@ -96,16 +88,22 @@ def sample_rows(
     """Random sample without replacement.
 
     ``exact=False``: Bernoulli sample (one pass, no shuffle, size close to
-    ``n * fraction``).  ``exact=True``: exactly ``floor(n * fraction)`` rows, the
+    ``n * fraction``): a row stays if the first 32 bits of its SHA-256 over
+    ``columns`` (default: all) and the seed are below the fraction, so the
+    choice does not depend on partitioning and equal rows stay or go together.  ``exact=True``: exactly ``floor(n * fraction)`` rows, the
     ones with the smallest SHA-256 of ``columns`` (default: all) and the seed.
     """
     if not (0 < float(fraction) <= 1):
         raise ValueError("sample_fraction must be in (0, 1]")
-    if not exact:
-        return df.sample(withReplacement=False, fraction=float(fraction), seed=seed)
     cols = idents(columns) if columns else list(df.columns)
+    if not exact:
+        cut = int(float(fraction) * (1 << 32))
+        if cut >= 1 << 32:
+            return df
+        chosen = random.getrandbits(63) if seed is None else int(seed)
+        return df.filter(F.substring(seeded_hash(df, cols, chosen), 1, 8) < F.lit(f"{cut:08x}"))
     frac = float(fraction)
-    return _hash_select(df, cols, 0 if seed is None else int(seed), lambda total: F.floor(total * F.lit(frac)))
+    return _hash_select(df, cols, 0 if seed is None else int(seed), lambda total: int(total * frac))
 
 
 def seeded_hash(df: DataFrame, columns: Sequence[str], seed: int) -> Column:
@@ -113,81 +111,46 @@ def seeded_hash(df: DataFrame, columns: Sequence[str], seed: int) -> Column:
     return F.sha2(F.concat_ws("|", *parts, F.lit(str(seed))), 256)
 
 
-def _cumulative(hist: DataFrame, order: str, count: str, need: Column, prefix: str) -> DataFrame:
-    """For a small histogram, mark each bucket in / edge / out of the first
-    ``need`` rows in ``order``.  ``need`` is an expression over the histogram."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(count).over(w), F.lit(0))
-    return (
-        hist.withColumn(f"{prefix}_before", before)
-        .withColumn(f"{prefix}_need", need - F.col(f"{prefix}_before"))
-        .withColumn(
-            f"{prefix}_state",
-            F.when(F.col(f"{prefix}_need") >= F.col(count), F.lit("in"))
-            .when(F.col(f"{prefix}_need") > 0, F.lit("edge"))
-            .otherwise(F.lit("out")),
-        )
-    )
-
-
-def _hash_select(df: DataFrame, cols: Sequence[str], seed: int, need) -> DataFrame:
-    """The ``need(total)`` rows with the smallest seeded hash of ``cols``."""
-    # The cut is found with three small histograms, each written to the shared
-    # scratch folder as soon as it is known:
-    #   1) 65,536 buckets on the first 16 bits of the hash,
-    #   2) 65,536 buckets on the next 16 bits, inside the one edge bucket,
-    #   3) distinct full hashes inside the one edge (b1, b2) bucket.
-    # These passes read only the hashed columns.  The returned plan is one pass
-    # over the input joined with the written histograms (the first two hold
-    # at most 65,536 rows and are broadcast).  Rows tied on the hash at the
-    # cut are equal on the hashed columns; only when such a tie exists is that
-    # group written once more and split by per-partition quotas, so no task
-    # ever holds a large group.
-    require_columns(df, cols)
-    base = df.columns
-    x = (
-        df.withColumn("_tw_h", seeded_hash(df, cols, seed))
-        .withColumn("_tw_b1", F.substring("_tw_h", 1, 4))
-        .withColumn("_tw_b2", F.substring("_tw_h", 5, 4))
-    )
-    keys = x.select("_tw_h", "_tw_b1", "_tw_b2")
-    everyone = Window.partitionBy()  # over a bounded histogram only
-
-    h1 = keys.groupBy("_tw_b1").agg(F.count(F.lit(1)).alias("_tw_c1"))
-    h1 = _cumulative(h1, "_tw_b1", "_tw_c1", need(F.sum("_tw_c1").over(everyone)), "_tw_1")
-    h1 = write_staging(h1.select("_tw_b1", "_tw_1_state", "_tw_1_need"))
-    edge1 = F.broadcast(h1.filter(F.col("_tw_1_state") == "edge"))
-
-    e1 = keys.join(edge1, "_tw_b1")
-    h2 = e1.groupBy("_tw_b2").agg(F.count(F.lit(1)).alias("_tw_c2"), F.max("_tw_1_need").alias("_tw_n1"))
-    h2 = _cumulative(h2, "_tw_b2", "_tw_c2", F.max("_tw_n1").over(everyone), "_tw_2")
-    h2 = write_staging(h2.select("_tw_b2", "_tw_2_state", "_tw_2_need"))
-    edge2 = F.broadcast(h2.filter(F.col("_tw_2_state") == "edge"))
-
-    e2 = e1.join(edge2, "_tw_b2")
-    h3 = e2.groupBy("_tw_h").agg(F.count(F.lit(1)).alias("_tw_c3"), F.max("_tw_2_need").alias("_tw_n2"))
-    h3 = _cumulative(h3, "_tw_h", "_tw_c3", F.max("_tw_n2").over(everyone), "_tw_3")
-    h3 = write_staging(h3.select("_tw_h", "_tw_3_state", "_tw_3_need"))
-
-    y1 = x.join(F.broadcast(h1), "_tw_b1")
-    take1 = y1.filter(F.col("_tw_1_state") == "in").select(*base)
-    y2 = y1.filter(F.col("_tw_1_state") == "edge").join(F.broadcast(h2), "_tw_b2")
-    take2 = y2.filter(F.col("_tw_2_state") == "in").select(*base)
-    y3 = y2.filter(F.col("_tw_2_state") == "edge").join(h3, "_tw_h")
-    take3 = y3.filter(F.col("_tw_3_state") == "in").select(*base)
-    out = take1.unionByName(take2).unionByName(take3)
-    if h3.filter(F.col("_tw_3_state") == "edge").limit(1).count() == 0:
-        return out
-    # A tie at the cut: its rows are written once, so partition ids are data
-    # (file splits) and agree between the counting pass and the taking pass.
-    staged = write_staging(y3.filter(F.col("_tw_3_state") == "edge").select(*base, "_tw_3_need"))
-    staged = staged.withColumn("_tw_pid", F.spark_partition_id())
-    per_part = staged.groupBy("_tw_pid").agg(F.count(F.lit(1)).alias("_tw_c4"), F.max("_tw_3_need").alias("_tw_n3"))
-    per_part = _cumulative(per_part, "_tw_pid", "_tw_c4", F.max("_tw_n3").over(everyone), "_tw_4")
-    x4 = staged.join(F.broadcast(per_part.select("_tw_pid", "_tw_4_need")), "_tw_pid")
-    rn = F.row_number().over(Window.partitionBy("_tw_pid").orderBy(*[F.col(c).asc_nulls_first() for c in base]))
-    take4 = x4.withColumn("_tw_rn", rn).filter(F.col("_tw_rn") <= F.col("_tw_4_need")).select(*base)
-    return out.unionByName(take4)
+def _cut(counts: dict[str, int], need: int) -> tuple[str, int, int]:
+    """The value at which sorted counts reach ``need``, the rows needed of it,
+    and its rows."""
+    for value in sorted(counts):
+        if need <= counts[value]:
+            return value, need, counts[value]
+        need -= counts[value]
+    raise ValueError("fewer rows than asked for")
+
+
+def _hash_select(df: DataFrame, cols: Sequence[str], seed: int, share) -> DataFrame:
+    """The ``share(total)`` rows with the smallest seeded hash of ``cols``.
+
+    The last hash taken is found by three aggregates over the hashed columns:
+    counts by the first 16 bits (at most 65,536 rows to the driver), by the
+    next 16 bits within the bucket of the cut, and by whole hashes within that
+    (the rows' 2^32nd part).  The returned plan is one scan with a filter.  Rows
+    that share the last hash are told apart by a hash of the whole row; of rows
+    that are equal altogether one is repeated.
+    """
+    h = seeded_hash(df, cols, seed)
+
+    def count(part: Column, rows: DataFrame) -> dict[str, int]:
+        return {r.v: r.n for r in rows.groupBy(part.alias("v")).agg(F.count("*").alias("n")).collect()}
+
+    first = count(F.substring(h, 1, 4), df)
+    need = share(sum(first.values()))
+    if need <= 0:
+        return df.limit(0)
+    a, need, _ = _cut(first, need)
+    b, need, _ = _cut(count(F.substring(h, 5, 4), df.filter(h.startswith(a))), need)
+    last, need, tied = _cut(count(h, df.filter(h.startswith(a + b))), need)
+    if need == tied:
+        return df.filter(h <= last)
+    ties = df.filter(h == last)
+    if {c.lower() for c in cols} == {c.lower() for c in df.columns}:
+        some = ties.limit(1).select("*", F.explode(F.sequence(F.lit(1), F.lit(need))).alias("_tw_n")).drop("_tw_n")
+    else:
+        some = _hash_select(ties, list(df.columns), seed, lambda total: need)
+    return df.filter(h < last).unionByName(some)
 
 
 # ---------------------------------------------------------------- de-duplicate

@@ -42,7 +42,6 @@ _ORDER_KEEPING = {
 class Built:
     datasets: dict[str, DataFrame]
     final: DataFrame
-    source_counts: dict[str, Observation] = field(default_factory=dict)
     pending: list = field(default_factory=list)  # (label, DataFrame, target kwargs)
     step_ms: dict[str, float] = field(default_factory=dict)
 
@@ -139,20 +138,20 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
     if a == "action-rolling-join":
         return joins.asof_join(x, ins[1], c["on"], right_on=c.get("right_on"), by=c.get("by"), strategy=c.get("strategy", "backward"),
                                tolerance=c.get("tolerance"), suffix=c.get("suffix", "_right"), bucket_width=c.get("bucket_width"),
-                               rows_per_bucket=c.get("rows_per_bucket", 1_000_000), max_buckets=c.get("max_buckets", 10_000),
+                               rows_per_bucket=c.get("rows_per_bucket", 1_000_000), max_buckets=c.get("max_buckets"),
                                collapse_ties=c.get("collapse_ties"))
     if a == "action-anti-join":
         return joins.anti_join(x, ins[1], c["on"], flag=flag, broadcast_max_bytes=c.get("broadcast_max_bytes"))
     raise ValueError(f"Unsupported action: {a!r}")
 
 
-def build(spark: SparkSession, spec: Spec | dict, *, count_sources: bool = True) -> Built:
-    spec = parse_spec(spec) if isinstance(spec, dict) else spec
-    data: dict[str, DataFrame] = {}
-    orders: dict[str, list[str] | None] = {}
-    built = Built(data, None)  # type: ignore[arg-type]
-    # only sources the final dataset reads get a row counter: an observation
-    # on a dataset that never runs would never report
+def _source(spark: SparkSession, spec: Spec, s) -> DataFrame:
+    return read_source(spark, path=s.path, format=s.format, table=s.table, jdbc=s.jdbc, columns=s.columns,
+                       filters=s.filters, limit=spec.options.max_rows_per_source, options=s.options)
+
+
+def _read_by(spec: Spec) -> set[str]:
+    """Names of the datasets that the final one is made from."""
     deps = {st.name: st.inputs for st in spec.steps}
     reach, todo = set(), [spec.final]
     while todo:
@@ -160,13 +159,16 @@ def build(spark: SparkSession, spec: Spec | dict, *, count_sources: bool = True)
         if n not in reach:
             reach.add(n)
             todo.extend(deps.get(n, []))
+    return reach
+
+
+def build(spark: SparkSession, spec: Spec | dict) -> Built:
+    spec = parse_spec(spec) if isinstance(spec, dict) else spec
+    data: dict[str, DataFrame] = {}
+    orders: dict[str, list[str] | None] = {}
+    built = Built(data, None)  # type: ignore[arg-type]
     for s in spec.sources:
-        df = read_source(spark, path=s.path, format=s.format, table=s.table, jdbc=s.jdbc, columns=s.columns,
-                         filters=s.filters, limit=spec.options.max_rows_per_source, options=s.options)
-        if count_sources and spec.options.collect_metrics and s.name in reach:
-            obs = Observation(f"tw_src_{s.name}")
-            df = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-            built.source_counts[s.name] = obs
+        df = _source(spark, spec, s)
         data[s.name] = df
         orders[s.name] = None
     for st in spec.steps:
@@ -206,7 +208,11 @@ def run(spark: SparkSession, spec: Spec | dict) -> RunReport:
         report = write(built.final, path=t.path, table=t.table, jdbc=t.jdbc, format=t.format, mode=t.write_mode,
                        merge_keys=t.merge_keys, create_if_missing=t.create_if_missing,
                        bucket_by=(t.bucket_by[0], t.bucket_by[1]) if t.bucket_by else None)
-    # sources the written plan read report within moments of the write
-    counts = {name: observed_rows(obs, wait_s=5.0) for name, obs in built.source_counts.items()}
+    # a counter inside the plan would keep filters from reaching the scan, so
+    # counts that are asked for are jobs of their own, over no columns
+    counts = {}
+    if spec.options.count_sources:
+        reach = _read_by(spec)
+        counts = {s.name: _source(spark, spec, s).count() for s in spec.sources if s.name in reach}
     return RunReport(spec.final, list(built.final.columns), report.rows_written if report else None,
                      report.target if report else None, counts, side, built.step_ms, time.perf_counter() - t0)

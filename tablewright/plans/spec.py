@@ -139,7 +139,7 @@ class Target:
     format: str = "parquet"
     write_mode: str = "append"
     merge_keys: list[str] | None = None
-    create_if_missing: bool = True
+    create_if_missing: bool = False
     column_mappings: list[dict] | None = None
     bucket_by: list | None = None  # [n, [keys]] for catalog tables
 
@@ -149,6 +149,7 @@ class Options:
     final_dataset: str | None = None
     max_rows_per_source: int | None = None
     collect_metrics: bool = True
+    count_sources: bool = False
 
 
 @dataclass
@@ -173,7 +174,7 @@ def _parse_output(o: Any, action: str) -> Output | None:
     tc = o.get("target_column")
     if mode == "flag_column":
         if not tc:
-            raise ValueError("output.target_column is required when output.mode='flag_column'")
+            raise ValueError("flag_column mode needs target_column, the name of the flag")
         if action not in FLAG_ACTIONS:
             raise ValueError(f"{action} does not support output mode 'flag_column'")
     if tc is not None:
@@ -205,7 +206,7 @@ def parse_step(d: dict) -> Step:
     if missing:
         raise ValueError(f"{name} config: missing fields {sorted(missing)}")
     if action == "action-sample-limit" and (cfg.get("limit") is None) == (cfg.get("sample_fraction") is None):
-        raise ValueError("Specify exactly one of limit or sample_fraction")
+        raise ValueError("give either limit or sample_fraction, not both or neither")
     return Step(action, name, list(inputs), dict(cfg), _parse_output(d.get("output"), action))
 
 
@@ -254,7 +255,7 @@ def parse_spec(d: dict) -> Spec:
     opts = Options()
     if d.get("options") is not None:
         o = dict(d["options"])
-        _fields(o, {"final_dataset", "max_rows_per_source", "collect_metrics", "parallel_load", "include_action_audit", "fail_mode"}, "options")
+        _fields(o, {"final_dataset", "max_rows_per_source", "collect_metrics", "count_sources", "parallel_load", "include_action_audit", "fail_mode"}, "options")
         # accepted for compatibility: sources are lazy and Spark schedules the
         # scans (parallel_load); plan-build times are always reported
         # (include_action_audit); fail_mode had no defined meaning

@@ -149,9 +149,13 @@ def q_sample_exact(spark, d):
     return rows.sample_rows(T(spark, d, "orders"), 0.1, 42, exact=True, columns=["o_orderkey"])
 
 
-@register("sample_bernoulli")
+@register(
+    "sample_bernoulli",
+    f"""SELECT * FROM orders
+        WHERE substr(sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')), 1, 8) < '{int(0.1 * (1 << 32)):08x}'""",
+)
 def q_sample_bernoulli(spark, d):
-    return rows.sample_rows(T(spark, d, "orders"), 0.1, 42)
+    return rows.sample_rows(T(spark, d, "orders"), 0.1, 42, columns=["o_orderkey"])
 
 
 # ------------------------------------------------------------------ de-duplicate
@@ -352,16 +356,16 @@ def q_agg_multi(spark, d):
 
 
 def _join_sides(spark, d):
-    left = T(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(
+    left = T(spark, d, "customer").select(
         "c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").alias("amount")
     )
-    right = V.big_orders(T(spark, d, "orders")).select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").alias("amount"))
+    right = T(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").alias("amount"))
     return left, right
 
 
 _JOIN_CTE = with_cte(
-    "l AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal AS amount FROM customer WHERE c_mktsegment = 'BUILDING')",
-    "r AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice AS amount FROM orders WHERE o_totalprice > 400000)",
+    "l AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal AS amount FROM customer)",
+    "r AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice AS amount FROM orders)",
 )
 
 
@@ -409,28 +413,28 @@ def q_join_full(spark, d):
 
 @register(
     "join_semi",
-    "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
+    "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
 )
 def q_join_semi(spark, d):
-    return joins.merge_join(T(spark, d, "customer"), V.big_orders(T(spark, d, "orders")), [{"left": "c_custkey", "right": "o_custkey"}], "semi")
+    return joins.merge_join(T(spark, d, "customer"), T(spark, d, "orders"), [{"left": "c_custkey", "right": "o_custkey"}], "semi")
 
 
 @register(
     "anti_join",
-    "SELECT * FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_totalprice > 400000 AND o.o_custkey = c.c_custkey)",
+    "SELECT * FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
 )
 def q_anti_join(spark, d):
-    return joins.anti_join(T(spark, d, "customer"), V.big_orders(T(spark, d, "orders")), [{"left": "c_custkey", "right": "o_custkey"}])
+    return joins.anti_join(T(spark, d, "customer"), T(spark, d, "orders"), [{"left": "c_custkey", "right": "o_custkey"}])
 
 
 @register(
     "anti_join_flag",
-    """SELECT c.*, NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_totalprice > 400000 AND o.o_custkey = c.c_custkey) AS no_big_order
+    """SELECT c.*, NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) AS no_order
        FROM customer c""",
 )
 def q_anti_join_flag(spark, d):
     return joins.anti_join(
-        T(spark, d, "customer"), V.big_orders(T(spark, d, "orders")), [{"left": "c_custkey", "right": "o_custkey"}], flag="no_big_order"
+        T(spark, d, "customer"), T(spark, d, "orders"), [{"left": "c_custkey", "right": "o_custkey"}], flag="no_order"
     )
 
 
@@ -537,7 +541,7 @@ def q_union_align(spark, d):
     "row_hash",
     with_cte(V.ORDERS_TGT_SQL)
     + """SELECT *, sha256(concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), ''), coalesce(o_orderstatus, ''),
-                 coalesce(o_orderpriority, ''), coalesce(CAST(CAST(o_totalprice AS DECIMAL(38,6)) AS VARCHAR), ''),
+                 coalesce(o_orderpriority, ''), coalesce(CAST(o_totalprice AS VARCHAR), ''),
                  coalesce(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), ''))) AS row_hash
          FROM orders_tgt""",
 )
@@ -1023,6 +1027,7 @@ def flagship_spec(sf_dir: str, target_path: str) -> dict:
         ],
         "target": {
             "write_mode": "overwrite",
+            "create_if_missing": True,
             "column_mappings": [
                 {"target_column": "customer_id", "source_column": "c_custkey", "nullable": False},
                 {"target_column": "order_id", "source_column": "o_orderkey", "nullable": False},
@@ -1041,7 +1046,7 @@ def flagship_spec(sf_dir: str, target_path: str) -> dict:
 
 FLAGSHIP_SQL = """SELECT c.c_custkey AS customer_id, o.o_orderkey AS order_id, upper(c.c_name) AS customer_name,
        o.o_totalprice + c.c_acctbal AS exposure, c.c_mktsegment = 'BUILDING' AS is_building,
-       sha256(concat_ws('|', CAST(c.c_custkey AS VARCHAR), CAST(CAST(o.o_totalprice AS DECIMAL(38,6)) AS VARCHAR),
+       sha256(concat_ws('|', CAST(c.c_custkey AS VARCHAR), CAST(o.o_totalprice AS VARCHAR),
                         coalesce(o.o_orderstatus, ''))) AS row_hash,
        'WAREHOUSE' AS load_source
 FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"""
@@ -1050,7 +1055,7 @@ FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey"""
 def flagship_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship request built lazily (no write): filter-flag, join, hash, map."""
     spec = flagship_spec(sf_dir, target_path="unused")
-    return build(spark, spec, count_sources=False).final
+    return build(spark, spec).final
 
 
 @register("flagship_build", FLAGSHIP_SQL)

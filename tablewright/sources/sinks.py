@@ -7,7 +7,10 @@ so no second pass over the data is needed for the report.
 from __future__ import annotations
 
 import time
+import re
 import uuid
+from functools import reduce
+from operator import or_
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -82,8 +85,22 @@ def _target_exists(spark: SparkSession, path: str | None, table: str | None, jdb
     try:
         spark.read.jdbc(jdbc["url"], f"(SELECT 1 AS one FROM {jdbc['table']} WHERE 1=0) t", properties=dict(jdbc.get("properties", {}))).schema
         return True
-    except Exception:
-        return False
+    except Exception as e:
+        if _MISSING_TABLE.search(str(e)):
+            return False
+        raise  # a refused connection or login says nothing about the table
+
+
+# How databases say that a table or its schema is not there.
+_MISSING_TABLE = re.compile(
+    r"does not exist|doesn't exist|not found|no such table|invalid object name|unknown table|42X05|42Y07|42P01|42S02|ORA-00942", re.I
+)
+
+
+def _shown(jdbc: Mapping) -> str:
+    """The JDBC target without credentials or parameters."""
+    url = re.sub(r"//[^/@]*@", "//", re.split(r"[;?]", jdbc["url"], maxsplit=1)[0])
+    return f"{url}::{jdbc['table']}"
 
 
 def write(
@@ -95,7 +112,7 @@ def write(
     format: str = "parquet",
     mode: str = "append",
     merge_keys: Sequence[str] | None = None,
-    create_if_missing: bool = True,
+    create_if_missing: bool = False,
     partition_by: Sequence[str] | None = None,
     options: Mapping[str, str] | None = None,
     stage_jdbc: bool = True,
@@ -118,7 +135,7 @@ def write(
     given = [x for x in (path, table, jdbc) if x is not None]
     if len(given) != 1:
         raise ValueError("a sink needs exactly one of path, table, jdbc")
-    name = path or table or f"{jdbc['url']}::{jdbc['table']}"
+    name = path or table or _shown(jdbc)
     exists = _target_exists(spark, path, table, jdbc)
     if not exists and not create_if_missing:
         raise ValueError(f"target {name} does not exist and create_if_missing is false")
@@ -171,7 +188,8 @@ def upsert_path(
     """
     spark = df.sparkSession
     keys = list(keys)
-    checked = _dedup_check(df, keys)
+    _recover(spark, path)
+    checked = _checked_source(df, keys)
     if path_exists(spark, path):
         target = spark.read.format(format).load(path)
         merged = target.join(checked.select(*keys), keys, "left_anti").unionByName(checked, allowMissingColumns=True)
@@ -199,14 +217,30 @@ def upsert_path(
     return WriteReport(path, "merge", observed_rows(obs), list(merged.columns))
 
 
-def _dedup_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Refuse a merge source with a repeated key (the merge would be
-    ambiguous).  One aggregate over the key columns only, counted partially
-    on every map task, so a hot key costs one row per task; at most one row
-    reaches the driver."""
-    dup = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()
-    if dup:
-        raise ValueError(f"merge source has duplicate keys, e.g. {dup[0].asDict()}")
+def _recover(spark: SparkSession, path: str) -> None:
+    """A merge that died between its two renames left the target under its
+    aside name: put it back before anything else looks for it."""
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        return
+    aside = fs.globStatus(_fs(spark, f"{path.rstrip('/')}.__old-*")[1]) or []
+    if len(aside) > 1:
+        raise RuntimeError(f"several unfinished merges of {path}: keep one of its .__old- folders")
+    if len(aside) == 1 and not fs.rename(aside[0].getPath(), p):
+        raise RuntimeError(f"could not put {path} back after an unfinished merge")
+
+
+def _checked_source(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The merge source, staged once so that the check and the write see the
+    same rows.  A repeated key (the merge would be ambiguous) or a null in a
+    key (it would match nothing and be added again by every retry) is refused.
+    One aggregate over the key columns, counted partially on every map task;
+    at most one row reaches the driver."""
+    df = write_staging(df)
+    null = reduce(or_, [F.col(k).isNull() for k in keys])
+    bad = df.groupBy(*keys).count().filter((F.col("count") > 1) | null).limit(1).collect()
+    if bad:
+        raise ValueError(f"merge source has duplicate or null keys, e.g. {bad[0].asDict()}")
     return df
 
 
@@ -216,16 +250,23 @@ def upsert_table(df: DataFrame, table: str, keys: Sequence[str]) -> WriteReport:
     of the lineage), then the table is overwritten from the staged copy."""
     spark = df.sparkSession
     keys = list(keys)
-    checked = _dedup_check(df, keys)
+    checked = _checked_source(df, keys)
     if spark.catalog.tableExists(table):
         current = spark.table(table)
         merged = current.join(checked.select(*keys), keys, "left_anti").unionByName(checked, allowMissingColumns=True)
-        merged = merged.select(*current.columns, *[c for c in merged.columns if c not in current.columns])
+        extra = [c for c in merged.columns if c not in current.columns]
+        if extra:
+            raise ValueError(f"columns {extra} are not in table {table}")
+        merged = merged.select(*current.columns)
     else:
         merged = checked
     staged = write_staging(merged)
     obs = Observation(f"tw_merge_{uuid.uuid4().hex[:8]}")
-    staged.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").saveAsTable(table)
+    counted = staged.observe(obs, F.count(F.lit(1)).alias("rows"))
+    if spark.catalog.tableExists(table):
+        counted.write.insertInto(table, overwrite=True)  # keeps the table's format, partitions and buckets
+    else:
+        counted.write.saveAsTable(table)
     return WriteReport(table, "merge", observed_rows(obs), list(merged.columns))
 
 
@@ -248,6 +289,7 @@ def write_staging(
 
 
 def write_quarantine(rejected: DataFrame, **target) -> WriteReport:
-    """Persist rejected rows (append by default)."""
+    """Persist rejected rows (append by default, to a new target if need be)."""
     target.setdefault("mode", "append")
+    target.setdefault("create_if_missing", True)
     return write(rejected, **target)

@@ -115,8 +115,8 @@ def test_bucketed_tables_compare_without_shuffle(spark):
     for t in ("tw_b1", "tw_b2"):
         spark.sql(f"DROP TABLE IF EXISTS {t}")
     o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_totalprice")
-    sinks.write(o, table="tw_b1", mode="overwrite", bucket_by=(4, ["o_orderkey"]))
-    sinks.write(o.withColumn("o_totalprice", o.o_totalprice + 1), table="tw_b2", mode="overwrite", bucket_by=(4, ["o_orderkey"]))
+    sinks.write(o, table="tw_b1", mode="overwrite", create_if_missing=True, bucket_by=(4, ["o_orderkey"]))
+    sinks.write(o.withColumn("o_totalprice", o.o_totalprice + 1), table="tw_b2", mode="overwrite", create_if_missing=True, bucket_by=(4, ["o_orderkey"]))
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too big to broadcast
     try:

@@ -40,7 +40,7 @@ def test_jdbc_roundtrip_partitioned(spark):
     target = {"url": url, "table": "APP.ORDERS_T", "properties": DERBY}
     with pytest.raises(ValueError, match="does not exist"):
         sinks.write(orders, jdbc=target, mode="append", create_if_missing=False)
-    rep = sinks.write(orders, jdbc=target, mode="overwrite", options={"createTableColumnTypes": "o_orderstatus VARCHAR(4)"})
+    rep = sinks.write(orders, jdbc=target, mode="overwrite", create_if_missing=True, options={"createTableColumnTypes": "o_orderstatus VARCHAR(4)"})
     assert rep.rows_written == orders.count()
     opts = JdbcOptions(url=url, table="APP.ORDERS_T", properties=DERBY, partition_column="o_orderkey",
                        lower_bound=0, upper_bound=1500, num_partitions=4)
@@ -53,7 +53,7 @@ def test_jdbc_roundtrip_partitioned(spark):
     assert "PushedFilters: [*IsNotNull(o_orderstatus), *EqualTo(o_orderstatus,F)]" in plan
     assert src.count() == orders.filter("o_orderstatus = 'F'").count()
     # append keeps the rows already there
-    sinks.write(orders.limit(10), jdbc=target, mode="append")
+    sinks.write(orders.limit(10), jdbc=target, mode="append", create_if_missing=True)
     assert read_source(spark, jdbc=opts).count() == orders.count() + 10
 
 
@@ -62,10 +62,10 @@ def test_write_modes_and_create_if_missing(spark, tmp_path):
     p = str(tmp_path / "t")
     with pytest.raises(ValueError, match="does not exist"):
         sinks.write(df, path=p, mode="append", create_if_missing=False)
-    assert sinks.write(df, path=p, mode="append").rows_written == 5
-    sinks.write(df, path=p, mode="append")
+    assert sinks.write(df, path=p, mode="append", create_if_missing=True).rows_written == 5
+    sinks.write(df, path=p, mode="append", create_if_missing=True)
     assert spark.read.parquet(p).count() == 10
-    sinks.write(df, path=p, mode="overwrite")
+    sinks.write(df, path=p, mode="overwrite", create_if_missing=True)
     assert spark.read.parquet(p).count() == 5
     with pytest.raises(ValueError):
         sinks.write(df, path=p, mode="upsert")
@@ -74,17 +74,17 @@ def test_write_modes_and_create_if_missing(spark, tmp_path):
 def test_merge_upsert(spark, tmp_path):
     p = str(tmp_path / "m")
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
-    sinks.write(base, path=p, mode="overwrite")
+    sinks.write(base, path=p, mode="overwrite", create_if_missing=True)
     upd = spark.createDataFrame([(2, "B"), (3, "C")], "k bigint, v string")
-    rep = sinks.write(upd, path=p, mode="merge", merge_keys=["k"])
+    rep = sinks.write(upd, path=p, mode="merge", create_if_missing=True, merge_keys=["k"])
     assert rep.rows_written == 3
     assert sorted(tuple(r) for r in spark.read.parquet(p).collect()) == [(1, "a"), (2, "B"), (3, "C")]
     dup = spark.createDataFrame([(4, "x"), (4, "y")], "k bigint, v string")
-    with pytest.raises(Exception, match="duplicate keys"):
-        sinks.write(dup, path=p, mode="merge", merge_keys=["k"])
+    with pytest.raises(Exception, match="duplicate or null keys"):
+        sinks.write(dup, path=p, mode="merge", create_if_missing=True, merge_keys=["k"])
     assert sorted(tuple(r) for r in spark.read.parquet(p).collect()) == [(1, "a"), (2, "B"), (3, "C")]
     fresh = str(tmp_path / "fresh")
-    sinks.write(upd, path=fresh, mode="merge", merge_keys=["k"])
+    sinks.write(upd, path=fresh, mode="merge", create_if_missing=True, merge_keys=["k"])
     assert spark.read.parquet(fresh).count() == 2
 
 
@@ -108,9 +108,9 @@ def test_scale_conf():
 def test_merge_into_catalog_table(spark):
     spark.sql("DROP TABLE IF EXISTS tw_merge_t")
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
-    sinks.write(base, table="tw_merge_t", mode="overwrite")
+    sinks.write(base, table="tw_merge_t", mode="overwrite", create_if_missing=True)
     upd = spark.createDataFrame([(2, "B"), (3, "C")], "k bigint, v string")
-    rep = sinks.write(upd, table="tw_merge_t", mode="merge", merge_keys=["k"])
+    rep = sinks.write(upd, table="tw_merge_t", mode="merge", create_if_missing=True, merge_keys=["k"])
     assert rep.rows_written == 3
     assert sorted(tuple(r) for r in spark.table("tw_merge_t").collect()) == [(1, "a"), (2, "B"), (3, "C")]
     spark.sql("DROP TABLE tw_merge_t")
@@ -122,10 +122,10 @@ def test_jdbc_non_null_violation_leaves_target_untouched(spark):
     url = "jdbc:derby:memory:twnn;create=true"
     target = {"url": url, "table": "APP.NN", "properties": DERBY}
     good = spark.createDataFrame([(1,), (2,)], "id bigint")
-    sinks.write(good, jdbc=target, mode="overwrite")
+    sinks.write(good, jdbc=target, mode="overwrite", create_if_missing=True)
     bad = map_target(spark.createDataFrame([(3,), (None,)], "id bigint"), [{"target_column": "id", "source_column": "id", "nullable": False}])
     with pytest.raises(Exception, match="non-nullable"):
-        sinks.write(bad, jdbc=target, mode="append")
+        sinks.write(bad, jdbc=target, mode="append", create_if_missing=True)
     assert read_source(spark, jdbc=JdbcOptions(url=url, table="APP.NN", properties=DERBY)).count() == 2
 
 
@@ -144,3 +144,23 @@ def test_staging_to_catalog_table(spark):
     out = sinks.write_staging(spark.range(2), mode="append", table="tw_stage.t1")
     assert out.count() == 8
     spark.sql("DROP DATABASE tw_stage CASCADE")
+
+
+def test_merge_recovers_refuses_nulls_and_keeps_the_layout(spark, tmp_path):
+    import os
+
+    p = str(tmp_path / "m")
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    sinks.write(base, path=p, mode="append", create_if_missing=True)
+    os.rename(p, p + ".__old-1")  # as a merge that died between its renames leaves it
+    sinks.write(spark.createDataFrame([(2, "x")], "k int, v string"), path=p, mode="merge", merge_keys=["k"], create_if_missing=True)
+    assert sorted(tuple(r) for r in spark.read.parquet(p).collect()) == [(1, "a"), (2, "x")]
+    with pytest.raises(ValueError, match="null keys"):
+        sinks.write(spark.createDataFrame([(None, "x")], "k int, v string"), path=p, mode="merge", merge_keys=["k"])
+    spark.sql("DROP TABLE IF EXISTS tw_layout")
+    sinks.write(base.withColumn("p", base.k), table="tw_layout", mode="append", partition_by=["p"], create_if_missing=True)
+    new = spark.createDataFrame([(2, "x", 2), (3, "c", 3)], "k int, v string, p int")
+    sinks.write(new, table="tw_layout", mode="merge", merge_keys=["k"])
+    assert sorted(tuple(r) for r in spark.table("tw_layout").collect()) == [(1, "a", 1), (2, "x", 2), (3, "c", 3)]
+    assert any(r.col_name == "# Partition Information" for r in spark.sql("DESCRIBE tw_layout").collect())
+    spark.sql("DROP TABLE tw_layout")

@@ -179,3 +179,14 @@ def test_broadcast_only_under_checked_size(spark):
         assert small.count() == cust.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_asof_keeps_large_integers_and_decimals_exact(spark):
+    big = 2**53
+    left = spark.createDataFrame([(1, big), (2, big + 2), (3, -big - 1)], "id int, at bigint")
+    right = spark.createDataFrame([(big + 1, "b"), (-big - 2, "a")], "at bigint, v string")
+    for strategy, want in (("backward", ["a", "b", "a"]), ("forward", ["b", None, "b"])):
+        for t in ("bigint", "decimal(30,2)"):
+            l, r = left.withColumn("at", left.at.cast(t)), right.withColumn("at", right.at.cast(t))
+            got = joins.asof_join(l, r, "at", strategy=strategy, rows_per_bucket=2).collect()
+            assert [x.v for x in sorted(got, key=lambda x: x.id)] == want

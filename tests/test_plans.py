@@ -3,7 +3,8 @@ pushdown, partial aggregation / partial window limit before the shuffle,
 top-k without a global sort, bounded broadcasts only)."""
 import pytest
 
-import __spark_entry__ as E
+from tablewright.plans import workload
+from tablewright.plans.runner import build
 from conftest import SF_SMALL
 
 
@@ -14,7 +15,7 @@ def plan(df):
 @pytest.fixture(scope="module")
 def plans(spark):
     out = {}
-    for name, fn in E.queries().items():
+    for name, fn in workload.QUERIES.items():
         if name in ("merge_upsert", "staging_roundtrip", "flagship_run", "sample_exact", "stream_quarantine_rejected", "stream_upsert", "stream_dedup_keys"):
             continue  # these write files while being built
         out[name] = plan(fn(spark, SF_SMALL))
@@ -51,10 +52,25 @@ def test_aggregates_are_partial_then_final(plans):
         assert "partial_" in p, name
 
 
-def test_comparison_is_skew_splittable(plans):
-    # full outer written as inner pairs + two anti joins on distinct keys
-    p = plans["reconcile"]
-    assert "FullOuter" not in p and "Join type: Inner" in p and p.count("Join type: LeftAnti") >= 2
+def test_comparison_is_one_full_outer_join(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(workload.QUERIES["reconcile"](spark, SF_SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert p.count("Join type: FullOuter") == 1 and "LeftAnti" not in p
+    assert p.count("Arguments: hashpartitioning") == 2
+
+
+def test_filters_reach_the_scan_through_a_request(spark):
+    request = {
+        "sources": [{"name": "o", "path": f"{SF_SMALL}/orders.parquet"}],
+        "actions": [
+            {"action": "action-filter-dataset", "name": "dear", "input": ["o"],
+             "config": {"condition": {"column": "o_totalprice", "op": "gt", "value": 400000}}},
+        ],
+    }
+    assert "GreaterThan(o_totalprice" in plan(build(spark, request).final)
 
 
 def test_no_cross_join_or_nested_loop(plans):
