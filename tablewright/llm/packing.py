@@ -30,7 +30,7 @@ END_ID = 1
 MAX_LEN = 2048
 
 #: Words kept in a worker's table of ids; the table is emptied when full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 # Text of these characters only needs no Unicode normalisation, and its white
 # space is the same for Python and the tokenizer; other texts take the
