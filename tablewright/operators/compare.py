@@ -8,11 +8,14 @@ are set and differ (beyond ``tolerance`` for numeric columns; text always
 compares exactly).  Null keys never match, so a null-key row appears once
 from each side.
 
-At scale the full outer join is written as matched pairs (inner join) plus
-the rows of each side whose key is absent from the other (anti joins against
-the other side's distinct keys).  Each side is shuffled once (the exchanges
-are shared), and AQE can split a hot key in all three joins, which it cannot
-do in a full outer join.  ``split_full_join=False`` plans one full outer join.
+The join is one full outer join: two exchanges, one pass over each side.  AQE
+cannot split a hot key in it; ``split_full_join=True`` writes it as matched
+pairs plus each side's rows without a partner (anti joins on the other side's
+distinct keys), which AQE can split, at the price of shuffling and evaluating
+each side once for every branch.
+
+``on_duplicate_keys="error"`` runs one aggregate job for each side while the
+plan is built.
 """
 from __future__ import annotations
 

@@ -89,9 +89,9 @@ def merge_join(
     ``broadcast_max_bytes``: hint a broadcast of the right side when the
     optimizer's size estimate is under this bound (inner / left / semi);
     above it, or for right / full joins, Spark's shuffle join is kept.
-    A full join is planned as inner pairs plus anti joins on the other
-    side's distinct keys, which AQE can split on a hot key
-    (``split_full_join=False``: one full outer join)."""
+    ``split_full_join``: plan a full join as inner pairs plus anti joins on
+    the other side's distinct keys, which AQE can split on a hot key but which
+    reads each side several times."""
     if how not in JOIN_TYPES:
         raise ValueError(f"join type must be one of {sorted(JOIN_TYPES)}, not {how!r}")
     lkeys, rkeys = _pairs(on)
