@@ -76,7 +76,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_crf.fit_sample(docs, labels.where(remainder("doc_id", 5) != 0))
     scored = quality_crf.classify(docs, model)
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
 
 
 QUERIES = {
