@@ -6,9 +6,11 @@ it only.  Chunks of ``MIN_BYTES`` to ``MAX_BYTES`` are compared by a 128-bit
 digest; of every digest the first chunk (least id, then place) stays and the
 others are removed, if they hold at least ``MIN_BYTES``.
 
-Digests are counted with partial aggregation, and only digests that occur
-twice are joined back, so a line in a third of the documents is one row of the
-join's small side.  Texts are not shuffled.
+A digest's chunks meet in one shuffle and are ranked by a streamed window, so
+no group is held in memory.  Digests with more rows than an even share of a
+task are found in a sample first, which decides their way only: their first
+places come from partial aggregates and are broadcast back to their chunks.
+Texts are not shuffled.
 
 Defined cases: a null or empty text has no chunks; rows with equal id and text
 are one document with equal results, each; null ids come last in the order;
@@ -21,11 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import small, stage
+from tablewright.llm.common import stage
 
 MIN_BYTES = 24
 MEAN_BITS = 6
 MAX_BYTES = 512
+# hot digests are sought in one chunk of HOT_SAMPLE, where they occur HOT_LEAST times or more
+HOT_SAMPLE = 64
+HOT_LEAST = 16
 
 # the gear table: one 32-bit word for each byte value, from a fixed seed
 GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -61,66 +66,91 @@ def cuts(data: bytes, least: int = MIN_BYTES, bits: int = MEAN_BITS, most: int =
 
 
 def chunk_column(text: Column) -> Column:
-    """Chunk starts (with the end of the text) and digests of a text's UTF-8
-    bytes."""
-    @F.pandas_udf("starts array<int>, digests array<binary>")
+    """Chunk starts (with the end of the text) and the halves of the 128-bit
+    digests of a text's UTF-8 bytes."""
+
+    @F.pandas_udf("starts array<int>, high array<long>, low array<long>")
     def chunks(texts: pd.Series) -> pd.DataFrame:
         from xxhash import xxh3_128_digest
 
-        starts, digests = [], []
+        rows = []
         for t in texts:
             data = (t or "").encode()
             ends = cuts(data)
             at = [0, *ends] if ends else []
-            starts.append(at)
-            digests.append([xxh3_128_digest(data[a:b]) for a, b in zip(at, at[1:])])
-        return pd.DataFrame({"starts": starts, "digests": digests})
+            halves = np.frombuffer(b"".join(xxh3_128_digest(data[a:b]) for a, b in zip(at, at[1:])), ">i8").astype(np.int64)
+            rows.append((at, halves[::2], halves[1::2]))
+        return pd.DataFrame(rows, columns=["starts", "high", "low"])
 
     return chunks(text)
 
 
 def chunk_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, t`` (hash of the text), ``starts`` and ``digests`` of every
+    """``doc_id, t`` (hash of the text), ``starts, high`` and ``low`` of every
     row."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), chunk_column(F.col(text_col)).alias("c"))
-    return docs.select("doc_id", "t", "c.starts", "c.digests")
+    return docs.select("doc_id", "t", "c.starts", "c.high", "c.low")
 
 
-def repeated_spans(chunks: DataFrame) -> DataFrame:
-    """Chunks that are not the first of their digest: ``doc_id, t, s, e``."""
-    one = chunks.select(
-        "doc_id", "t",
-        F.explode(F.expr("transform(digests, (d, i) -> struct(starts[i] AS s, starts[i + 1] AS e, d AS d))")).alias("c"),
-    ).select("doc_id", "t", "c.s", "c.e", "c.d").where(F.col("e") - F.col("s") >= MIN_BYTES)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "s")
-    # a repeated row's chunks are the same place, not another one
-    seen = one.groupBy("d").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    seen = stage(seen.select("d", "first"), "repeated-chunks")
-    return one.join(small(seen), "d").where(place != F.col("first")).select("doc_id", "t", "s", "e").distinct()
+def hot_digests(one: DataFrame) -> DataFrame:
+    """``high`` of the digests with over a task's even share of the sampled
+    chunks: at most as many as there are shuffle partitions."""
+    share = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stage(one.sample(1 / HOT_SAMPLE, seed=7).groupBy("high").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST), "hot-chunks")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.where(F.col("n") > total / share).select("high")
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """Disjoint chunks of a document, joined where they touch."""
-    order = Window.partitionBy("doc_id", "t").orderBy("s")
-    new = F.when(F.lag("e").over(order) == F.col("s"), 0).otherwise(1)
-    runs = spans.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "t", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+def repeated_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks that are not the first of their digest: ``doc_id, t, i`` (number
+    of the chunk).  A repeated row's chunks are the same place, not another
+    one."""
+    one = chunks.select(
+        "doc_id", "t", F.explode(F.expr("transform(high, (h, i) -> struct(i, h AS high, low[i] AS low, starts[i + 1] - starts[i] AS n))")).alias("c")
+    ).select("doc_id", "t", "c.*").where(F.col("n") >= MIN_BYTES).drop("n")
+    hot = F.broadcast(hot_digests(one))  # at most one row a shuffle partition
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "i")
+    hot_rows = one.join(hot, "high", "left_semi")
+    first = hot_rows.groupBy("high", "low").agg(F.min(place).alias("first"))
+    hot_gone = hot_rows.join(F.broadcast(first), ["high", "low"]).where(place != F.col("first"))
+    order = Window.partitionBy("high", "low").orderBy(F.asc_nulls_last("doc_id"), "t", "i")
+    gone = one.join(hot, "high", "left_anti").withColumn("rank", F.dense_rank().over(order)).where("rank > 1")
+    return gone.select("doc_id", "t", "i").union(hot_gone.select("doc_id", "t", "i"))
+
+
+def joined_spans(starts: Column, gone: Column) -> Column:
+    """Byte ranges of the chunks ``gone``, joined where they touch."""
+
+    @F.pandas_udf("array<struct<s:int,e:int>>")
+    def spans(starts: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for at, numbers in zip(starts, gone):
+            if numbers is None or not len(numbers):
+                out.append([])
+                continue
+            n = np.sort(np.asarray(numbers))
+            new = np.flatnonzero(np.diff(n) > 1)
+            first, last = n[np.r_[0, new + 1]], n[np.r_[new, len(n) - 1]]
+            at = np.asarray(at)
+            out.append([{"s": s, "e": e} for s, e in zip(at[first].tolist(), at[last + 1].tolist())])
+        return pd.Series(out, dtype=object)
+
+    return spans(starts, gone)
 
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, t, n_bytes, n_chunks, n_removed`` and ``spans`` (sorted
     byte ranges to remove) for every row."""
     chunks = stage(chunk_table(documents, id_col, text_col), "chunks")
-    spans = merged(repeated_spans(chunks)).groupBy("doc_id", "t").agg(
-        F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"), F.sum(F.col("e") - F.col("s")).alias("n_removed")
-    ).withColumnsRenamed({"doc_id": "d", "t": "u"})
-    rows = chunks.select(
-        "doc_id", "t", F.coalesce(F.try_element_at("starts", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"), F.size("digests").cast("long").alias("n_chunks")
-    )
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left")
+    # a set of chunk numbers is no larger than its document's chunk arrays
+    gone = repeated_chunks(chunks).groupBy("doc_id", "t").agg(F.collect_set("i").alias("gone"))
+    gone = gone.withColumnsRenamed({"doc_id": "d", "t": "u"})
+    rows = chunks.select("doc_id", "t", "starts", F.size("high").cast("long").alias("n_chunks"))
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left")
+    rows = rows.withColumn("spans", joined_spans(F.col("starts"), F.col("gone")))
     return rows.select(
-        "doc_id", "t", "n_bytes", "n_chunks", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("spans", F.expr("cast(array() as array<struct<s:int,e:int>>)")).alias("spans"),
+        "doc_id", "t", F.coalesce(F.try_element_at("starts", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"), "n_chunks",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]).alias("n_removed"), "spans",
     )
 
 

@@ -68,3 +68,19 @@ def test_odd_rows(spark, odd):
     assert cdc_dedup.dedup(odd.limit(0)).count() == 0
     both = cdc_dedup.dedup(odd).where("doc_id = 5").first()
     assert both.n_removed > 0.9 * both.n_bytes
+
+
+def test_hot_digests_give_the_same_result(spark, texts, monkeypatch):
+    want = {d: ",".join(f"{a}:{b}" for a, b in spans) for (d, _), spans in slow(texts).items()}
+    monkeypatch.setattr(cdc_dedup, "hot_digests", lambda one: one.where("high > 0").select("high").distinct())
+    assert {r.doc_id: r.spans for r in queries.op7_cdc_dedup(spark, SF_MID).collect()} == want
+
+
+def test_hot_digests_are_found_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(cdc_dedup, "HOT_SAMPLE", 2)
+    share = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = spark.range(20_000).selectExpr("if(id % 3 = 0, 7, id) AS high")
+    assert [r.high for r in cdc_dedup.hot_digests(one).collect()] == [7]
+    even = spark.range(20_000).selectExpr(f"id % {3 * share} AS high")
+    assert cdc_dedup.hot_digests(even).count() == 0
+    assert cdc_dedup.hot_digests(one.limit(0)).count() == 0
