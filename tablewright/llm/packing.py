@@ -18,6 +18,7 @@ other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -29,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAX_LEN = 2048
 
-#: Words kept in a worker's table of ids; the table is emptied when full.
+#: Words kept in a worker's table of ids, in two halves.
 CACHE_WORDS = 200_000
 
 # Text of these characters only needs no Unicode normalisation, and its white
@@ -40,30 +41,43 @@ _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-ɏ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w]|_)+")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: its own if it prints, else the
+    next free one from 256."""
+    free = itertools.count(256)
+    return {b: b if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else next(free) for b in range(256)}
+
+
 class WordIds:
     """Token ids of a text as little-endian uint32 bytes.  Parts of a word
-    never cross white space, so ids are looked up word by word."""
+    never cross white space, so ids are looked up word by word.  The table has
+    a newer and an older half: when the newer one is full it becomes the older
+    one, and words still in use move over."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(part)])
+
     def _word(self, word: str) -> bytes:
-        ids: list[int] = []
-        pre, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
-        if word.isascii():
-            for part in _PARTS.findall(word):
-                ids += [t.id for t in model.tokenize(part)]
-        else:
-            for part, _ in pre.pre_tokenize_str(word):
-                ids += [t.id for t in model.tokenize(part)]
-        out = np.asarray(ids, dtype="<u4").tobytes()
+        out = self.words.get(word) or self.older.get(word)
+        if out is None:
+            parts = _PARTS.findall(word)
+            out = self._part(word) if len(parts) == 1 else b"".join(map(self._word, parts))
         if len(word) <= 64:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
+            if len(self.words) >= CACHE_WORDS // 2:
+                self.older, self.words = self.words, {}
             self.words[word] = out
         return out
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -24,6 +25,19 @@ def test_query_matches_the_tokenizer(spark, texts):
         assert [s for s, _ in parts] == list(np.cumsum([0] + [n for _, n in parts[:-1]])) and sum(n for _, n in parts) == len(x)
 
 
+def test_words_match_the_tokenizer_with_a_small_table(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    words = packing.WordIds(packing.vocabulary_path())
+    rng = random.Random(3)
+    letters = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(160, 0x250)]]
+    often = [*"aeiou'.,-  19", "'s", "'ll", "é", "ß"]
+    texts = letters + [f"a{c}b 1{c}2 '{c} {c}{c}" for c in letters]
+    texts += ["".join(rng.choice(often if rng.random() < 0.8 else letters) for _ in range(rng.randrange(1, 200))) for _ in range(3000)]
+    for text in texts + texts[:500]:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert len(words.words) <= 20 and len(words.older) <= 20
+
+
 def test_piece_lengths():
     assert packing.piece_lengths(2048 * 2 + 1024 + 5) == [2048, 2048, 1024, 4, 1]
     assert packing.piece_lengths(1) == [1]
