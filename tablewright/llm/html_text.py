@@ -5,9 +5,13 @@ notices, page headers and footers, sidebars and reader comments, known by
 their tag, role or class, are left out of it.  Every remaining node has a
 density: its characters per tag, scaled down by the share of link characters
 and link tags in it against the page's.  The node whose children's densities
-sum highest is the centre of the content; the least density on the path from
-the body to it is the threshold that a neighbouring block along that path has
-to reach to be read with it, if it is neither link text nor shorter than a
+sum highest is the centre of the content.  The article or main around it, or
+on a page without these the highest block around it that is mainly prose, is
+kept whole, headings and short paragraphs included; beside an article or
+outside any, blocks of three links or more that are mainly link text are left
+out.  Of what stands outside that block, the least density on the path from the
+body to the centre is the threshold that a neighbouring block along that path
+has to reach to be read with it, if it is neither link text nor shorter than a
 sentence.
 
 One pass over the rows, no shuffle.  Defined cases: null or empty html and
@@ -178,6 +182,52 @@ def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int
 
 
 SENTENCE_CHARS = 25
+MENU_LINKS = 3
+# Names of HTML.
+MARKS = ("article", "main")
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+
+
+def _whole(tree: Tree, path: list[int], chars: list[int], link_chars: list[int]) -> set[int]:
+    """Nodes of the content around ``path[0]``, the densest node: all of its
+    article or main, or of the highest node above it that is mainly prose once
+    lists of links beside the path are left out."""
+    n = len(tree.tag)
+    links, title = list(tree.links), [t == "h1" for t in tree.tag]
+    beside: dict[int, list[int]] = {i: [] for i in path}
+    on_path = set(path)
+    for i in range(n - 1, 0, -1):
+        links[tree.parent[i]] += links[i]
+        title[tree.parent[i]] |= title[i]
+    for i in range(1, n):
+        if tree.parent[i] in on_path and i not in on_path:
+            beside[tree.parent[i]].append(i)
+
+    def menu(i: int) -> bool:
+        return links[i] >= MENU_LINKS and 2 * link_chars[i] > chars[i] and tree.tag[i] not in HEADINGS
+
+    marks = [k for k, i in enumerate(path) if tree.tag[i] in MARKS]
+    start = marks[0] if marks else 0  # whole, with its lists of links
+    top, c, lc = start, chars[path[start]], link_chars[path[start]]
+    for k in range(start + 1, len(path)):
+        i = path[k]
+        off = [path[k - 1], *(x for x in beside[i] if menu(x))]
+        c += chars[i] - sum(chars[x] for x in off)
+        lc += link_chars[i] - sum(link_chars[x] for x in off)
+        prose = c - lc >= SENTENCE_CHARS and 3 * lc <= c
+        if prose and (not marks or k in marks):
+            top = k
+    climbed = set(path[start + 1 : top + 1])  # their own text, and what stands beside the path
+    whole, apart = {path[start]}, set(climbed)
+    for i in range(1, n):
+        if tree.parent[i] in whole:
+            whole.add(i)
+        elif tree.parent[i] in apart and i not in on_path:
+            if not menu(i):
+                whole.add(i)
+            elif title[i]:  # a headline among links
+                apart.add(i)
+    return whole | apart
 
 
 def main_text(html: str | None) -> str:
@@ -197,6 +247,7 @@ def main_text(html: str | None) -> str:
     threshold = min(density[i] for i in path)
     kept[best] = True
     on_path = set(path)
+    whole = _whole(tree, path, chars, link_chars)
     for i in range(1, n):
         if kept[tree.parent[i]] and tree.parent[i] not in on_path - {best}:
             kept[i] = True
@@ -207,7 +258,7 @@ def main_text(html: str | None) -> str:
     for node, s, _ in tree.text:
         if s is None:
             out.append(" ")
-        elif kept[node] or node in on_path and node != 0 or n == 1:
+        elif kept[node] or node in whole or node in on_path and node != 0 or n == 1:
             out.append(s)
     return " ".join("".join(out).split())
 

@@ -48,3 +48,26 @@ def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None, 5), (1, "u", "<p>a</p>", 5), (None, "u", "", 5)], "page_id long, url string, html string, text int")
     assert sorted(r.text for r in html_text.extract(df).collect()) == ["", "", "a"]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def paragraphs(n, sentences, mark):
+    return "".join(f"<p>{mark}{i} {LONG * sentences}</p>" for i in range(n))
+
+
+def plain(body):
+    return " ".join(re.sub("<[^>]*>", " ", body).split())
+
+
+def test_content_around_the_densest_block_is_whole():
+    menu = "<ul>" + "".join(f"<li><a href={i}>some menu entry {i}</a></li>" for i in range(30)) + "</ul>"
+    sections = f"<section>{paragraphs(10, 5, 'a')}</section><section><h2>Next</h2><p>Yes.</p>{paragraphs(10, 3, 'b')}</section>"
+    for body in (
+        f"<h1>A headline of the page</h1>{sections}",  # sections beside one another
+        f"<h1>A headline of the page</h1><div>{paragraphs(9, 4, 'c')}</div><p>No.</p>",  # an inner wrapper
+        f"<div><div><h1><a href=x>A headline</a></h1><p>By someone</p></div><div><div>{sections}</div></div></div>",
+        f"<h1>Head</h1><p>{LONG}</p><div><p>{LONG * 30}</p></div><p>Short end.</p>",
+    ):
+        for html in (f"<article>{body}</article>", f"<main><div>{body}</div></main>", f"<div id=a>{body}</div>", f"<div><div>{body}</div></div>"):
+            assert main_text(page(f"<div>{menu}</div>{html}<div>{menu}</div>")) == plain(body)
+    two = f"<article>{paragraphs(9, 5, 'a')}</article><article><h2>Second</h2>{paragraphs(2, 1, 'b')}</article>"
+    assert main_text(page(f"<main><h1>Both</h1>{two}{menu}</main>")) == plain("<h1>Both</h1>" + two)
