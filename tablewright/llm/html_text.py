@@ -2,7 +2,8 @@
 
 The page is parsed into a tree of blocks; scripts, menus, forms, adverts,
 notices, page headers and footers, sidebars and reader comments, known by
-their tag, role or class, are left out of it.  Every remaining node has a
+their tag, role or the last word of a class or id, are left out of it, unless
+they hold an article, a main or most of the page's text.  Every remaining node has a
 density: its characters per tag, scaled down by the share of link characters
 and link tags in it against the page's.  The node whose children's densities
 sum highest is the centre of the content.  The article or main around it, or
@@ -35,9 +36,9 @@ INLINE = set(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
 )
 DROPPED = set(
-    "script style noscript template iframe object embed svg canvas audio video head title nav footer aside form button select "
-    "textarea input option dialog menu".split()
+    "script style noscript template iframe object embed svg canvas audio video head title button select textarea input option".split()
 )
+ASIDE = set("nav footer aside form dialog menu header".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLASSES = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
@@ -45,6 +46,13 @@ CLASSES = set(
     "social related recommended comment comments disqus respond replies newsletter subscribe signup login search pagination "
     "skip masthead topbar".split()
 )
+OTHERS = set("sponsor sponsored promo promotion related recommended comment comments disqus respond replies".split())  # may hold articles of their own
+# Words of class names that say where a part stands, and that another part is meant.
+PLACES = set(
+    "area bar block bottom box button buttons col column container content form footer header icon icons inner item items left link links "
+    "list main outer primary right row secondary section slot title top unit wrap wrapper".split()
+) - CLASSES
+MODIFIERS = set("has have no not non with without show shows hide hides is".split())
 CLOSES_P = set(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split()
@@ -59,27 +67,32 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.links = [-1], ["body"], [0]
+        self.parent, self.tag, self.links, self.doubt = [-1], ["body"], [0], [""]
         self.text: list[tuple[int, str | None, bool]] = []
         self.open: list[tuple[str, int]] = [("body", 0)]  # (tag, node), inline tags with their block's node
         self.skip: list[str] = []
         self.in_link = 0
 
-    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """``all``: left out whatever it holds; ``tag``, ``name`` or ``other``:
+        left out by its tag, its name, or a name of other people's articles,
+        unless ``prune`` finds content in it; else empty."""
         if tag in DROPPED:
-            return True
-        inside = any(t in ("article", "main") for t, _ in self.open)
-        if tag == "header" and not inside:
-            return True
+            return "all"
         if tag in ("body", "html"):
-            return False
+            return ""
         a = {k: (v or "").lower() for k, v in attrs}
-        if a.get("role") in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
-            return True
+        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
+            return "all"
         names = f"{a.get('class', '')} {a.get('id', '')}".split()
         if tag in ("article", "main"):
-            return any(x in ("comment", "comments", "sidebar", "ad", "advert") for x in names)
-        return any(part in CLASSES for x in names for part in re.split(r"[-_]+", x))
+            return "other" if any(x in ("comment", "comments", "sidebar", "ad", "advert") for x in names) else "name" if a.get("role") in ROLES else ""
+        words = {w for x in names if (w := boilerplate(x))}
+        if tag in ASIDE - {"form"} and (tag != "header" or not any(t in ("article", "main") for t, _ in self.open)):
+            return "tag"
+        if words & OTHERS:
+            return "other"
+        return "name" if words or tag == "form" or a.get("role") in ROLES else ""
 
     def _pop_to(self, at: int) -> None:
         for tag, _ in self.open[at:]:
@@ -108,27 +121,30 @@ class Tree(HTMLParser):
             if tag in ("br", "hr"):
                 self.text.append((0, None, False))
             return
-        if self._left_out(tag, attrs):
+        doubt = self._left_out(tag, attrs)
+        if tag not in INLINE:
+            self.text.append((0, None, False))
+        if doubt == "all":
             self.skip = [tag]
-            if tag not in INLINE:
-                self.text.append((0, None, False))
             return
         node = self.open[-1][1]
-        if tag == "a":
-            self.in_link += 1
-            self.links[node] += 1
-        if tag not in INLINE:
-            self.text.append((0, None, False))
+        if tag not in INLINE or doubt:
             self.parent.append(node)
             self.tag.append(tag)
             self.links.append(0)
+            self.doubt.append(doubt)
             node = len(self.tag) - 1
+        if tag == "a":
+            self.in_link += 1
+            self.links[node] += 1
         self.open.append((tag, node))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.skip and self.skip[-1] == tag and len(self.skip) == 1 and tag not in ("script", "style"):
             self.skip = []
+        elif not self.skip and self.doubt[self.open[-1][1]] and self.open[-1] == (tag, len(self.tag) - 1):
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if self.skip:
@@ -147,10 +163,77 @@ class Tree(HTMLParser):
             self.text.append((self.open[-1][1], data, self.in_link > 0))
 
 
+    def prune(self) -> None:
+        """Leave out the nodes in doubt, with what is below them, except those
+        that hold a main; an article (by their tag or a name in OTHERS: one of
+        most of the page's text outside links); or, known by their name, most
+        of that text where no article or main of a quarter of theirs stands
+        elsewhere (names in OTHERS: nor a ninth outside all nodes in doubt)."""
+        n = len(self.tag)
+        if not any(self.doubt):
+            return
+        chars, mains, marked, longest = [0] * n, [0] * n, [0] * n, [0] * n
+        for node, s, linked in self.text:
+            if s is not None and not linked:
+                chars[node] += len("".join(s.split()))
+        inside, other, left_out, sure = [False] * n, [False] * n, [False] * n, [True] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            inside[i] = inside[p] or self.tag[p] in ("article", "main") and not self.doubt[p]
+            other[i] = other[p] or self.doubt[p] in ("tag", "other")
+            sure[i] = sure[p] and not self.doubt[i]
+        plain = sum(c for c, x in zip(chars, sure) if x)
+        for i in range(n - 1, 0, -1):
+            if self.tag[i] in ("article", "main") and not self.doubt[i] and chars[i]:
+                mains[i] += self.tag[i] == "main"
+                longest[i] = max(longest[i], chars[i] * (self.tag[i] == "article"))
+                marked[i] = 0 if other[i] else chars[i]  # of the outermost
+            p = self.parent[i]
+            chars[p] += chars[i]
+            mains[p] += mains[i]
+            marked[p] += marked[i]
+            longest[p] = max(longest[p], longest[i])
+        for i in range(1, n):
+            p, kind = self.parent[i], self.doubt[i]
+            if left_out[p]:
+                left_out[i] = True
+            elif kind:
+                holds = mains[i] or longest[i] and (kind == "name" or 2 * longest[i] > chars[0])
+                elsewhere = marked[0] - (chars[i] if inside[i] and not other[i] else marked[i])
+                alone = kind == "name" and inside[i] or 4 * elsewhere < chars[i]
+                known = kind == "tag" or kind == "other" and 9 * plain >= chars[i]
+                left_out[i] = not (holds or alone and not known and 2 * chars[i] > chars[0])
+        number, kept = [0] * n, [i for i in range(n) if not left_out[i]]
+        for k, i in enumerate(kept):
+            number[i] = k
+        self.text = [(number[i], s, linked) for i, s, linked in self.text if not left_out[i]]
+        self.parent = [-1 if i == 0 else number[self.parent[i]] for i in kept]
+        self.tag, self.links = [self.tag[i] for i in kept], [self.links[i] for i in kept]
+        self.doubt = [""] * len(kept)
+
+
+def boilerplate(name: str) -> str:
+    """The word of CLASSES that a class or id is named by, else empty: the
+    name itself or its last word, apart from words of place, numbers and BEM
+    modifiers; never in names such as has-sidebar."""
+    if name in CLASSES:
+        return name
+    parts = [x for x in re.split(r"[-_]+", name.split("--")[0]) if x]
+    if MODIFIERS & set(parts) or not CLASSES & set(parts):
+        return ""
+    while len(parts) > 1 and (parts[-1] in PLACES or parts[-1].isdigit()):
+        parts.pop()
+    head = next((x for x in (parts[-1], parts[-1].removesuffix("s")) if x in CLASSES), "")
+    if head == "widget" and len(parts) > 1 and not CLASSES & set(parts[:-1]):
+        return ""  # page builders name their blocks so
+    return head
+
+
 def _parse(html: str) -> Tree:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    tree.prune()
     return tree
 
 

@@ -71,3 +71,29 @@ def test_content_around_the_densest_block_is_whole():
             assert main_text(page(f"<div>{menu}</div>{html}<div>{menu}</div>")) == plain(body)
     two = f"<article>{paragraphs(9, 5, 'a')}</article><article><h2>Second</h2>{paragraphs(2, 1, 'b')}</article>"
     assert main_text(page(f"<main><h1>Both</h1>{two}{menu}</main>")) == plain("<h1>Both</h1>" + two)
+
+
+def test_wrappers_with_names_of_boilerplate_keep_the_content():
+    body = "<h1>A headline of the page</h1>" + paragraphs(6, 3, "a")
+    ad = f"<div class='ad ad-slot'>{LONG}</div><div id=main-sidebar><p>{LONG}</p></div>"
+    names = (
+        "id='page' class='has-sidebar'", "class='no-sidebar'", "class='with-social-nav'", "class='elementor-widget-text'",
+        "class='elementor-widget'", "class='social-history'", "class='page--sidebar'", "class='notice-of-intent'", "class='ad_free_page'",
+        "class='widget'", "class='content-sidebar-wrap'", "id='search'", "class='related-content'", "role='dialog'",
+    )
+    for name in names:
+        for html in (f"<div {name}><article>{body}</article></div>", f"<article><section {name}>{body}</section></article>", f"<div {name}>{body}</div>"):
+            assert main_text(page(ad + html + ad)) == plain(body), (name, html[:60])
+    assert main_text(page(f"<form id=aspnet>{ad}<main>{body}</main></form>")) == plain(body)
+    part = paragraphs(3, 2, "b")
+    for name in names[:9]:  # by their names alone, also where each holds little of the page
+        assert main_text(page(f"<div>{body}<div {name}>{part}</div>{body}</div>")) == plain(body + part + body)
+
+
+def test_other_articles_and_comments_still_go():
+    body = "<h1>A headline of the page</h1>" + paragraphs(6, 3, "a")
+    card = "<article class='card'><h3><a href=1>Some other story</a></h3><p>Read this one as well, it is good.</p></article>"
+    said = f"<div id='comments' class='comments-area'><article class=comment-body><p>{LONG * 3}</p></article></div>"
+    for html in (f"<article>{body}</article>", f"<div>{body}</div>"):
+        assert main_text(page(html + f"<section class='related'>{card * 3}</section>" + said + f"<aside>{card}</aside>")) == plain(body)
+    assert main_text(page(f"<article>{body}<section class=comments><p>{LONG * 40}</p></section></article>")) == plain(body)
