@@ -1,12 +1,13 @@
 """Secret scans by token efficiency.
 
 A tokenizer's vocabulary covers written language with long tokens; random
-strings fall apart into short ones.  A run of key characters that holds both
-letters and digits is reported when it has few characters for each token
-(``max_ratio``), unless it is a known digest (hex of a digest's length) or an
-identifier (UUID, number with unit, words joined by - or _ or /).  Three
-patterns for known forms (assignments, access keys, long hex) are always
-reported.
+strings fall apart into short ones.  A run of key characters that holds
+letters is reported when it has few characters for each token (``max_ratio``),
+unless it is a known digest (hex of a digest's length), a UUID or an
+identifier: segments between ``-_/+=`` of letters, then digits, whose letters
+tokenize like words.  If words make a run efficient, what stands between them
+is tested by itself.  Three patterns for known forms (assignments, access keys,
+long hex) are always reported.
 
 One pass over the rows, no shuffle.  Defined cases: a null or empty text has
 no spans; repeated rows are scanned each; ids are not looked at.
@@ -38,7 +39,11 @@ _RUN = re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % MIN_CHARS)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-_NAME = re.compile(r"[A-Za-z]*\d*([-_/+=]+([A-Za-z]+\d*|\d+)?)*")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+")
+_NAME = re.compile(r"([A-Za-z]*)\d*")
+_SHORT_NAME = 3
+_FEW = 8  # fewer letters than these tokenize like a word at _WORD_RATIO, others at max_ratio
+_WORD_RATIO = 2.0
 
 
 @functools.lru_cache(maxsize=2)
@@ -54,10 +59,50 @@ def _encoding(path: str):
 
 
 def is_known(run: str) -> bool:
-    """Digests and identifiers, which are no secrets."""
-    if len(run) in _DIGEST_LENGTHS and _HEX_ONLY.fullmatch(run):
-        return True
-    return bool(_UUID.fullmatch(run) or _NAME.fullmatch(run))
+    """Digests and UUIDs, which are no secrets."""
+    return len(run) in _DIGEST_LENGTHS and bool(_HEX_ONLY.fullmatch(run)) or bool(_UUID.fullmatch(run))
+
+
+def random_parts(run: str, encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int]]:
+    """Places of the random strings in a run: the run, or else what stands
+    between its words, or else single segments."""
+
+    def ratio(part: str) -> float:
+        return len(part) / len(encoding.encode_ordinary(part))
+
+    def kind(part: str) -> str:
+        name = _NAME.fullmatch(part)
+        letters = name[1] if name else ""
+        if not name or len(letters) <= _SHORT_NAME:
+            return "short" if name else "odd"
+        least = _WORD_RATIO if len(letters) < _FEW else max_ratio
+        return "word" if ratio(letters.lower() if letters.isupper() else letters) >= least else "odd"
+
+    def random(a: int, b: int) -> bool:
+        part = run[a:b]
+        return b - a >= MIN_CHARS and any(map(str.isalpha, part)) and not is_known(part) and ratio(part) < max_ratio
+
+    segments = [(*m.span(), kind(m[0])) for m in _SEGMENT.finditer(run)]
+    if is_known(run) or all(k != "odd" for _, _, k in segments):
+        return []
+    if random(0, len(run)):
+        return [(0, len(run))]
+    out, between = [], []
+    for a, b, k in [*segments, (0, 0, "word")]:
+        if k != "word":
+            between.append((a, b, k))
+            continue
+        odd = [i for i, x in enumerate(between) if x[2] == "odd"]
+        if odd:
+            inner = between[odd[0] : odd[-1] + 1]
+            for x in (between, inner):
+                if random(x[0][0], x[-1][1]):
+                    out.append((x[0][0], x[-1][1]))
+                    break
+            else:
+                out += [(a, b) for a, b, k in inner if k == "odd" and random(a, b)]
+        between = []
+    return out
 
 
 def spans(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[str]:
@@ -70,13 +115,12 @@ def spans(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[str]:
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = list(found)
     for m in _RUN.finditer(text):
-        run, a, b = m[0], m.start(), m.end()
-        if run.isalpha() or run.isdigit() or not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)):
-            continue
-        if any(s <= a and b <= e for s, _, e in base) or is_known(run):
+        a, b = m.span()
+        if m[0].isdigit() or any(s <= a and b <= e for s, _, e in base):
             continue
-        if len(run) < max_ratio * len(encoding.encode_ordinary(run)):
-            found.append((a, 3, b))
+        for x, y in random_parts(m[0], encoding, max_ratio):
+            if not any(s <= a + x and a + y <= e for s, _, e in base):
+                found.append((a + x, 3, a + y))
     return [f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(found)]
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import public_tokenizers
 
@@ -53,3 +55,29 @@ def test_odd_rows(odd):
     got = {r.doc_id: r.spans for r in secrets.find_secrets(odd).collect() if r.doc_id}
     assert got[2] == [] and got[3] == [] and got[8] == ["assign:0:15"] and got[9] == []
     assert secrets.find_secrets(odd).count() == odd.count() and secrets.find_secrets(odd.limit(0)).count() == 0
+
+
+def test_every_form_of_random_string_is_seen():
+    rnd = random.Random(5)
+    make = lambda n, chars=string.ascii_letters: "".join(rnd.choices(chars, k=n))
+    texts = []
+    for _ in range(200):
+        texts.append(("", make(32)))  # no digit
+        texts.append(("", make(24, string.ascii_lowercase)))
+        texts.append(("", make(24) + "1234"))  # letters, then digits
+        texts.append(("sk_live_", make(24) + "42"))
+        texts.append(("/download/archives/releases/stable/", make(20, string.ascii_letters + string.digits)))
+        texts.append(("internationalization/documentation/", f"{make(12)}-{make(4)}7{make(4)}"))
+    for before, key in texts:
+        text = f"see {before}{key} there"
+        (a, b), *more = [tuple(map(int, s.split(":")[1:])) for s in scan(text)] or [(0, 0)]
+        assert not more and text[4:a] in before and b == len(text) - 6, text
+
+
+def test_words_and_identifiers_stay():
+    clean = (
+        "Geschwindigkeitsbegrenzung getElementsByClassName AbstractSingletonProxyFactoryBean HTTP_CONNECTION_TIMEOUT_MS "
+        "stderr-log-2024-11-05 usr/local/share/doc/linux kubernetes-config-map-v2 ================== ---------------- "
+        "anticonstitutionnellement internationalisation2024 2024-11-05-12-30-00 thisisalongwordwithoutspaces"
+    )
+    assert scan(clean) == []
