@@ -137,9 +137,9 @@ def phrase_matches(index: Index) -> DataFrame:
 
 
 def proximity_matches(index: Index, slop: int) -> DataFrame:
-    """Windows whose anchors all occur within ``slop`` words of their places:
-    ``doc_id, t, ik, ws, near`` (diagonal rounded down to slop + 1 words).
-    With ``slop`` 0 the anchors are in place, whatever stands between."""
+    """Windows whose words all occur within ``slop`` words of their places:
+    ``doc_id, t, ik, ws, near`` (diagonal of the anchors rounded down to
+    slop + 1 words).  Where the anchors do, the text is read back."""
     width = slop + 1
     met = _diagonals(index).withColumn("cell", F.floor(F.col("diag") / width))
     # a spread of at most slop lies within two neighbouring cells
@@ -150,7 +150,25 @@ def proximity_matches(index: Index, slop: int) -> DataFrame:
     close = (
         f"exists(seen, x -> forall(need, o -> exists(seen, y -> y.off = o AND y.diag >= x.diag AND y.diag <= x.diag + {slop})))"
     )
-    return met.where(close).select("doc_id", "t", "ik", "ws", (F.col("cell") * width).alias("near")).distinct()
+    met = met.where(close).select("doc_id", "t", "ik", "ws", (F.col("cell") * width).cast("int").alias("near")).distinct()
+    met = met.join(small(stage(index.windows.select("ik", "ws", "len"), "window-lengths")), ["ik", "ws"])
+    found = met.groupBy("doc_id", "t").agg(F.collect_list(F.struct("ik", "ws", "near", "len")).alias("c"))
+    found = stage(found, "near-candidates").withColumnsRenamed({"doc_id": "d", "t": "u"})
+    read = index.docs.join(small(found), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")))
+    read = read.select("doc_id", "t", "c", words(F.col("text")).alias("dw"))
+    # the words at least diagonals near - slop to near + 2 * width - 1
+    read = read.select("doc_id", "t", F.explode(F.expr(
+        f"transform(c, x -> named_struct('ik', x.ik, 'ws', x.ws, 'near', x.near, 'len', x.len, 'p', greatest(x.near - {slop} + x.ws, 0), "
+        f"'part', slice(dw, greatest(x.near - {slop} + x.ws, 0) + 1, "
+        f"greatest(x.near + x.ws + x.len + {2 * width + slop} - greatest(x.near - {slop} + x.ws, 0), 0))))"
+    )).alias("x")).select("doc_id", "t", "x.*")
+    read = read.join(small(index.items.select("ik", "iw")), "ik")
+    at = "d + ws + k - p"  # place in the part
+    whole = (
+        f"exists(sequence(near - {slop}, near + {2 * width - 1}), d -> forall(sequence(0, len - 1), k -> "
+        f"array_contains(slice(part, greatest({at}, 0) + 1, greatest({at} + {width} - greatest({at}, 0), 0)), iw[ws + k])))"
+    )
+    return read.where(whole).select("doc_id", "t", "ik", "ws", F.col("near").cast("long").alias("near")).distinct()
 
 
 def contamination(index: Index, least_share: int = 20) -> DataFrame:

@@ -68,3 +68,14 @@ def test_proximity_allows_gaps(spark):
     near = lambda s: {r.doc_id for r in decontaminate.proximity_matches(index, s).collect()}
     assert near(0) == {1} and near(1) == {1} and near(2) == {1, 2}
     assert {r.doc_id for r in decontaminate.phrase_matches(index).collect()} == {1}
+
+
+def test_proximity_needs_all_words_of_the_window(spark):
+    w = [f"w{i}" for i in range(13)]
+    gap = w[:6] + ["x", "y"] + w[6:]
+    rows = [(1, w), (2, ["z"] * 20 + gap + ["z"]), (3, [x if x in ("w10", "w12") else "q" for x in w]), (None, w)]
+    rows += [(4, [x for x in w if x not in ("w10", "w12")] * 3)]  # makes w10 and w12 the anchors
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in rows], "doc_id long, text string")
+    index = decontaminate.build_index(docs, spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
+    near = lambda s: {r.doc_id for r in decontaminate.proximity_matches(index, s).collect()}
+    assert near(0) == near(1) == {1, None} and near(2) == near(3) == {1, 2, None}
