@@ -7,10 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tablewright.session import local_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-
-
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("*", 8)
@@ -22,7 +18,3 @@ def users(spark):
     return spark.createDataFrame(
         [(1, "ACTIVE", 1500), (2, "INACTIVE", 200), (3, "ACTIVE", 999)], "id bigint, status string, balance bigint"
     )
-
-
-def ids(df, col="id"):
-    return sorted(r[col] for r in df.select(col).collect())

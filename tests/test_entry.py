@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as E
 from tablewright.plans import workload
-from conftest import SF_SMALL
+from table_data import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -3,7 +3,7 @@ server, no port), staging, keyed merge, create_if_missing."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from table_data import SF_SMALL
 from tablewright.sources import sinks
 from tablewright.sources.readers import JdbcOptions, read_source
 

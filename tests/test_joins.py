@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, ids
+from table_data import SF_SMALL, ids
 from tablewright.operators import joins
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from tablewright.plans import workload
 from tablewright.plans.runner import build
-from conftest import SF_SMALL
+from table_data import SF_SMALL
 
 
 def plan(df):

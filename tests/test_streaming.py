@@ -2,7 +2,7 @@
 watermark de-duplication."""
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from table_data import SF_SMALL
 from tablewright.operators import rows
 from tablewright.operators.mapping import map_target
 from tablewright.streaming import streams
