@@ -17,7 +17,8 @@ sentence.
 
 One pass over the rows, no shuffle.  Defined cases: null or empty html and
 pages without content give an empty text; unclosed and stray tags are closed
-as browsers do for blocks; repeated rows are read each; other columns are
+as browsers do for blocks; broken or unknown declarations are comments; of
+equally dense nodes the first of the page is the centre; repeated rows are read each; other columns are
 ignored.
 """
 from __future__ import annotations
@@ -58,8 +59,12 @@ CLOSES_P = set(
     "main menu nav ol p pre section table ul".split()
 )
 SAME_CLOSED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+MARKS = ("article", "main")
 SCOPES = set("ul ol dl table tr article section div main body aside nav".split())
 
+_COMMENT_END = re.compile("--!?>")
+_TAG = re.compile("<[A-Za-z/!?]")
+
 
 class Tree(HTMLParser):
     """Blocks as parallel lists; node 0 is the page.  ``text`` holds (node,
@@ -70,6 +75,7 @@ class Tree(HTMLParser):
         self.parent, self.tag, self.links, self.doubt = [-1], ["body"], [0], [""]
         self.text: list[tuple[int, str | None, bool]] = []
         self.open: list[tuple[str, int]] = [("body", 0)]  # (tag, node), inline tags with their block's node
+        self.places: dict[str, list[int]] = {}  # of every tag in open, but for the body
         self.skip: list[str] = []
         self.in_link = 0
 
@@ -88,14 +94,29 @@ class Tree(HTMLParser):
         if tag in ("article", "main"):
             return "other" if any(x in ("comment", "comments", "sidebar", "ad", "advert") for x in names) else "name" if a.get("role") in ROLES else ""
         words = {w for x in names if (w := boilerplate(x))}
-        if tag in ASIDE - {"form"} and (tag != "header" or not any(t in ("article", "main") for t, _ in self.open)):
+        if tag in ASIDE - {"form"} and (tag != "header" or self._nearest(MARKS) < 0):
             return "tag"
         if words & OTHERS:
             return "other"
         return "name" if words or tag == "form" or a.get("role") in ROLES else ""
 
+    def _nearest(self, tags) -> int:
+        return max((x[-1] for t in tags if (x := self.places.get(t))), default=-1)
+
+    def parse_comment(self, i, report=1):
+        if not _COMMENT_END.search(self.rawdata, i + 2):
+            return len(self.rawdata)  # a comment without end holds the rest of the page
+        return super().parse_comment(i, report)
+
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # an unknown or broken marked section is a comment, as in browsers
+            return self.parse_bogus_comment(i)
+
     def _pop_to(self, at: int) -> None:
         for tag, _ in self.open[at:]:
+            self.places[tag].pop()
             if tag == "a":
                 self.in_link = max(0, self.in_link - 1)
             elif tag not in INLINE:
@@ -111,12 +132,9 @@ class Tree(HTMLParser):
             return
         if tag in CLOSES_P or tag in SAME_CLOSED:
             gone = SAME_CLOSED.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i][0] in gone:
-                    self._pop_to(i)
-                    break
-                if self.open[i][0] in SCOPES:
-                    break
+            at = self._nearest(gone)
+            if at >= max(1, self._nearest(SCOPES)):
+                self._pop_to(at)
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.text.append((0, None, False))
@@ -137,6 +155,7 @@ class Tree(HTMLParser):
         if tag == "a":
             self.in_link += 1
             self.links[node] += 1
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, node))
 
     def handle_startendtag(self, tag, attrs):
@@ -153,10 +172,8 @@ class Tree(HTMLParser):
             elif tag in ("body", "html"):
                 self.skip = []
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self._pop_to(i)
-                return
+        if self.places.get(tag):
+            self._pop_to(self.places[tag][-1])
 
     def handle_data(self, data):
         if not self.skip:
@@ -231,7 +248,8 @@ def boilerplate(name: str) -> str:
 
 def _parse(html: str) -> Tree:
     tree = Tree()
-    tree.feed(html)
+    unfinished = _TAG.search(html, html.rfind(">") + 1)  # a tag cut off at the end is no text
+    tree.feed(html[: unfinished.start()] if unfinished else html)
     tree.close()
     tree.prune()
     return tree
@@ -267,7 +285,6 @@ def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int
 SENTENCE_CHARS = 25
 MENU_LINKS = 3
 # Names of HTML.
-MARKS = ("article", "main")
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 

@@ -97,3 +97,28 @@ def test_other_articles_and_comments_still_go():
     for html in (f"<article>{body}</article>", f"<div>{body}</div>"):
         assert main_text(page(html + f"<section class='related'>{card * 3}</section>" + said + f"<aside>{card}</aside>")) == plain(body)
     assert main_text(page(f"<article>{body}<section class=comments><p>{LONG * 40}</p></section></article>")) == plain(body)
+
+
+def test_no_page_ends_the_job(spark):
+    """Broken declarations are comments, cut-off tags are no text, and what
+    never closes is read in time that follows the page's length."""
+    good = f"<article><p>{LONG}</p></article>"
+    broken = ["<![foo[x]]>", "<![ x ]>", "<!foo>", "<!>", "<![CDATA[a]]>", "<!ELEMENT x [", "<?x", "<!-- x", "<div", "<a href='", "</", "<!", "&#x;", "a\0b"]
+    pages = [(i, x + good) for i, x in enumerate(broken)] + [(i + 100, good + x) for i, x in enumerate(broken)]
+    many = ["<div>", "<span>", "<p>", "<li>", "<!--", "<![x", "<a ", "<", "</", "&", "</b>", "<![x]>", "<div></i>"]
+    pages += [(i + 200, good + x * 40_000) for i, x in enumerate(many)]
+    pages += [(300, good), (300, good), (None, good)]  # repeated rows
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")
+    got = html_text.extract(df).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        if r.page_id is None or r.page_id >= 100:
+            assert r.text.startswith(LONG.strip()), (r.page_id, r.text[:50])
+    assert [main_text(x + good) for x in broken[:5]] == [LONG.strip()] * 5
+    assert main_text(good + "<div class='x") == LONG.strip() == main_text(good + "<!-- x " + good)
+    assert main_text(f"<p>{LONG} I <3 it and 1 < 2") == f"{LONG}I <3 it and 1 < 2"
+
+
+def test_very_long_page():
+    body = paragraphs(20_000, 2, "a")
+    assert main_text(page(f"<nav>{LONG}</nav><article>{body}</article>")) == plain(body)
