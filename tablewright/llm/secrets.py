@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,13 +115,18 @@ def spans(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[str]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = list(found)
+    found.sort()
+    starts, reach = [s for s, _, _ in found], [0, *accumulate((e for _, _, e in found), max)]
+
+    def covered(a: int, b: int) -> bool:  # by one base span: of those that start at a or before, the furthest end decides
+        return reach[bisect_right(starts, a)] >= b
+
     for m in _RUN.finditer(text):
         a, b = m.span()
-        if m[0].isdigit() or any(s <= a and b <= e for s, _, e in base):
+        if m[0].isdigit() or covered(a, b):
             continue
         for x, y in random_parts(m[0], encoding, max_ratio):
-            if not any(s <= a + x and a + y <= e for s, _, e in base):
+            if not covered(a + x, a + y):
                 found.append((a + x, 3, a + y))
     return [f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(found)]
 
