@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import (
-    cdc_dedup, decontaminate, html_text, katz, packing, quality_crf, secrets, simhash, suffix_dedup, voronoi_topk,
+    cdc_dedup, decontaminate, html_text, katz, multi_index, packing, quality_crf, secrets, simhash, suffix_dedup, voronoi_topk,
 )
 from tablewright.llm.common import remainder, table
 
@@ -80,6 +80,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", "predicted")
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_katz": op9_katz,
     "op10_quality": op10_quality,
+    "op11_multi_index": op11_multi_index,
 }
 
 _WORDS = r"list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -131,4 +136,20 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 5""",
+    "op11_multi_index": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), u AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), near AS (
+  SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT r, r AS other FROM v UNION SELECT reach.r, near.b FROM reach JOIN near ON reach.other = near.a
+), least AS (
+  SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.other GROUP BY reach.r
+), links AS (SELECT a AS r, count(*) AS n FROM near GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN least USING (r) LEFT JOIN links USING (r)""",
 }
