@@ -2,7 +2,10 @@
 
 Every step is one aggregation and one join on the node; the links are written
 to the shared folder between steps, so an executor lost later costs no
-earlier step.  Nothing but a checksum of the links reaches the driver.
+earlier step.  A node's least neighbours are broadcast where the links are few
+by their count; beyond that they are staged, so that the join reads two plain
+tables and the rows of a giant component's root can be split among tasks.
+Nothing but a count and a checksum of the links reaches the driver.
 """
 from __future__ import annotations
 
@@ -12,11 +15,16 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import stage
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Links that a broadcast of all nodes' least neighbours is bounded by.
+FEW_LINKS = 200_000
+
+
+def _star(links: DataFrame, large: bool, few: bool) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
     if not large:
         both = both.where("b < a")
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    least = F.broadcast(least) if few else stage(least, "star-least")
     joined = both.join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
     if large:
         new = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -33,7 +41,9 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     check = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     before = tuple(links.agg(*check).first())
     while before[0]:
-        links = stage(_star(_star(links, True), False), label)
+        few = before[0] <= FEW_LINKS
+        wide = _star(links, True, few)
+        links = stage(_star(wide if few else stage(wide, label), False, few), label)
         after = tuple(links.agg(*check).first())
         if after == before:
             break

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stage
+from tablewright.llm.common import small, stage
 from tablewright.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -212,6 +212,7 @@ def near_duplicates(
     distinct = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     linked = components(fingerprint_links(distinct.select("fp"), distinct.count(), radius), "simhash-links")
     member = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = member.join(least, "root").select("fp", "component_id")
+    member = stage(member, "simhash-members")
+    least = stage(member.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    member = stage(member.join(small(least), "root").select("fp", "component_id"), "simhash-classes")
     return docs.join(member, "fp").select("doc_id", "fp", "component_id")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from llm_data import SF_MID
@@ -88,7 +89,9 @@ def classes_from_links(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("few", [200_000, 0])  # with broadcasts, and by joins alone
+def test_components_of_paths_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr("tablewright.llm.components.FEW_LINKS", few)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 299)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {i: 0 for i in range(1, 61)} | {100 + i: 100 for i in range(1, 30)} | {300: 299}
