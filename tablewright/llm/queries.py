@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import (
-    cdc_dedup, decontaminate, html_text, katz, multi_index, packing, quality_crf, secrets, simhash, suffix_dedup, voronoi_topk,
+    cdc_dedup, decontaminate, html_text, katz, multi_index, norm_buckets, packing, prefix_trie, quality_crf, secrets, simhash,
+    suffix_dedup, voronoi_topk,
 )
 from tablewright.llm.common import remainder, table
 
@@ -84,6 +85,14 @@ def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -96,6 +105,8 @@ QUERIES = {
     "op9_katz": op9_katz,
     "op10_quality": op10_quality,
     "op11_multi_index": op11_multi_index,
+    "op12_norm_buckets": op12_norm_buckets,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS = r"list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -136,6 +147,56 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 5""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(coalesce(role, '')), ':', role, text))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT c, list(x ORDER BY i) AS xs, c - c % 20 AS f, xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, _: xor(v >> 1, (v & 1) * 3988292384)))) % 4 AS h
+  FROM t GROUP BY c
+), seqs AS (
+  SELECT n.c, list_concat(coalesce(f.xs, [])[:n.h], n.xs[n.h + 1:]) AS xs FROM n LEFT JOIN n f ON f.c = n.f
+), p AS (
+  SELECT c, xs[:d] AS k, d, len(xs) = d AS is_end, CASE WHEN d > 0 THEN xs[d].t ELSE '' END AS last
+  FROM (SELECT c, xs, unnest(range(0, len(xs) + 1)) AS d FROM seqs)
+), node AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c, ',' ORDER BY c) FILTER (is_end), '') AS ends,
+    (count(*) - 1) * len(list_filter(regexp_extract_all(any_value(last), '[^\x20\x09-\x0D]+'), lambda x: x <> '')) AS saves
+  FROM p GROUP BY k, d
+), kids AS (
+  SELECT a.k, count(b.k) AS n FROM node a LEFT JOIN node b ON b.d = a.d + 1 AND b.k[:a.d] = a.k GROUP BY a.k
+), whole AS (
+  SELECT a.k, CAST(sum(CASE WHEN kids.n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(b.saves) AS BIGINT) AS saved_tokens
+  FROM node a JOIN node b ON b.k[:a.d] = a.k JOIN kids ON kids.k = b.k GROUP BY a.k
+)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, above.conv_id AS parent_conv_id, a.n_convs, kids.n AS n_children, n_leaves, saved_tokens,
+  sha256(a.ends) AS ends_sha256
+FROM node a JOIN kids USING (k) JOIN whole USING (k) LEFT JOIN node above ON a.d > 0 AND above.k = a.k[:a.d - 1]""",
+    "op12_norm_buckets": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), size AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0
+), b AS (
+  SELECT i, item_id, term, CAST(count(*) AS BIGINT) AS q
+  FROM (SELECT row_number() OVER () AS i, item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL
+), f AS (
+  SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM b) GROUP BY ALL
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, size GROUP BY term, docs
+), scored AS (
+  SELECT i, item_id, r, doc_id,
+    CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM b JOIN weight USING (term) JOIN f USING (term), size GROUP BY ALL
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20""",
     "op11_multi_index": """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings

@@ -1,0 +1,34 @@
+"""Running totals along an order, for groups of any size.
+
+Rows are sorted into range partitions by group and order; totals run within a
+partition's share of a group, and what the earlier shares hold is added from a
+table of one row for each group and partition.  A group that holds all rows is
+spread over all partitions.
+"""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tablewright.llm.common import small, stage
+
+_ADD = {"sum": (F.sum, lambda a, b: a + b), "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b))}
+
+
+def running(df: DataFrame, group: list[str], order: list[str], totals: dict[str, tuple[str, Column]], label: str) -> DataFrame:
+    """``df`` with a column for each of ``totals`` (name: ``sum`` or ``xor``,
+    and a long that is never null): the total over the group's rows up to and
+    with this one.  ``order`` has to tell the rows of a group apart."""
+    share = [*group, "_share"]
+    df = df.select("*", *[c.alias(f"_{name}") for name, (_, c) in totals.items()])
+    df = stage(df.repartitionByRange(*group, *order).withColumn("_share", F.spark_partition_id()), label)
+    earlier = Window.partitionBy(*group).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*share).agg(*[_ADD[how][0](f"_{name}").alias(name) for name, (how, _) in totals.items()])
+    sums = stage(sums.select(*share, *[F.coalesce(_ADD[how][0](name).over(earlier), F.lit(0)).alias(f"_{name}_before") for name, (how, _) in totals.items()]), f"{label}-sums")
+    here = Window.partitionBy(*share).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name, (how, _) in totals.items():
+        df = df.withColumn(name, _ADD[how][0](f"_{name}").over(here))
+    df = df.join(small(sums), share)
+    for name, (how, _) in totals.items():
+        df = df.withColumn(name, _ADD[how][1](F.col(name), F.col(f"_{name}_before")))
+    return df.drop("_share", *[x for name in totals for x in (f"_{name}", f"_{name}_before")])
