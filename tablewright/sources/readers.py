@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.names import idents, require_columns
 from ..functions.predicates import condition
 from ..operators.rows import limit_rows
+from .merges import live_files
 
 # Fixed value: rows fetched per JDBC round trip unless the source says otherwise.
 DEFAULT_FETCH_SIZE = 10_000
@@ -67,7 +68,8 @@ def read_source(
     if len(given) != 1:
         raise ValueError("a source needs exactly one of path, table, jdbc")
     if path is not None:
-        df = spark.read.format(format).options(**dict(options or {})).load(path)
+        reader, live = spark.read.format(format).options(**dict(options or {})), live_files(spark, path)
+        df = reader.load(path) if live is None else reader.option("basePath", path).load(live)
     elif table is not None:
         df = spark.table(table)
     else:

@@ -17,8 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import idents, require_columns
+from ..functions.names import field_type, idents, require_columns
 from ..session import ensure_checkpoint_dir
+from . import merges
 
 WRITE_MODES = ("append", "overwrite", "merge")
 
@@ -146,7 +147,7 @@ def write(
             return upsert_path(df, path, keys, format=format, partition_by=partition_by)
         if table is not None:
             return upsert_table(df, table, keys)
-        raise ValueError("merge needs a path or catalog table target")
+        return upsert_jdbc(df, jdbc, keys)
     if jdbc is not None and stage_jdbc:
         # run the whole plan (and its in-plan checks) into the shared scratch
         # folder first, so a failing job never leaves a partial database write
@@ -181,39 +182,43 @@ def upsert_path(
     """Keyed merge into a file dataset: target rows whose key is absent from
     ``df`` are kept, every ``df`` row is written (update + insert).
 
-    The merged result goes to a new sibling folder, then the folders are
-    swapped by rename, so readers never see a half-written target and the
-    plan never overwrites a path it is reading.  Keys in ``df`` must be
-    unique; a duplicate is refused before anything is written.
+    Only files that hold a matched key are rewritten (``merges``); the rest
+    stay as they are.  New files are ranged by key, so that a later merge of
+    neighbouring keys touches few of them.  Where ``df`` brings columns that
+    the target lacks, or the target's partition folders are not those asked
+    for, all files are rewritten.  Keys in ``df`` must be unique; a duplicate
+    is refused before anything is written.  The report counts the rows that
+    were written: those of the rewritten files and of ``df``.
     """
     spark = df.sparkSession
     keys = list(keys)
     _recover(spark, path)
+    merges.settle(spark, path)
     checked = _checked_source(df, keys)
-    if path_exists(spark, path):
-        target = spark.read.format(format).load(path)
-        merged = target.join(checked.select(*keys), keys, "left_anti").unionByName(checked, allowMissingColumns=True)
+    folder = merges.Folder(spark, path)
+    present = folder.files() if folder.exists() else []
+    if not present:
+        return write(checked, path=path, format=format, mode="append", create_if_missing=True, partition_by=partition_by)
+    target = spark.read.format(format).load(path)
+    require_columns(target, keys, where="merge target")
+    known = {c.lower() for c in target.columns}
+    asked = [c.lower() for c in partition_by or []]
+    layout = [part.split("=", 1)[0] for part in present[0].split("/")[:-1]]  # k=v folders
+    if all(c.lower() in known for c in checked.columns) and (not asked or asked == [c.lower() for c in layout]):
+        replaced, partition_by = merges.touched_files(target, checked, keys, folder), layout
     else:
-        merged = checked
-    fresh = f"{path.rstrip('/')}.__merge-{uuid.uuid4().hex}"
+        replaced, partition_by = present, partition_by or layout
+    held = merges.read_files(spark, folder, replaced, format, target.schema) if replaced else target.limit(0)
+    merged = held.join(checked.select(*keys), keys, "left_anti").unionByName(checked, allowMissingColumns=True)
+    merged = merged.repartitionByRange(max(1, len(replaced)), *keys) if len(replaced) < len(present) else merged
+    hidden = f"_merge-{uuid.uuid4().hex}"
     obs = Observation(f"tw_merge_{uuid.uuid4().hex[:8]}")
     w = merged.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").format(format)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(fresh)
-    fs, p = _fs(spark, path)
-    _, pf = _fs(spark, fresh)
-    old = None
-    if fs.exists(p):
-        _, old = _fs(spark, f"{path.rstrip('/')}.__old-{uuid.uuid4().hex}")
-        if not fs.rename(p, old):
-            raise RuntimeError(f"could not move {path} aside")
-    if not fs.rename(pf, p):
-        if old is not None:
-            fs.rename(old, p)
-        raise RuntimeError(f"could not move merged data into {path}")
-    if old is not None:
-        fs.delete(old, True)
+    w.save(f"{folder.path}/{hidden}")
+    merges.commit(folder, hidden, replaced)
+    merges.settle(spark, path)
     return WriteReport(path, "merge", observed_rows(obs), list(merged.columns))
 
 
@@ -270,6 +275,73 @@ def upsert_table(df: DataFrame, table: str, keys: Sequence[str]) -> WriteReport:
     return WriteReport(table, "merge", observed_rows(obs), list(merged.columns))
 
 
+def upsert_jdbc(df: DataFrame, jdbc: Mapping, keys: Sequence[str]) -> WriteReport:
+    """Keyed merge into a database table.  The tasks write the source to a
+    table of its own beside the target; then the database itself, in one
+    transaction, deletes the target rows whose keys are in it and inserts its
+    rows.  A failure at any point leaves the target as it was.  Only standard
+    SQL is used; the target's columns are those of ``df`` by name."""
+    spark = df.sparkSession
+    checked = _checked_source(df, keys)
+    props = dict(jdbc.get("properties", {}))
+    if not _target_exists(spark, None, None, jdbc):
+        return write(checked, jdbc=jdbc, mode="append", create_if_missing=True, stage_jdbc=False)
+    current = spark.read.jdbc(jdbc["url"], jdbc["table"], properties=props)
+    require_columns(checked, keys, where="merge input")
+    spelled = {c.lower(): c for c in current.columns}
+    extra = [c for c in checked.columns if c.lower() not in spelled]
+    if extra:
+        raise ValueError(f"columns {extra} are not in table {jdbc['table']}")
+    checked = checked.select(*[F.col(c).cast(field_type(current, spelled[c.lower()])).alias(spelled[c.lower()]) for c in checked.columns])
+    schema, dot, _ = jdbc["table"].rpartition(".")
+    aside = f"{schema}{dot}TW_MERGE_{uuid.uuid4().hex[:16].upper()}"
+    obs = Observation(f"tw_merge_{uuid.uuid4().hex[:8]}")
+    quote = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(jdbc["url"]).quoteIdentifier
+    cols = ", ".join(map(quote, checked.columns))
+    same = " AND ".join(f"s.{k} = {jdbc['table']}.{k}" for k in (quote(spelled[k.lower()]) for k in keys))
+    like = f"CREATE TABLE {aside} AS SELECT {cols} FROM {jdbc['table']} WHERE 1=0"
+    _first_that_runs(spark, jdbc, [like, like + " WITH NO DATA"])  # not all databases know the same form
+    try:
+        checked.observe(obs, F.count(F.lit(1)).alias("rows")).write.jdbc(jdbc["url"], aside, mode="append", properties=props)
+        _run_sql(spark, jdbc, [
+            f"DELETE FROM {jdbc['table']} WHERE EXISTS (SELECT 1 FROM {aside} s WHERE {same})",
+            f"INSERT INTO {jdbc['table']} ({cols}) SELECT {cols} FROM {aside}",
+        ])
+    finally:
+        _run_sql(spark, jdbc, [f"DROP TABLE {aside}"])
+    return WriteReport(_shown(jdbc), "merge", observed_rows(obs), list(checked.columns))
+
+
+def _run_sql(spark: SparkSession, jdbc: Mapping, statements: Sequence[str]) -> None:
+    """Statements in one transaction of the database, from the driver."""
+    jvm, props = spark.sparkContext._jvm, jdbc.get("properties", {})
+    if "driver" in props:
+        jvm.java.lang.Class.forName(props["driver"])
+    given = jvm.java.util.Properties()
+    for k, v in props.items():
+        given.setProperty(k, str(v))
+    db = jvm.java.sql.DriverManager.getConnection(jdbc["url"], given)
+    try:
+        db.setAutoCommit(False)
+        for text in statements:
+            db.createStatement().executeUpdate(text)
+        db.commit()
+    except Exception:
+        db.rollback()
+        raise
+    finally:
+        db.close()
+
+
+def _first_that_runs(spark: SparkSession, jdbc: Mapping, forms: Sequence[str]) -> None:
+    for i, text in enumerate(forms):
+        try:
+            return _run_sql(spark, jdbc, [text])
+        except Exception:
+            if i == len(forms) - 1:
+                raise
+
+
 def write_staging(
     df: DataFrame, path: str | None = None, mode: str = "overwrite", *, format: str = "parquet", table: str | None = None
 ) -> DataFrame:

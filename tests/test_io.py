@@ -73,7 +73,7 @@ def test_write_modes_and_create_if_missing(spark, tmp_path):
 
 def test_merge_upsert(spark, tmp_path):
     p = str(tmp_path / "m")
-    base = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string").coalesce(1)  # one file, so all of it is rewritten
     sinks.write(base, path=p, mode="overwrite", create_if_missing=True)
     upd = spark.createDataFrame([(2, "B"), (3, "C")], "k bigint, v string")
     rep = sinks.write(upd, path=p, mode="merge", create_if_missing=True, merge_keys=["k"])

@@ -1,0 +1,139 @@
+"""Keyed merge into file datasets (touched files only, crashes between the
+steps) and into database tables."""
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from table_data import SF_SMALL
+from tablewright.sources import merges, sinks
+from tablewright.sources.readers import JdbcOptions, read_source
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def ranged_orders(spark, path, files=40):
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    orders.repartitionByRange(files, "o_orderkey").write.parquet(path)
+    return orders
+
+
+def data_files(path):
+    return {os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+def merged(orders, update):
+    return orders.join(update, "o_orderkey", "left_anti").unionByName(update)
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_only_touched_files_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    orders = ranged_orders(spark, path)
+    before = {f: os.stat(f).st_mtime_ns for f in data_files(path)}
+    n = orders.count()
+    keys = [r[0] for r in orders.select("o_orderkey").orderBy("o_orderkey").collect()]
+    update = orders.where(F.col("o_orderkey").between(keys[500], keys[500 + n // 100])).withColumn("o_totalprice", F.lit(1.5))
+    update = update.unionByName(spark.createDataFrame([(keys[-1] + 9, "N", 2.5)], update.schema))
+    rep = sinks.write(update, path=path, mode="merge", merge_keys=["o_orderkey"])
+    after = data_files(path)
+    gone = set(before) - after
+    assert 1 <= len(gone) <= 2 and len(gone) < 0.051 * len(before)  # the run of keys lies in one file, or two
+    assert all(os.stat(f).st_mtime_ns == before[f] for f in set(before) & after)
+    assert rows_of(spark.read.parquet(path)) == rows_of(merged(orders, update))
+    assert rep.rows_written < 0.06 * n and not [f for f in os.listdir(path) if f.startswith(("_merge", "_tw"))]
+    # and the next merge of the same keys finds them close together again
+    before = data_files(path)
+    sinks.write(update.withColumn("o_totalprice", F.lit(7.0)), path=path, mode="merge", merge_keys=["o_orderkey"])
+    assert len(before - data_files(path)) <= 3
+
+
+def test_inserts_alone_rewrite_nothing(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    orders = ranged_orders(spark, path)
+    before = data_files(path)
+    new = spark.createDataFrame([(-5, "N", 1.0), (-6, "N", 2.0)], orders.schema)
+    assert sinks.write(new, path=path, mode="merge", merge_keys=["o_orderkey"]).rows_written == 2
+    assert before < data_files(path)
+    assert rows_of(spark.read.parquet(path)) == rows_of(orders.unionByName(new))
+
+
+@pytest.mark.parametrize("fails", ["write", "commit", "move", "remove", "clean"])
+def test_a_crash_between_the_steps(spark, tmp_path, monkeypatch, fails):
+    """The target is the old or the new version, whole, after every step; the
+    next merge carries out what was committed."""
+    path = str(tmp_path / "orders")
+    orders = ranged_orders(spark, path, files=6)
+    update = orders.where("o_orderkey % 50 = 0").withColumn("o_orderstatus", F.lit("X"))
+    old, new = rows_of(orders), rows_of(merged(orders, update))
+    real = {"move": merges.Folder.move, "remove": merges.Folder.remove}
+    done = []
+
+    def stop(*a):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        if fails == "write":
+            m.setattr(merges, "commit", stop)
+        elif fails == "commit":
+            m.setattr(merges, "settle", lambda spark, path: done.append(1) if not done else stop())
+        elif fails == "move":  # the commit file is in place, the new files are not
+            m.setattr(merges.Folder, "move", lambda self, a, b: stop() if done else (done.append(1), real["move"](self, a, b)))
+        else:
+            most = 2 if fails == "remove" else 7
+            m.setattr(merges.Folder, "remove", lambda self, a: stop() if len(done) >= most else (done.append(1), real["remove"](self, a)))
+        with pytest.raises(RuntimeError, match="crash"):
+            sinks.write(update, path=path, mode="merge", merge_keys=["o_orderkey"])
+    want = old if fails == "write" else new
+    assert rows_of(read_source(spark, path=path)) == want
+    if fails == "write":
+        assert rows_of(spark.read.parquet(path)) == want
+    again = orders.where("o_orderkey = 7").withColumn("o_orderstatus", F.lit("Y"))
+    sinks.write(again, path=path, mode="merge", merge_keys=["o_orderkey"])
+    state = orders if fails == "write" else merged(orders, update)
+    assert rows_of(spark.read.parquet(path)) == rows_of(merged(state, again)) == rows_of(read_source(spark, path=path))
+    assert not [f for f in os.listdir(path) if f.startswith("_merge")]
+
+
+def test_partition_folders_new_columns_and_types(spark, tmp_path):
+    path = str(tmp_path / "t")
+    base = spark.range(60).select((F.col("id") % 3).cast("int").alias("p"), F.concat(F.lit("k "), "id").alias("k"), F.lit("a").alias("v"))
+    sinks.write(base.repartition(2), path=path, mode="append", partition_by=["p"], create_if_missing=True)
+    before = data_files(path)
+    update = spark.createDataFrame([("k 4", 1, "new"), ("k 100", 7, "new")], "k string, p int, v string")
+    sinks.write(update, path=path, mode="merge", merge_keys=["k"])
+    assert len(before - data_files(path)) == 1 and os.path.isdir(f"{path}/p=7")
+    state = base.join(update, "k", "left_anti").unionByName(update)
+    assert rows_of(spark.read.parquet(path).select("k", "p", "v")) == rows_of(state.select("k", "p", "v"))
+    wide = spark.createDataFrame([("k 5", 2, "w", 3.5)], "k string, p int, v string, extra double")
+    sinks.write(wide, path=path, mode="merge", merge_keys=["k"])
+    want = state.join(wide, "k", "left_anti").unionByName(wide, allowMissingColumns=True)
+    cols = ["k", "p", "v", "extra"]
+    assert sorted(map(str, rows_of(spark.read.parquet(path).select(cols).fillna(0.0)))) == sorted(map(str, rows_of(want.select(cols).fillna(0.0))))
+
+
+def test_merge_into_a_database_table(spark):
+    url = "jdbc:derby:memory:twmerge;create=true"
+    target = {"url": url, "table": "APP.STOCK", "properties": DERBY}
+    base = spark.range(50).select(F.col("id").alias("K"), F.concat(F.lit("v"), "id").alias("V"), F.lit(1.0).alias("X"))
+    types = {"createTableColumnTypes": "V VARCHAR(20)"}
+    sinks.write(base, jdbc=target, mode="overwrite", create_if_missing=True, options=types)
+    update = spark.createDataFrame([(3, "three"), (49, "last"), (70, "new"), (71, "more")], "k bigint, v string")
+    rep = sinks.write(update, jdbc=target, mode="merge", merge_keys=["k"])
+    assert rep.rows_written == 4 and rep.mode == "merge"
+    got = {r.K: (r.V, r.X) for r in read_source(spark, jdbc=JdbcOptions(url=url, table="APP.STOCK", properties=DERBY)).collect()}
+    want = {i: (f"v{i}", 1.0) for i in range(50)} | {3: ("three", None), 49: ("last", None), 70: ("new", None), 71: ("more", None)}
+    assert got == want
+    with pytest.raises(ValueError, match="duplicate or null"):
+        sinks.write(spark.createDataFrame([(1, "a"), (1, "b")], "k bigint, v string"), jdbc=target, mode="merge", merge_keys=["k"])
+    with pytest.raises(ValueError, match="not in table"):
+        sinks.write(spark.createDataFrame([(1, "a")], "k bigint, z string"), jdbc=target, mode="merge", merge_keys=["k"])
+    # a value the target refuses: the database is as it was, and nothing is left beside the table
+    with pytest.raises(Exception):
+        sinks.write(spark.createDataFrame([(1, "x" * 50)], "k bigint, v string"), jdbc=target, mode="merge", merge_keys=["k"])
+    assert {r.K: (r.V, r.X) for r in read_source(spark, jdbc=JdbcOptions(url=url, table="APP.STOCK", properties=DERBY)).collect()} == want
+    left = read_source(spark, jdbc=JdbcOptions(url=url, table="(SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLENAME LIKE 'TW_MERGE%') t", properties=DERBY))
+    assert left.count() == 0
