@@ -8,11 +8,9 @@ are set and differ (beyond ``tolerance`` for numeric columns; text always
 compares exactly).  Null keys never match, so a null-key row appears once
 from each side.
 
-The join is one full outer join: two exchanges, one pass over each side.  AQE
-cannot split a hot key in it; ``split_full_join=True`` writes it as matched
-pairs plus each side's rows without a partner (anti joins on the other side's
-distinct keys), which AQE can split, at the price of shuffling and evaluating
-each side once for every branch.
+The join is one full outer join (``fulljoin``): two exchanges, one pass over
+each side, rows with null keys dealt over the tasks.  Heavy keys are looked
+for and split where the sides are large, or where ``split_full_join`` asks.
 
 ``on_duplicate_keys="error"`` runs one aggregate job for each side while the
 plan is built.
@@ -28,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import field_type, ident, idents, require_columns
+from .fulljoin import full_outer
 
 
 def value_differs(left: Column, right: Column, tolerance: float | None, numeric: bool) -> Column:
@@ -52,6 +51,10 @@ def check_unique_keys(df: DataFrame, keys: Sequence[str], where: str) -> None:
         raise ValueError(f"{where} has duplicate keys, e.g. {dict(dup[0].asDict())}")
 
 
+def _spelled(df: DataFrame, name: str) -> str:
+    return next(c for c in df.columns if c.lower() == name.lower())
+
+
 def _kernel(
     a: DataFrame,
     b: DataFrame,
@@ -63,7 +66,7 @@ def _kernel(
     status_column: str,
     on_duplicate_keys: str = "allow",
     columns: str = "all",
-    split_full_join: bool = False,
+    split_full_join: bool | None = None,
 ) -> DataFrame:
     ks = idents(keys, what="keys")
     cmp = idents(compare_columns or [], allow_empty=True)
@@ -105,22 +108,7 @@ def _kernel(
         F.lit(True).alias("_tw_in_b"),
     )
     aa = a.withColumn("_tw_in_a", F.lit(True))
-    cond = reduce(and_, [aa[k] == bb[bk[k]] for k in ks])
-    if split_full_join:
-        # full outer join as matched pairs + rows of each side without a
-        # partner.  AQE can split a hot key in an inner or anti join on either
-        # side (it cannot in a full outer join); the anti joins probe the
-        # *distinct* keys of the other side, so a hot key costs one row there.
-        a_keys = a.select(*[F.col(k).alias(f"_tw_a{i}") for i, k in enumerate(ks)]).distinct()
-        b_keys = bb.select(*[F.col(bk[k]).alias(f"_tw_b{i}") for i, k in enumerate(ks)]).distinct()
-        pairs = aa.join(bb, cond, "inner").select(*aa.columns, *bb.columns)
-        only_a = aa.join(b_keys, reduce(and_, [aa[k] == b_keys[f"_tw_b{i}"] for i, k in enumerate(ks)]), "left_anti")
-        only_b = bb.join(a_keys, reduce(and_, [bb[bk[k]] == a_keys[f"_tw_a{i}"] for i, k in enumerate(ks)]), "left_anti")
-        null_a = [F.lit(None).cast(f.dataType).alias(f.name) for f in aa.schema.fields]
-        null_b = [F.lit(None).cast(f.dataType).alias(f.name) for f in bb.schema.fields]
-        j = pairs.unionByName(only_a.select(*aa.columns, *null_b)).unionByName(only_b.select(*null_a, *bb.columns))
-    else:
-        j = aa.join(bb, cond, "full")
+    j = full_outer(aa, bb, [_spelled(aa, k) for k in ks], [bk[k] for k in ks], find_heavy=split_full_join)
 
     def right_of(c: str) -> str:
         return next(n for src, n in b_names.items() if src.lower() == c.lower())
@@ -154,21 +142,21 @@ SNAPSHOT_LABELS = ("REMOVED", "ADDED", "CHANGED", "UNCHANGED")
 
 def reconcile(
     src, tgt, keys, compare_columns=None, tolerance=None, *, status_column="recon_status", on_duplicate_keys="allow", columns="all",
-    split_full_join=False,
+    split_full_join=None,
 ):
     return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
 
 
 def delta(
     old, new, keys, compare_columns=None, tolerance=None, *, status_column="change_type", on_duplicate_keys="allow", columns="all",
-    split_full_join=False,
+    split_full_join=None,
 ):
     return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
 
 
 def snapshot_diff(
     d1, d2, keys, compare_columns=None, tolerance=None, *, status_column="change_status", on_duplicate_keys="allow", columns="all",
-    split_full_join=False,
+    split_full_join=None,
 ):
     return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
 

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import field_type, ident, idents, require_columns
 from ..functions.sizing import maybe_broadcast
+from .fulljoin import full_outer
 
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "semi": "left_semi"}
 
@@ -82,16 +83,16 @@ def merge_join(
     *,
     null_safe: bool = False,
     broadcast_max_bytes: int | None = None,
-    split_full_join: bool = False,
+    split_full_join: bool | None = None,
 ) -> DataFrame:
     """Equi-join on key pairs (names may differ between the sides).
 
     ``broadcast_max_bytes``: hint a broadcast of the right side when the
     optimizer's size estimate is under this bound (inner / left / semi);
     above it, or for right / full joins, Spark's shuffle join is kept.
-    ``split_full_join``: plan a full join as inner pairs plus anti joins on
-    the other side's distinct keys, which AQE can split on a hot key but which
-    reads each side several times."""
+    A full join spreads rows with null keys over tasks (``fulljoin``);
+    ``split_full_join`` says whether it looks for heavy keys to split as well
+    (None: where the sides are large by the optimizer's estimate)."""
     if how not in JOIN_TYPES:
         raise ValueError(f"join type must be one of {sorted(JOIN_TYPES)}, not {how!r}")
     lkeys, rkeys = _pairs(on)
@@ -111,38 +112,19 @@ def merge_join(
         r = maybe_broadcast(r, broadcast_max_bytes)
     eq = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
     cond = reduce(and_, [eq(left[lk], r[tmp[rk]]) for lk, rk in zip(lkeys, rkeys)])
-    if kind == "full" and split_full_join:
-        return _split_full_join(left, r, lkeys, [tmp[k] for k in rkeys], eq, names, tmp)
-    joined = left.join(r, cond, kind)
+    if kind == "full":
+        joined = full_outer(left, r, lkeys, [tmp[k] for k in rkeys], null_safe=null_safe, find_heavy=split_full_join)
+    else:
+        joined = left.join(r, cond, kind)
     lk = _lower(lkeys)
     if kind == "right":
         lcols = [F.col(c) for c in left.columns if c.lower() not in lk]
     else:
-        lcols = [left[c] for c in left.columns]
+        lcols = [F.col(c) if kind == "full" else left[c] for c in left.columns]
     rcols = [F.col(tmp[c]).alias(n) for c, n in names.items()]
     return joined.select(*lcols, *rcols)
 
 
-def _split_full_join(left: DataFrame, r: DataFrame, lkeys, rkeys, eq, names: dict[str, str], tmp: dict[str, str]) -> DataFrame:
-    """Full outer join = matched pairs + left rows without a partner + right
-    rows without a partner; every piece is a join AQE can split on skew."""
-    lk = left.select(*[F.col(k).alias(f"_tw_lk{i}") for i, k in enumerate(lkeys)]).distinct()
-    rk = r.select(*[F.col(k).alias(f"_tw_rk{i}") for i, k in enumerate(rkeys)]).distinct()
-    pairs = left.join(r, reduce(and_, [eq(left[a], r[b]) for a, b in zip(lkeys, rkeys)]), "inner")
-    only_l = left.join(rk, reduce(and_, [eq(left[a], rk[f"_tw_rk{i}"]) for i, a in enumerate(lkeys)]), "left_anti")
-    only_r = r.join(lk, reduce(and_, [eq(r[b], lk[f"_tw_lk{i}"]) for i, b in enumerate(rkeys)]), "left_anti")
-    rfields = {f.name: f.dataType for f in r.schema.fields}
-    out_l = [F.col(c) for c in left.columns]
-    out_r = [F.col(tmp[c]).alias(n) for c, n in names.items()]
-    null_l = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields]
-    null_r = [F.lit(None).cast(rfields[tmp[c]]).alias(n) for c, n in names.items()]
-    return (
-        pairs.select(*out_l, *out_r)
-        .unionByName(only_l.select(*out_l, *null_r))
-        .unionByName(only_r.select(*null_l, *out_r))
-    )
-
-
 def semi_join(left: DataFrame, right: DataFrame, on, *, broadcast_max_bytes: int | None = None) -> DataFrame:
     """Left rows with at least one key match on the right (no duplication)."""
     lkeys, rkeys = _pairs(on)

@@ -23,7 +23,7 @@ from ..functions.names import ident
 from ..operators.mapping import map_target
 from ..sources.readers import read_source
 from ..sources.sinks import WriteReport, new_scratch_path, observed_rows, write, write_quarantine, write_staging
-from .spec import Spec, Step, parse_spec
+from .spec import COMPARE_OPTIONS, Spec, Step, parse_spec
 
 # actions after which a carried sort order still holds
 _ORDER_KEEPING = {
@@ -118,15 +118,16 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
     if a == "action-handle-drift":
         return quality.handle_drift(x, c["mode"], c["expected_schema"], c.get("default_value"))
     if a == "action-merge-join":
-        return joins.merge_join(x, ins[1], c["on"], c["type"], c.get("suffix", "_right"), broadcast_max_bytes=c.get("broadcast_max_bytes"))
+        return joins.merge_join(x, ins[1], c["on"], c["type"], c.get("suffix", "_right"), null_safe=c.get("null_safe", False),
+                                broadcast_max_bytes=c.get("broadcast_max_bytes"), split_full_join=c.get("split_full_join"))
     if a == "action-union":
         return setops.union(ins, c["type"], align_schema=c.get("align_schema", False))
     if a == "action-reconciliation":
-        return compare.reconcile(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "recon_status", on_duplicate_keys=c.get("on_duplicate_keys", "allow"), columns=c.get("columns", "all"))
+        return compare.reconcile(x, ins[1], c["keys"], status_column=flag or "recon_status", **{k: c[k] for k in COMPARE_OPTIONS & set(c)})
     if a == "action-delta-detection":
-        return compare.delta(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_type", on_duplicate_keys=c.get("on_duplicate_keys", "allow"), columns=c.get("columns", "all"))
+        return compare.delta(x, ins[1], c["keys"], status_column=flag or "change_type", **{k: c[k] for k in COMPARE_OPTIONS & set(c)})
     if a == "action-snapshot-diff":
-        return compare.snapshot_diff(x, ins[1], c["keys"], c.get("compare_columns"), c.get("tolerance"), status_column=flag or "change_status", on_duplicate_keys=c.get("on_duplicate_keys", "allow"), columns=c.get("columns", "all"))
+        return compare.snapshot_diff(x, ins[1], c["keys"], status_column=flag or "change_status", **{k: c[k] for k in COMPARE_OPTIONS & set(c)})
     if a == "action-exception-extract":
         return quality.exceptions(ins, c["condition"], c.get("output_mode", "exceptions_only"), flag=flag)
     if a == "action-cross-validate":

@@ -58,6 +58,8 @@ FLAG_ACTIONS = frozenset(
     }
 )
 
+COMPARE_OPTIONS = {"compare_columns", "tolerance", "on_duplicate_keys", "columns", "split_full_join"}
+
 # Per action: (required config keys, optional config keys, input count rule).
 # Input rule: an int = exactly that many, "2+" = two or more, "1+" = one or more.
 CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
@@ -75,10 +77,10 @@ CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
     "action-write-staging": ({"table"}, {"schema", "mode", "path"}, 1),
     "action-error-quarantine": ({"error_column", "table"}, {"schema", "include_valid_output", "path"}, 1),
     "action-handle-drift": ({"mode", "expected_schema"}, {"default_value"}, 1),
-    "action-merge-join": ({"type", "on"}, {"suffix", "broadcast_max_bytes"}, 2),
+    "action-merge-join": ({"type", "on"}, {"suffix", "broadcast_max_bytes", "null_safe", "split_full_join"}, 2),
     "action-union": ({"type"}, {"align_schema"}, "2+"),
-    "action-reconciliation": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
-    "action-delta-detection": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
+    "action-reconciliation": ({"keys"}, COMPARE_OPTIONS, 2),
+    "action-delta-detection": ({"keys"}, COMPARE_OPTIONS, 2),
     "action-exception-extract": ({"condition"}, {"output_mode"}, "1+"),
     "action-cross-validate": ({"keys", "rules"}, {"on_duplicate_keys"}, 2),
     "action-aggregate-multi": ({"union_type", "group_by", "metrics"}, {"order_by", "align_schema"}, "2+"),
@@ -88,7 +90,7 @@ CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
         2,
     ),
     "action-anti-join": ({"on"}, {"broadcast_max_bytes"}, 2),
-    "action-snapshot-diff": ({"keys"}, {"compare_columns", "tolerance", "on_duplicate_keys", "columns"}, 2),
+    "action-snapshot-diff": ({"keys"}, COMPARE_OPTIONS, 2),
 }
 
 
