@@ -51,3 +51,17 @@ def field_type(df: DataFrame, name: str):
         if f.name.lower() == name.lower():
             return f.dataType
     raise ValueError(f"unknown column {name!r}")
+
+
+def suffixed_names(taken: Iterable[str], names: Iterable[str], suffix: str) -> dict[str, str]:
+    """Output name for each of ``names`` beside the columns ``taken``: its own,
+    or with ``suffix`` where that is taken."""
+    used = {c.lower() for c in taken}
+    out: dict[str, str] = {}
+    for c in names:
+        name = c if c.lower() not in used else c + suffix
+        if name.lower() in used:
+            raise ValueError(f"column {c!r} clashes after suffix {suffix!r}")
+        used.add(name.lower())
+        out[c] = name
+    return out

@@ -1,5 +1,5 @@
 """Key joins: merge join (inner / left / right / full / semi), anti join and
-its flag form, and the as-of join.
+its flag form (the as-of join is in ``asof``).
 
 Output contract (fixed here because engines differ):
 
@@ -18,18 +18,16 @@ partitions at run time.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.feature import Bucketizer  # JVM binary search per row, no Python
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.names import field_type, ident, idents, require_columns
+from ..functions.names import ident, idents, require_columns, suffixed_names
 from ..functions.sizing import maybe_broadcast
+from .asof import asof_join  # noqa: F401  part of this module's interface
 from .fulljoin import full_outer
 
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "semi": "left_semi"}
@@ -56,24 +54,6 @@ def _lower(names) -> set[str]:
     return {n.lower() for n in names}
 
 
-def _right_names(left: DataFrame, right: DataFrame, rkeys: list[str], suffix: str, keep_right_keys: bool) -> dict[str, str]:
-    """Output name for every right column that survives the join."""
-    taken = _lower(left.columns)
-    out: dict[str, str] = {}
-    rk = _lower(rkeys)
-    for c in right.columns:
-        if c.lower() in rk and not keep_right_keys:
-            continue
-        name = c
-        if name.lower() in taken:
-            name = c + suffix
-            if name.lower() in taken:
-                raise ValueError(f"column {c!r} clashes after suffix {suffix!r}")
-        taken.add(name.lower())
-        out[c] = name
-    return out
-
-
 def merge_join(
     left: DataFrame,
     right: DataFrame,
@@ -105,7 +85,8 @@ def merge_join(
     if kind == "left_semi":
         return semi_join(left, right, on, broadcast_max_bytes=broadcast_max_bytes)
     keep_rk = kind in ("right", "full")
-    names = _right_names(left if kind != "right" else left.drop(*lkeys), right, rkeys, suffix, keep_rk)
+    kept = right.columns if keep_rk else [c for c in right.columns if c.lower() not in _lower(rkeys)]
+    names = suffixed_names((left if kind != "right" else left.drop(*lkeys)).columns, kept, suffix)
     tmp = {c: f"_tw_r{i}" for i, c in enumerate(right.columns)}
     r = right.select(*[F.col(c).alias(tmp[c]) for c in right.columns])
     if kind in ("inner", "left"):
@@ -160,247 +141,3 @@ def anti_join(
     joined = left.join(marker, cond, "left")
     keep = [left[c] for c in left.columns if c.lower() != flag.lower()]
     return joined.select(*keep, F.col("_tw_hit").isNull().alias(flag))
-
-
-# ---------------------------------------------------------------- as-of join
-
-ASOF_STRATEGIES = ("backward", "forward", "nearest")
-_UNIT_SECONDS = {"w": 604800, "d": 86400, "h": 3600, "m": 60, "s": 1, "ms": 0.001, "us": 0.000001}
-_DURATION = re.compile(r"(\d+(?:\.\d+)?)(ms|us|w|d|h|m|s)")
-
-
-def _parse_duration_seconds(text: str) -> float:
-    pos, total = 0, 0.0
-    s = text.strip().lower()
-    for m in _DURATION.finditer(s):
-        if m.start() != pos:
-            raise ValueError(f"bad duration {text!r}")
-        total += float(m.group(1)) * _UNIT_SECONDS[m.group(2)]
-        pos = m.end()
-    if pos != len(s) or not s:
-        raise ValueError(f"bad duration {text!r}")
-    return total
-
-
-def _key_type(left: T.DataType, right: T.DataType) -> T.DataType:
-    """A type that holds numeric keys of both sides exactly: long for
-    integers, decimal where a decimal takes part, double for floats."""
-    both = (left, right)
-    if all(isinstance(t, T.IntegralType) for t in both):
-        return T.LongType()
-    if all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in both):
-        return T.DecimalType(38, max(t.scale for t in both if isinstance(t, T.DecimalType)))
-    return T.DoubleType()
-
-
-def _time_key(col: Column, dt: T.DataType, numeric: T.DataType) -> tuple[Column, float]:
-    """Ordering key for ``on`` and the number of key units per second
-    (timestamps: microseconds; dates: days; numbers: the value)."""
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        epoch = F.lit("1970-01-01 00:00:00").cast(dt.simpleString())
-        return F.timestamp_diff("MICROSECOND", epoch, col), 1_000_000.0
-    if isinstance(dt, T.DateType):
-        return F.unix_date(col).cast("long"), 1 / 86400
-    if isinstance(dt, T.NumericType):
-        return col.cast(numeric), 1.0
-    raise ValueError(f"as-of key must be numeric, date or timestamp, not {dt.simpleString()}")
-
-
-def _tolerance_units(tolerance, dt: T.DataType, per_second: float) -> float | None:
-    if tolerance is None:
-        return None
-    if isinstance(tolerance, str):
-        if not isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            raise ValueError("a duration tolerance needs a date or timestamp key")
-        return _parse_duration_seconds(tolerance) * per_second
-    if hasattr(tolerance, "total_seconds"):
-        return tolerance.total_seconds() * per_second
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return float(tolerance) * per_second  # plain numbers are seconds
-    return float(tolerance)
-
-
-def _quantile_buckets(L: DataFrame, R: DataFrame, rows_per_bucket: int, max_buckets: int | None) -> tuple[DataFrame, DataFrame, bool]:
-    """Add ``_tw_b`` to both sides: the index of the key's quantile range.
-    Bounds come from one aggregate (a count and ``percentile_approx``; only
-    the bound list reaches the driver); the index is found by the JVM
-    ``Bucketizer``'s binary search.  Also says whether one time value spans
-    several quantiles (a heavy tie no bucket can split)."""
-    times = L.select("_tw_t").unionByName(R.select("_tw_t"))
-    n = times.count()
-    nb = max(1, -(-n // max(1, rows_per_bucket)))
-    nb = min(nb, max_buckets) if max_buckets else nb
-    if nb <= 1:
-        return L.withColumn("_tw_b", F.lit(0).cast("long")), R.withColumn("_tw_b", F.lit(0).cast("long")), False
-    probs = [i / nb for i in range(1, nb)]
-    bounds = times.agg(F.percentile_approx(F.col("_tw_t").cast("double"), probs, max(10_000, 4 * nb)).alias("q")).first()["q"]
-    distinct = sorted(set(float(b) for b in bounds))
-    heavy_ties = len(distinct) < len(bounds)
-    splits = [float("-inf")] + distinct + [float("inf")]
-
-    def add(df: DataFrame) -> DataFrame:
-        b = Bucketizer(splits=splits, inputCol="_tw_td", outputCol="_tw_bd")
-        out = b.transform(df.withColumn("_tw_td", F.col("_tw_t").cast("double")))
-        return out.withColumn("_tw_b", F.col("_tw_bd").cast("long")).drop("_tw_td", "_tw_bd")
-
-    return add(L), add(R), heavy_ties
-
-
-def asof_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str,
-    *,
-    right_on: str | None = None,
-    by: str | Sequence[str] | None = None,
-    strategy: str = "backward",
-    tolerance=None,
-    suffix: str = "_right",
-    bucket_width: float | None = None,
-    rows_per_bucket: int = 1_000_000,
-    max_buckets: int | None = None,
-    collapse_ties: bool | None = None,
-) -> DataFrame:
-    """For each left row, the right row with the nearest ``right_on`` value
-    not after (backward), not before (forward) or closest to (nearest, ties go
-    backward) the left ``on`` value, within equal ``by`` keys.  Every left row
-    appears once; unmatched rows get nulls.  ``tolerance`` caps the gap
-    (numbers, seconds, a ``timedelta`` or text like ``"1d"`` / ``"2h30m"``).
-
-    Plan: both sides are unioned and cut into (by, time bucket) window
-    partitions, so neither a hot ``by`` key nor a missing ``by`` puts all rows in
-    one task.  Bucket bounds are approximate quantiles of the key (one small
-    eager aggregate; about ``rows_per_bucket`` rows each;
-    ``max_buckets`` caps their number), so a burst of rows in a short time span is split too;
-    ``bucket_width`` gives fixed-width buckets instead.  When one time value
-    holds more rows than a bucket (seen from repeated quantile bounds, or
-    ``collapse_ties=True``), rows are first reduced to one per (by, time) a
-    side and matched rows are joined back.  A small bucket-level
-    table carries the last (first) right row of earlier (later) buckets into
-    each bucket as a synthetic row.  One shuffle of the data plus aggregates
-    over bucket summaries.
-    """
-    if strategy not in ASOF_STRATEGIES:
-        raise ValueError(f"strategy must be one of {ASOF_STRATEGIES}, not {strategy!r}")
-    lon = ident(on)
-    ron = ident(right_on or on)
-    bys = [by] if isinstance(by, str) else list(by or [])
-    bys = idents(bys, allow_empty=True)
-    require_columns(left, [lon, *bys], where="left input")
-    require_columns(right, [ron, *bys], where="right input")
-    ldt, rdt = field_type(left, lon), field_type(right, ron)
-    if type(ldt) is not type(rdt) and not (isinstance(ldt, T.NumericType) and isinstance(rdt, T.NumericType)):
-        raise ValueError(f"as-of keys differ in type: {ldt.simpleString()} vs {rdt.simpleString()}")
-    numeric = _key_type(ldt, rdt)
-    lkey, per_second = _time_key(F.col(lon), ldt, numeric)
-    rkey, _ = _time_key(F.col(ron), rdt, numeric)
-    tol = _tolerance_units(tolerance, ldt, per_second)
-
-    by_l = _lower(bys)
-    payload_cols = [c for c in right.columns if c.lower() not in by_l]
-    names = _right_names(left, right.select(*payload_cols), [], suffix, True)
-    rstruct = F.struct(*[F.col(c).alias(names[c]) for c in payload_cols], F.col("_tw_t").alias("_tw_rt"))
-
-    bkeys = [f"_tw_by{i}" for i in range(len(bys))]
-    lrow_cols = left.columns
-    L = left.select(
-        *[F.col(b).alias(k) for b, k in zip(bys, bkeys)], lkey.alias("_tw_t"), F.struct(*[F.col(c) for c in lrow_cols]).alias("_tw_l")
-    )
-    R = right.select(*[F.col(b).alias(k) for b, k in zip(bys, bkeys)], rkey.alias("_tw_t"), *[F.col(c) for c in payload_cols])
-    R = R.filter(reduce(and_, [F.col(k).isNotNull() for k in bkeys + ["_tw_t"]])).select(*bkeys, "_tw_t", rstruct.alias("_tw_r"))
-    usable = reduce(and_, [F.col(k).isNotNull() for k in bkeys + ["_tw_t"]])
-    L_ok, L_skip = L.filter(usable), L.filter(~usable)
-
-    heavy_ties = False
-    if bucket_width is not None:
-        bucket = F.floor(F.col("_tw_t") / F.lit(float(bucket_width))).cast("long")
-        L_ok = L_ok.withColumn("_tw_b", bucket)
-        R = R.withColumn("_tw_b", bucket)
-    else:
-        L_ok, R, heavy_ties = _quantile_buckets(L_ok, R, rows_per_bucket, max_buckets)
-    collapse = heavy_ties if collapse_ties is None else collapse_ties
-    L_rows = L_ok
-    if collapse:
-        # Many rows share one time value: every left row with that (by, time)
-        # gets the same match, and of right rows with one (by, time) only the
-        # last can be matched.  The window then sees one row per (by, time) a
-        # side; left rows get their match back by an equi-join, which AQE can
-        # split on a hot key.
-        R = R.groupBy(*bkeys, "_tw_b", "_tw_t").agg(F.max("_tw_r").alias("_tw_r"))
-        L_ok = L_ok.select(*bkeys, "_tw_b", "_tw_t").distinct().withColumn("_tw_l", F.lit(None).cast(L_rows.schema["_tw_l"].dataType))
-    want_b = strategy in ("backward", "nearest")
-    want_f = strategy in ("forward", "nearest")
-    part = bkeys + ["_tw_b"]
-    ordering = F.struct("_tw_r._tw_rt", "_tw_r")
-    rb = R.groupBy(*part).agg(F.max_by("_tw_r", ordering).alias("_tw_last"), F.min_by("_tw_r", ordering).alias("_tw_first"))
-    lb = L_ok.select(*part).distinct().withColumn("_tw_last", F.lit(None).cast(rb.schema["_tw_last"].dataType)).withColumn(
-        "_tw_first", F.lit(None).cast(rb.schema["_tw_first"].dataType)
-    ).withColumn("_tw_isleft", F.lit(True))
-    buckets = rb.withColumn("_tw_isleft", F.lit(False)).unionByName(lb)
-    # a left bucket row sorts before the right summary of its own bucket for
-    # the backward carry and after it for the forward one, so each carry
-    # only sees strictly earlier / later buckets
-    wback = Window.partitionBy(*bkeys).orderBy("_tw_b", F.col("_tw_isleft").desc())
-    wfwd = Window.partitionBy(*bkeys).orderBy("_tw_b", F.col("_tw_isleft").asc())
-    carry = buckets.withColumn("_tw_cb", F.last("_tw_last", ignorenulls=True).over(wback.rowsBetween(Window.unboundedPreceding, -1)))
-    carry = carry.withColumn("_tw_cf", F.first("_tw_first", ignorenulls=True).over(wfwd.rowsBetween(1, Window.unboundedFollowing)))
-    carry = carry.filter("_tw_isleft")
-
-    rtype = R.schema["_tw_r"].dataType
-    ltype = L_ok.schema["_tw_l"].dataType
-    ktype = L_ok.schema["_tw_t"].dataType
-    null_r, null_l = F.lit(None).cast(rtype), F.lit(None).cast(ltype)
-    # side: 0 carried-in row from earlier buckets, 1 right row, 2 left row,
-    # 3 carried-in row from later buckets
-    # both carried rows of a bucket come out of one pass over the bucket
-    # table (one explode), so the summary is planned and shuffled once
-    # a carried-in row sorts before (after) every row of its bucket, by a
-    # leading order column, so keys keep their own exact type
-    carried = []
-    if want_b:
-        carried.append(F.struct(F.lit(0).alias("s"), F.col("_tw_cb").alias("r")))
-    if want_f:
-        carried.append(F.struct(F.lit(3).alias("s"), F.col("_tw_cf").alias("r")))
-    carry_rows = (
-        carry.select(*part, F.explode(F.array(*carried)).alias("_tw_c"))
-        .filter(F.col("_tw_c.r").isNotNull())
-        .select(*part, F.lit(None).cast(ktype).alias("_tw_t"), F.col("_tw_c.s").alias("_tw_s"), null_l.alias("_tw_l"), F.col("_tw_c.r").alias("_tw_r"))
-    )
-    rows = [
-        L_ok.select(*part, "_tw_t", F.lit(2).alias("_tw_s"), "_tw_l", null_r.alias("_tw_r")),
-        R.select(*part, "_tw_t", F.lit(1).alias("_tw_s"), null_l.alias("_tw_l"), "_tw_r"),
-        carry_rows,
-    ]
-    u = reduce(lambda a, b: a.unionByName(b), rows)
-    place = F.when(F.col("_tw_s") == 0, 0).when(F.col("_tw_s") == 3, 2).otherwise(1)
-    out = u
-    if want_b:
-        # right rows at an equal key sort before the left row: r.on <= l.on
-        wbk = Window.partitionBy(*part).orderBy(place, "_tw_t", "_tw_s", "_tw_r").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("_tw_mb", F.last("_tw_r", ignorenulls=True).over(wbk))
-    if want_f:
-        # for the forward pass left rows sort first at an equal key: r.on >= l.on
-        side_f = F.when(F.col("_tw_s") == 2, F.lit(0)).otherwise(F.col("_tw_s"))
-        wfk = Window.partitionBy(*part).orderBy(place, "_tw_t", side_f, F.col("_tw_r").desc()).rowsBetween(0, Window.unboundedFollowing)
-        out = out.withColumn("_tw_mf", F.first("_tw_r", ignorenulls=True).over(wfk))
-    out = out.filter(F.col("_tw_s") == 2)
-
-    gap_b = F.col("_tw_t") - F.col("_tw_mb._tw_rt")
-    gap_f = F.col("_tw_mf._tw_rt") - F.col("_tw_t")
-    if strategy == "backward":
-        pick = F.col("_tw_mb") if tol is None else F.when(gap_b <= F.lit(tol), F.col("_tw_mb"))
-    elif strategy == "forward":
-        pick = F.col("_tw_mf") if tol is None else F.when(gap_f <= F.lit(tol), F.col("_tw_mf"))
-    else:
-        choose_b = F.col("_tw_mf").isNull() | (F.col("_tw_mb").isNotNull() & (gap_b <= gap_f))
-        best = F.when(choose_b, F.col("_tw_mb")).otherwise(F.col("_tw_mf"))
-        best_gap = F.when(choose_b, gap_b).otherwise(gap_f)
-        pick = best if tol is None else F.when(best_gap <= F.lit(tol), best)
-    if collapse:
-        found = out.select(*bkeys, "_tw_b", "_tw_t", pick.alias("_tw_m"))
-        matched = L_rows.join(found, [*bkeys, "_tw_b", "_tw_t"], "inner").select("_tw_l", "_tw_m")
-    else:
-        matched = out.select("_tw_l", pick.alias("_tw_m"))
-    skipped = L_skip.select("_tw_l", null_r.alias("_tw_m"))
-    res = matched.unionByName(skipped)
-    return res.select(*[F.col("_tw_l").getField(c).alias(c) for c in lrow_cols], *[F.col("_tw_m").getField(n).alias(n) for n in names.values()])

@@ -139,7 +139,7 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
     if a == "action-rolling-join":
         return joins.asof_join(x, ins[1], c["on"], right_on=c.get("right_on"), by=c.get("by"), strategy=c.get("strategy", "backward"),
                                tolerance=c.get("tolerance"), suffix=c.get("suffix", "_right"), bucket_width=c.get("bucket_width"),
-                               rows_per_bucket=c.get("rows_per_bucket", 1_000_000), max_buckets=c.get("max_buckets"),
+                               rows_per_bucket=c.get("rows_per_bucket"), max_buckets=c.get("max_buckets"),
                                collapse_ties=c.get("collapse_ties"))
     if a == "action-anti-join":
         return joins.anti_join(x, ins[1], c["on"], flag=flag, broadcast_max_bytes=c.get("broadcast_max_bytes"))
