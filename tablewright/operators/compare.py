@@ -12,6 +12,12 @@ The join is one full outer join (``fulljoin``): two exchanges, one pass over
 each side, rows with null keys dealt over the tasks.  Heavy keys are looked
 for and split where the sides are large, or where ``split_full_join`` asks.
 
+``only_changes=True`` returns no rows of the last status.  Digests by range of
+keys find where the sides differ (``digests``), in jobs of their own, and only
+rows of those ranges are joined.  Keys are taken to be unique: rows repeated
+alike on both sides count as equal, duplicates are looked for in the ranges
+that differ.
+
 ``on_duplicate_keys="error"`` runs one aggregate job for each side while the
 plan is built.
 """
@@ -26,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import field_type, ident, idents, require_columns
+from .digests import differing
 from .fulljoin import full_outer
 
 
@@ -67,6 +74,7 @@ def _kernel(
     on_duplicate_keys: str = "allow",
     columns: str = "all",
     split_full_join: bool | None = None,
+    only_changes: bool = False,
 ) -> DataFrame:
     ks = idents(keys, what="keys")
     cmp = idents(compare_columns or [], allow_empty=True)
@@ -82,6 +90,8 @@ def _kernel(
         a, b = a.select(*ks, *cmp), b.select(*ks, *cmp)
     if on_duplicate_keys not in DUPLICATE_KEY_RULES:
         raise ValueError(f"on_duplicate_keys must be one of {DUPLICATE_KEY_RULES}")
+    if only_changes:
+        a, b = differing(a, b, [_spelled(a, k) for k in ks], [_spelled(a, c) for c in cmp])
     if on_duplicate_keys == "error":
         # duplicated keys multiply rows in the join; refuse them up front
         check_unique_keys(a, ks, "first input")
@@ -125,6 +135,8 @@ def _kernel(
         .when(any_diff, F.lit(changed))
         .otherwise(F.lit(same))
     )
+    if only_changes:
+        j = j.where(status != F.lit(same))
     return j.select(
         *[F.coalesce(F.col(k), F.col(bk[k])).alias(k) for k in ks],
         *[F.col(c) for c in a_cols],
@@ -142,23 +154,23 @@ SNAPSHOT_LABELS = ("REMOVED", "ADDED", "CHANGED", "UNCHANGED")
 
 def reconcile(
     src, tgt, keys, compare_columns=None, tolerance=None, *, status_column="recon_status", on_duplicate_keys="allow", columns="all",
-    split_full_join=None,
+    split_full_join=None, only_changes=False,
 ):
-    return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
+    return _kernel(src, tgt, keys, compare_columns, tolerance, "_tgt", RECON_LABELS, status_column, on_duplicate_keys, columns, split_full_join, only_changes)
 
 
 def delta(
     old, new, keys, compare_columns=None, tolerance=None, *, status_column="change_type", on_duplicate_keys="allow", columns="all",
-    split_full_join=None,
+    split_full_join=None, only_changes=False,
 ):
-    return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
+    return _kernel(old, new, keys, compare_columns, tolerance, "_new", DELTA_LABELS, status_column, on_duplicate_keys, columns, split_full_join, only_changes)
 
 
 def snapshot_diff(
     d1, d2, keys, compare_columns=None, tolerance=None, *, status_column="change_status", on_duplicate_keys="allow", columns="all",
-    split_full_join=None,
+    split_full_join=None, only_changes=False,
 ):
-    return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column, on_duplicate_keys, columns, split_full_join)
+    return _kernel(d1, d2, keys, compare_columns, tolerance, "_d2", SNAPSHOT_LABELS, status_column, on_duplicate_keys, columns, split_full_join, only_changes)
 
 
 RULE_OPS = ("eq", "neq", "gt", "gte", "lt", "lte")

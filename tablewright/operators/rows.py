@@ -121,6 +121,19 @@ def _cut(counts: dict[str, int], need: int) -> tuple[str, int, int]:
     raise ValueError("fewer rows than asked for")
 
 
+def _copies(equal: DataFrame, need: int) -> DataFrame:
+    """``need`` of rows that are all equal.  Every task that reads some of them
+    gets a quota of at most as many, from a staged table of one row for each
+    task; no task makes more copies than it has read."""
+    share = F.spark_partition_id()
+    shares = equal.select(share.alias("_tw_share"), F.struct(*[F.col(c) for c in equal.columns]).alias("_tw_row"))
+    shares = write_staging(shares.groupBy("_tw_share").agg(F.count("*").alias("_tw_n"), F.first("_tw_row").alias("_tw_row")))
+    upto = F.sum("_tw_n").over(Window.orderBy("_tw_share"))
+    quota = F.least(F.col("_tw_n"), F.lit(need) - (upto - F.col("_tw_n")))
+    quotas = shares.withColumn("_tw_quota", quota).where("_tw_quota > 0").repartition(max(1, shares.count()), "_tw_share")
+    return quotas.select("_tw_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tw_quota")))).select("_tw_row.*")
+
+
 def _hash_select(df: DataFrame, cols: Sequence[str], seed: int, share) -> DataFrame:
     """The ``share(total)`` rows with the smallest seeded hash of ``cols``.
 
@@ -129,7 +142,7 @@ def _hash_select(df: DataFrame, cols: Sequence[str], seed: int, share) -> DataFr
     next 16 bits within the bucket of the cut, and by whole hashes within that
     (the rows' 2^32nd part).  The returned plan is one scan with a filter.  Rows
     that share the last hash are told apart by a hash of the whole row; of rows
-    that are equal altogether one is repeated.
+    that are equal altogether each task that reads some makes its quota.
     """
     h = seeded_hash(df, cols, seed)
 
@@ -147,7 +160,7 @@ def _hash_select(df: DataFrame, cols: Sequence[str], seed: int, share) -> DataFr
         return df.filter(h <= last)
     ties = df.filter(h == last)
     if {c.lower() for c in cols} == {c.lower() for c in df.columns}:
-        some = ties.limit(1).select("*", F.explode(F.sequence(F.lit(1), F.lit(need))).alias("_tw_n")).drop("_tw_n")
+        some = _copies(ties, need)
     else:
         some = _hash_select(ties, list(df.columns), seed, lambda total: need)
     return df.filter(h < last).unionByName(some)

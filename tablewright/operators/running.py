@@ -13,6 +13,8 @@ on that is not null).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,7 +84,9 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[str], totals: T
     sums = write_staging(sums.select(*share, *[_of_others(kind, F.col(n), along).alias(f"_tw_other_{n}") for n, (kind, _) in totals.items()]))
     here = Window.partitionBy(*share).orderBy(*order)
     df = df.select("*", *[_local(kind, F.col(f"_tw_in_{name}"), here).alias(name) for name, (kind, _) in totals.items()])
-    df = df.join(maybe_broadcast(sums, SHARES_BYTES), share)
+    names = {c: f"_tw_key{i}" for i, c in enumerate(share)}
+    sums = sums.withColumnsRenamed(names)
+    df = df.join(maybe_broadcast(sums, SHARES_BYTES), reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]))
     for name, (kind, _) in totals.items():
         df = df.withColumn(name, _joined(kind, F.col(name), F.col(f"_tw_other_{name}")))
-    return df.drop("_tw_share", *[f"_tw_{x}_{name}" for x in ("in", "other") for name in totals])
+    return df.drop("_tw_share", *names.values(), *[f"_tw_{x}_{name}" for x in ("in", "other") for name in totals])

@@ -38,6 +38,13 @@ _ORDER_KEEPING = {
 }
 
 
+_GROUP_SIZE = {"large_groups", "chunk_rows"}
+
+
+def _given(config: dict, names: set[str]) -> dict:
+    return {k: config[k] for k in names & set(config)}
+
+
 @dataclass
 class Built:
     datasets: dict[str, DataFrame]
@@ -70,7 +77,7 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
     if a == "action-aggregate":
         return agg_ops.aggregate(
             x, c["group_by"], c["metrics"], order_by=c.get("order_by") or order,
-            approx_median=c.get("approx_median", False), null_sum_as_zero=c.get("null_sum_as_zero", False),
+            approx_median=c.get("approx_median", False), null_sum_as_zero=c.get("null_sum_as_zero", False), **_given(c, _GROUP_SIZE),
         )
     if a == "action-sample-limit":
         if c.get("limit") is not None:
@@ -123,11 +130,11 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
     if a == "action-union":
         return setops.union(ins, c["type"], align_schema=c.get("align_schema", False))
     if a == "action-reconciliation":
-        return compare.reconcile(x, ins[1], c["keys"], status_column=flag or "recon_status", **{k: c[k] for k in COMPARE_OPTIONS & set(c)})
+        return compare.reconcile(x, ins[1], c["keys"], status_column=flag or "recon_status", **_given(c, COMPARE_OPTIONS))
     if a == "action-delta-detection":
-        return compare.delta(x, ins[1], c["keys"], status_column=flag or "change_type", **{k: c[k] for k in COMPARE_OPTIONS & set(c)})
+        return compare.delta(x, ins[1], c["keys"], status_column=flag or "change_type", **_given(c, COMPARE_OPTIONS))
     if a == "action-snapshot-diff":
-        return compare.snapshot_diff(x, ins[1], c["keys"], status_column=flag or "change_status", **{k: c[k] for k in COMPARE_OPTIONS & set(c)})
+        return compare.snapshot_diff(x, ins[1], c["keys"], status_column=flag or "change_status", **_given(c, COMPARE_OPTIONS))
     if a == "action-exception-extract":
         return quality.exceptions(ins, c["condition"], c.get("output_mode", "exceptions_only"), flag=flag)
     if a == "action-cross-validate":
@@ -135,7 +142,7 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
                                       on_duplicate_keys=c.get("on_duplicate_keys", "allow"))
     if a == "action-aggregate-multi":
         return agg_ops.aggregate_multi(ins, c["union_type"], c["group_by"], c["metrics"], align_schema=c.get("align_schema", False),
-                                       order_by=c.get("order_by"))
+                                       order_by=c.get("order_by"), **_given(c, _GROUP_SIZE))
     if a == "action-rolling-join":
         return joins.asof_join(x, ins[1], c["on"], right_on=c.get("right_on"), by=c.get("by"), strategy=c.get("strategy", "backward"),
                                tolerance=c.get("tolerance"), suffix=c.get("suffix", "_right"), bucket_width=c.get("bucket_width"),

@@ -58,7 +58,7 @@ FLAG_ACTIONS = frozenset(
     }
 )
 
-COMPARE_OPTIONS = {"compare_columns", "tolerance", "on_duplicate_keys", "columns", "split_full_join"}
+COMPARE_OPTIONS = {"compare_columns", "tolerance", "on_duplicate_keys", "columns", "split_full_join", "only_changes"}
 
 # Per action: (required config keys, optional config keys, input count rule).
 # Input rule: an int = exactly that many, "2+" = two or more, "1+" = one or more.
@@ -66,7 +66,7 @@ CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
     "action-filter-dataset": ({"condition"}, set(), 1),
     "action-sort-dataset": ({"columns"}, {"order", "nulls_last"}, 1),
     "action-deduplicate": ({"subset"}, {"keep", "order_by"}, 1),
-    "action-aggregate": ({"group_by", "metrics"}, {"order_by", "approx_median", "null_sum_as_zero"}, 1),
+    "action-aggregate": ({"group_by", "metrics"}, {"order_by", "approx_median", "null_sum_as_zero", "large_groups", "chunk_rows"}, 1),
     "action-sample-limit": (set(), {"limit", "sample_fraction", "seed", "exact", "columns"}, 1),
     "action-flatten-json": ({"column"}, {"prefix", "drop_original", "schema"}, 1),
     "action-explode-array": ({"column"}, {"position"}, 1),
@@ -83,7 +83,7 @@ CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
     "action-delta-detection": ({"keys"}, COMPARE_OPTIONS, 2),
     "action-exception-extract": ({"condition"}, {"output_mode"}, "1+"),
     "action-cross-validate": ({"keys", "rules"}, {"on_duplicate_keys"}, 2),
-    "action-aggregate-multi": ({"union_type", "group_by", "metrics"}, {"order_by", "align_schema"}, "2+"),
+    "action-aggregate-multi": ({"union_type", "group_by", "metrics"}, {"order_by", "align_schema", "large_groups", "chunk_rows"}, "2+"),
     "action-rolling-join": (
         {"on"},
         {"right_on", "by", "strategy", "tolerance", "suffix", "bucket_width", "rows_per_bucket", "max_buckets", "collapse_ties"},

@@ -64,10 +64,6 @@ ORDERS_TEXT_SQL = """orders_text AS (
 )"""
 
 
-def big_orders(orders: DataFrame) -> DataFrame:
-    return orders.filter(F.col("o_totalprice") > 400_000)
-
-
 def customer_narrow(customer: DataFrame) -> DataFrame:
     return customer.select(
         F.col("c_custkey").alias("key"),

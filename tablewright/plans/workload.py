@@ -301,6 +301,67 @@ def q_agg_extended(spark, d):
     return out.withColumns({"qty_std": F.round("qty_std", 6), "qty_var": F.round("qty_var", 6)})
 
 
+@register(
+    "agg_large_groups",
+    """WITH n AS (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY ALL),
+          top AS (SELECT l_returnflag, l_quantity AS qty_mode FROM n
+                  QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_quantity) = 1)
+       SELECT l.l_returnflag, median(l_extendedprice) AS price_median, any_value(qty_mode) AS qty_mode, count(*) AS n_rows
+       FROM lineitem l JOIN top ON l.l_returnflag = top.l_returnflag GROUP BY l.l_returnflag""",
+)
+def q_agg_large_groups(spark, d):
+    """Exact median and mode without a buffer that holds a group."""
+    metrics = [
+        {"column": "l_extendedprice", "agg": "median", "alias": "price_median"},
+        {"column": "l_quantity", "agg": "mode", "alias": "qty_mode"},
+        {"column": "l_tax", "agg": "len", "alias": "n_rows"},
+    ]
+    return agg_ops.aggregate(T(spark, d, "lineitem"), ["l_returnflag"], metrics, large_groups=True)
+
+
+@register(
+    "agg_median_global",
+    "SELECT median(l_extendedprice) AS price_median, median(l_quantity) AS qty_median FROM lineitem",
+)
+def q_agg_median_global(spark, d):
+    """All rows are one group."""
+    metrics = [{"column": "l_extendedprice", "agg": "median", "alias": "price_median"}, {"column": "l_quantity", "agg": "median", "alias": "qty_median"}]
+    return agg_ops.aggregate(T(spark, d, "lineitem"), [], metrics, large_groups=True)
+
+
+@register(
+    "agg_implode",
+    """WITH n AS (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS i FROM orders)
+       SELECT o_orderstatus, i // 500 AS keys_chunk, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY i) AS keys, count(*) AS n
+       FROM n GROUP BY ALL""",
+)
+def q_agg_implode(spark, d):
+    """A group's values in numbered lists of at most 500."""
+    metric = [{"column": "o_orderkey", "agg": "implode", "alias": "keys"}]
+    out = agg_ops.aggregate(T(spark, d, "orders"), ["o_orderstatus"], metric, order_by=["o_orderkey"], chunk_rows=500)
+    return out.withColumns({"keys": F.array_join("keys", ","), "n": F.size("keys").cast("long")})
+
+
+@register(
+    "agg_sketch",
+    """SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts, true AS merged_within_5_percent, true AS approx_within_5_percent
+       FROM lineitem GROUP BY l_returnflag""",
+)
+def q_agg_sketch(spark, d):
+    """Distinct counts from sketches of two loads merged later, and from one
+    pass, against the exact ones: within three standard errors (1.04 / 64 each)."""
+    li = T(spark, d, "lineitem")
+    loads = [li.where(F.col("l_orderkey") % 2 == i) for i in (0, 1)]
+    stored = [agg_ops.aggregate(x, ["l_returnflag"], [{"column": "l_partkey", "agg": "sketch", "alias": "parts"}]) for x in loads]
+    merged = agg_ops.merge_sketches(stored[0].unionByName(stored[1]), ["l_returnflag"], "parts", estimate="merged").drop("parts")
+    metrics = [
+        {"column": "l_partkey", "agg": "n_unique", "alias": "n_parts"}, {"column": "l_partkey", "agg": "approx_n_unique", "alias": "approx"},
+    ]
+    both = agg_ops.aggregate(li, ["l_returnflag"], metrics).join(merged, "l_returnflag")
+    near = lambda c: F.abs(F.col(c) / F.col("n_parts") - 1) <= 0.05
+    return both.select("l_returnflag", "n_parts", near("merged").alias("merged_within_5_percent"), near("approx").alias("approx_within_5_percent"))
+
+
 @register(
     "agg_moments",
     """WITH s AS (SELECT l_returnflag, avg(l_quantity) AS mu, count(*) AS n FROM lineitem GROUP BY l_returnflag)
@@ -631,6 +692,30 @@ def q_map_target(spark, d):
     return mapping.map_target(T(spark, d, "customer"), _MAPPINGS)
 
 
+@register(
+    "map_trim_cast",
+    with_cte(V.ORDERS_TEXT_SQL)
+    + r"""SELECT o_orderkey AS order_id, regexp_replace(E' \t' || key_text || E'  \n', '^\s+|\s+$', '', 'g') AS trimmed,
+              CAST(o_orderkey AS VARCHAR) AS as_string, CAST(key_text AS BIGINT) AS as_integer, CAST(key_text AS DOUBLE) AS as_float,
+              o_orderkey % 2 <> 0 AS as_boolean, CAST(ts AS DATE) AS as_date, CAST(ts AS TIMESTAMP) AS as_datetime
+       FROM (SELECT *, strftime(strptime(ts_text, '%d/%m/%Y %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS ts FROM orders_text)""",
+)
+def q_map_trim_cast(spark, d):
+    """Trim of text with outer white space, and casts to all six types."""
+    text = V.orders_text(T(spark, d, "orders"))
+    text = text.select(
+        "o_orderkey", "key_text", F.concat(F.lit(" \t"), "key_text", F.lit("  \n")).alias("padded"), (F.col("o_orderkey") % 2).alias("odd"),
+        F.date_format(F.to_timestamp("ts_text", "dd/MM/yyyy HH:mm:ss"), "yyyy-MM-dd HH:mm:ss").alias("ts"),
+    )
+    cast = lambda target, column, kind: {"target_column": target, "operation": {"type": "cast", "columns": [column], "data_type": kind}}
+    return mapping.map_target(text, [
+        {"target_column": "order_id", "source_column": "o_orderkey"},
+        {"target_column": "trimmed", "operation": {"type": "trim", "columns": ["padded"]}},
+        cast("as_string", "o_orderkey", "string"), cast("as_integer", "key_text", "integer"), cast("as_float", "key_text", "float"),
+        cast("as_boolean", "odd", "boolean"), cast("as_date", "ts", "date"), cast("as_datetime", "ts", "datetime"),
+    ])
+
+
 @register(
     "map_coalesce",
     with_cte(V.ORDERS_TGT_SQL) + "SELECT o_orderkey AS order_id, coalesce(o_orderstatus, o_orderpriority) AS status_or_priority FROM orders_tgt",
@@ -745,6 +830,15 @@ def q_reconcile(spark, d):
     return compare.reconcile(s, t, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 
+@register(
+    "reconcile_changes",
+    f"SELECT * FROM ({_cmp_sql('_tgt', compare.RECON_LABELS, 'recon_status', None)}) x WHERE recon_status <> 'MATCHED'",
+)
+def q_reconcile_changes(spark, d):
+    s, t = _cmp_inputs(spark, d)
+    return compare.reconcile(s, t, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], only_changes=True)
+
+
 @register("reconcile_tolerance", _cmp_sql("_tgt", compare.RECON_LABELS, "recon_status", 0.5))
 def q_reconcile_tol(spark, d):
     s, t = _cmp_inputs(spark, d)
@@ -786,6 +880,30 @@ def q_cross_validate(spark, d):
     return compare.cross_validate(s, t, ["o_orderkey"], rules)
 
 
+@register(
+    "cross_validate_ops",
+    with_cte(V.ORDERS_TGT_SQL)
+    + f"""SELECT s.*, {", ".join(f"t.{c} AS {c}_right" for c in _ORD_COLS)},
+       CASE WHEN coalesce(abs(s.o_totalprice - t.o_totalprice) > 0.5 AND s.o_totalprice < t.o_totalprice
+                 AND s.o_custkey <= t.o_custkey AND s.o_orderkey > t.o_custkey AND s.o_orderkey >= s.o_custkey
+                 AND s.o_orderstatus = t.o_orderstatus, false)
+            THEN 'PASS' ELSE 'FAIL' END AS validation_status
+       FROM orders s JOIN orders_tgt t ON s.o_orderkey = t.o_orderkey""",
+)
+def q_cross_validate_ops(spark, d):
+    """Rules of all six kinds, one with a tolerance."""
+    s, t = _cmp_inputs(spark, d)
+    rules = [
+        {"left_column": "o_totalprice", "right_column": "o_totalprice_right", "op": "neq", "tolerance": 0.5},
+        {"left_column": "o_totalprice", "right_column": "o_totalprice_right", "op": "lt"},
+        {"left_column": "o_custkey", "right_column": "o_custkey_right", "op": "lte"},
+        {"left_column": "o_orderkey", "right_column": "o_custkey_right", "op": "gt"},
+        {"left_column": "o_orderkey", "right_column": "o_custkey", "op": "gte"},
+        {"left_column": "o_orderstatus", "right_column": "o_orderstatus_right", "op": "eq"},
+    ]
+    return compare.cross_validate(s, t, ["o_orderkey"], rules)
+
+
 # ------------------------------------------------------------------ reshape
 
 
