@@ -5,8 +5,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from table_data import CRATE_DDL, CRATES  # noqa: E402
 from tablewright.session import local_session  # noqa: E402
 
+
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("*", 8)
@@ -14,7 +16,5 @@ def spark():
 
 
 @pytest.fixture
-def users(spark):
-    return spark.createDataFrame(
-        [(1, "ACTIVE", 1500), (2, "INACTIVE", 200), (3, "ACTIVE", 999)], "id bigint, status string, balance bigint"
-    )
+def crates(spark):
+    return spark.createDataFrame(CRATES, CRATE_DDL)

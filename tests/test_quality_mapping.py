@@ -5,22 +5,16 @@ import pytest
 from tablewright.operators import mapping, quality
 
 
-def test_schema_validate_raises(users):  # F7
-    with pytest.raises(ValueError, match="nonexistent"):
-        quality.schema_validate(users, {"nonexistent": "string"})
-    assert quality.schema_validate(users, {"nonexistent": "string"}, fail_on_error=False).count() == 3
-
-
-def test_schema_validate_flag(users):  # F8
-    out = quality.schema_validate(users, {"id": "integer", "nonexistent": "string"}, flag="schema_check")
-    assert {r.schema_check for r in out.collect()} == {"MISSING:nonexistent"}
-    ok = quality.schema_validate(users, {"id": "integer"}, flag="schema_check")
-    assert ok.first().schema_check == "OK"
-
-
-def test_schema_validate_types(users):
-    out = quality.schema_validate(users, {"id": "string"}, flag="c", check_types=True)
-    assert out.first().c == "TYPE:id:bigint!=string"
+def test_schema_check_refuses_and_flags(crates):
+    """A lacking column ends the step or, as a flag, is named in every row."""
+    wanted = {"code": "integer", "berth": "string", "tonnes": "float"}
+    with pytest.raises(ValueError, match="berth.*tonnes"):
+        quality.schema_validate(crates, wanted)
+    assert quality.schema_validate(crates, wanted, fail_on_error=False).count() == crates.count()
+    assert {r.check for r in quality.schema_validate(crates, wanted, flag="check").collect()} == {"MISSING:berth,tonnes"}
+    assert {r.check for r in quality.schema_validate(crates, {"code": "integer"}, flag="check").collect()} == {"OK"}
+    wrong = quality.schema_validate(crates, {"kilos": "string", "state": "string"}, flag="check", check_types=True)
+    assert {r.check for r in wrong.collect()} == {"TYPE:kilos:double!=string"}
 
 
 def test_exceptions(spark):  # F16, F17
