@@ -9,7 +9,8 @@ sent only to groups with a cell whose upper bound reaches it.  There the local
 top k is found with exact integer arithmetic, and the local lists are merged.
 
 Groups are dealt in chunks of ``CHUNK`` vectors, queries in slices of
-``SLICE``, so a vector that a third of the rows share is no hot group.  Only
+``SLICE``, cell by cell, so a vector that a third of the rows share is no hot
+group; a chunk is sent to the slices that have a query for it, and to no other.  Only
 the pivots and the cell summaries (at most pivots x rings rows for each
 dimension) reach the driver.
 
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stage
+from tablewright.llm.common import small, stage
 
 K = 5
 PIVOTS_MOST = 256
@@ -123,11 +124,25 @@ def _route(pivots: Pivots, cells: dict[int, np.ndarray], k: int):
                 sure = np.where(enough.any(1), np.take_along_axis(low, order, 1)[np.arange(len(q)), first], -np.inf)
                 visits = high >= sure[:, None]
                 groups = [np.unique(cell[v, 0]).astype(int).tolist() for v in visits]
-                yield pd.DataFrame({"row": part["row"], "vec_id": part["vec_id"], "dim": dim, "v": part["v"], "groups": groups})
+                yield pd.DataFrame({"row": part["row"], "vec_id": part["vec_id"], "dim": dim, "own": part["g"], "v": part["v"], "groups": groups})
 
     return run
 
 
+def _sliced(routed: DataFrame) -> DataFrame:
+    """Queries with a slice of about ``SLICE``: along the cells that they are
+    in themselves, so that a slice's queries ask for few groups."""
+    cells = routed.groupBy("dim", "own").agg(F.count("*").alias("n")).orderBy("dim", "own").collect()  # at most the pivots of each dimension
+    starts, at = [], 0
+    for c in cells:
+        starts.append((c.dim, c.own, at, c.n))
+        at += c.n
+    place = routed.sparkSession.createDataFrame(starts, "dim int, own long, at long, n long")
+    routed = routed.join(F.broadcast(place), ["dim", "own"])
+    slice_ = F.floor((F.col("at") + F.pmod(F.xxhash64("row"), F.col("n"))) / F.lit(SLICE)).cast("int")
+    return routed.withColumn("slice", slice_).drop("own", "at", "n")
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K
 ) -> DataFrame:
@@ -154,14 +169,13 @@ def top_k(
         [(d, g, -(-count // CHUNK)) for (d, g), count in sizes.items()], "dim int, g long, chunks int"
     )
     queries = data.where(is_query)
-    slices = max(1, -(-queries.count() // SLICE))
-    routed = queries.mapInPandas(_route(pivots, by_dim, k), "row long, vec_id long, dim int, v binary, groups array<long>")
+    routed = queries.mapInPandas(_route(pivots, by_dim, k), "row long, vec_id long, dim int, own long, v binary, groups array<long>")
+    routed = _sliced(stage(routed, "routed"))
     routed = routed.withColumn("g", F.explode("groups")).drop("groups").join(F.broadcast(chunks), ["dim", "g"])
     routed = routed.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-    routed = routed.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
     held = data.join(F.broadcast(chunks), ["dim", "g"])  # one row for each group, as collected above
     held = held.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
-    held = held.withColumn("slice", F.explode(F.expr(f"sequence(0, {slices - 1})")))
+    held = held.join(small(stage(routed.select("dim", "g", "chunk", "slice").distinct(), "wanted")), ["dim", "g", "chunk"])
 
     def solve(key: tuple, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []

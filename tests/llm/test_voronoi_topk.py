@@ -46,5 +46,35 @@ def test_far_groups_are_not_visited():
 
     pivots = voronoi_topk.Pivots([[100, 0], [-100, 0]])
     cells = {2: np.array([[0, 10, 5.0], [1, 10, 5.0]])}
-    q = pd.DataFrame({"row": [1], "vec_id": [1], "dim": [2], "v": [np.array([-90, 3], "<i8").tobytes()]})
+    q = pd.DataFrame({"row": [1], "vec_id": [1], "dim": [2], "g": [0], "v": [np.array([-90, 3], "<i8").tobytes()]})
     assert next(voronoi_topk._route(pivots, cells, 5)([q]))["groups"].tolist() == [[0]]
+
+
+def test_a_chunk_goes_to_the_slices_that_ask_for_it(spark, monkeypatch):
+    """Copies of the data sent follow the queries' groups, not the number of slices."""
+    rng = random.Random(8)
+    good = [(i, [(-1) ** (i // 150) * 20 + rng.uniform(-1, 1), rng.uniform(-1, 1)]) for i in range(300)]  # two far clusters
+    df = spark.createDataFrame(good, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(voronoi_topk, "SLICE", 10)
+    monkeypatch.setattr(voronoi_topk, "CHUNK", 50)
+    sent = []
+    real = voronoi_topk.small
+
+    def seen(wanted):
+        sent.append([tuple(r) for r in wanted.select("dim", "g", "chunk", "slice").collect()])
+        return real(wanted)
+
+    monkeypatch.setattr(voronoi_topk, "small", seen)
+    got = sorted(tuple(r) for r in voronoi_topk.top_k(df, F.col("vec_id") % 2 == 0).collect())
+    assert got == slow(good, lambda i: i % 2 == 0, 5)
+    (wanted,) = sent
+    slices = 1 + max(s for *_, s in wanted)
+    chunks = {c for *c, _ in map(tuple, wanted) for c in [tuple(c)]}
+    assert slices >= 15 and len(wanted) == len(set(wanted)) < 0.7 * slices * len(chunks)
+
+
+def test_columns_named_like_its_own(spark):
+    rows = [(i, [float(i), 1.0], 5, 6, 7, 8) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int, g int, dim int, slice int")
+    got = sorted(tuple(r) for r in voronoi_topk.top_k(df, F.col("vec_id") % 9 == 0).collect())
+    assert got == slow([(i, v) for i, v, *_ in rows], lambda i: i % 9 == 0, 5)
