@@ -140,9 +140,19 @@ def _part_column(text: Column, chosen: Column, length: int, size: int) -> Column
 
 
 def _not_unique(rows: DataFrame, ranks: list[str]) -> DataFrame:
-    """One round: drop rows whose rank is unique."""
-    shared = rows.groupBy(*ranks).agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(shared, ranks, "left_semi")
+    """One round: drop rows whose rank is unique.  Rows of a rank with more
+    than an even task's share are dealt out by the task that reads them, and
+    their rank is looked up once for each part."""
+    shared = rows.groupBy(*ranks).agg(F.count("*").alias("c")).where("c > 1")
+    shared = stage(shared, "shared-ranks")
+    total = shared.agg(F.sum("c")).first()[0] or 0
+    share = max(1, total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = F.ceil(F.col("c") / F.lit(share)).cast("int")
+    heavy = shared.where(F.col("c") > share).select(*ranks, parts.alias("parts"))
+    dealt = rows.join(F.broadcast(heavy), ranks, "left")  # at most one row a shuffle partition
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.spark_partition_id(), F.col("parts")), F.lit(0))).drop("parts")
+    shared = shared.select(*ranks, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(shared, [*ranks, "part"], "left_semi").select(rows.columns)
 
 
 def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
