@@ -4,7 +4,8 @@ A gear hash over the last 32 bytes cuts a text wherever its top bits are zero,
 so cut points move with the content and an insertion changes the chunks near
 it only.  Chunks of ``MIN_BYTES`` to ``MAX_BYTES`` are compared by a 128-bit
 digest; of every digest the first chunk (least id, then place) stays and the
-others are removed, if they hold at least ``MIN_BYTES``.
+others are removed, if they hold at least ``MIN_BYTES`` and stand in a run of
+such chunks of at least ``MIN_RUN`` bytes, or make up the whole text.
 
 A digest's chunks meet in one shuffle and are ranked by a streamed window, so
 no group is held in memory.  Digests with more rows than an even share of a
@@ -12,9 +13,9 @@ task are found in a sample first, which decides their way only: their first
 places come from partial aggregates and are broadcast back to their chunks.
 Texts are not shuffled.
 
-Defined cases: a null or empty text has no chunks; rows with equal id and text
-are one document with equal results, each; null ids come last in the order;
-other columns are ignored; an empty table gives no rows.
+Defined cases: a null or empty text has no chunks; repeated rows, and rows that
+share an id, are documents of their own, of which one stays; null ids come last
+in the order; other columns are ignored; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -28,6 +29,7 @@ from tablewright.llm.common import stage
 MIN_BYTES = 24
 MEAN_BITS = 6
 MAX_BYTES = 512
+MIN_RUN = 100
 # hot digests are sought in one chunk of HOT_SAMPLE, where they occur HOT_LEAST times or more
 HOT_SAMPLE = 64
 HOT_LEAST = 16
@@ -86,10 +88,10 @@ def chunk_column(text: Column) -> Column:
 
 
 def chunk_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, t`` (hash of the text), ``starts, high`` and ``low`` of every
-    row."""
+    """``doc_id, t`` (hash of the text), ``row`` (its number, fixed once the
+    table is staged), ``starts, high`` and ``low`` of every row."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), chunk_column(F.col(text_col)).alias("c"))
-    return docs.select("doc_id", "t", "c.starts", "c.high", "c.low")
+    return docs.select("doc_id", "t", F.monotonically_increasing_id().alias("row"), "c.starts", "c.high", "c.low")
 
 
 def hot_digests(one: DataFrame) -> DataFrame:
@@ -102,24 +104,24 @@ def hot_digests(one: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks that are not the first of their digest: ``doc_id, t, i`` (number
-    of the chunk).  A repeated row's chunks are the same place, not another
-    one."""
+    """Chunks that are not the first of their digest: ``row, i`` (number of
+    the chunk)."""
     one = chunks.select(
-        "doc_id", "t", F.explode(F.expr("transform(high, (h, i) -> struct(i, h AS high, low[i] AS low, starts[i + 1] - starts[i] AS n))")).alias("c")
-    ).select("doc_id", "t", "c.*").where(F.col("n") >= MIN_BYTES).drop("n")
+        "doc_id", "row", F.explode(F.expr("transform(high, (h, i) -> struct(i, h AS high, low[i] AS low, starts[i + 1] - starts[i] AS n))")).alias("c")
+    ).select("doc_id", "row", "c.*").where(F.col("n") >= MIN_BYTES).drop("n")
     hot = F.broadcast(hot_digests(one))  # at most one row a shuffle partition
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "i")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "i")
     hot_rows = one.join(hot, "high", "left_semi")
     first = hot_rows.groupBy("high", "low").agg(F.min(place).alias("first"))
     hot_gone = hot_rows.join(F.broadcast(first), ["high", "low"]).where(place != F.col("first"))
-    order = Window.partitionBy("high", "low").orderBy(F.asc_nulls_last("doc_id"), "t", "i")
-    gone = one.join(hot, "high", "left_anti").withColumn("rank", F.dense_rank().over(order)).where("rank > 1")
-    return gone.select("doc_id", "t", "i").union(hot_gone.select("doc_id", "t", "i"))
+    order = Window.partitionBy("high", "low").orderBy(F.asc_nulls_last("doc_id"), "row", "i")
+    gone = one.join(hot, "high", "left_anti").withColumn("rank", F.row_number().over(order)).where("rank > 1")
+    return gone.select("row", "i").union(hot_gone.select("row", "i"))
 
 
 def joined_spans(starts: Column, gone: Column) -> Column:
-    """Byte ranges of the chunks ``gone``, joined where they touch."""
+    """Byte ranges of the chunks ``gone``, joined where they touch; ranges
+    under ``MIN_RUN`` bytes stay, unless they are the whole text."""
 
     @F.pandas_udf("array<struct<s:int,e:int>>")
     def spans(starts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -132,7 +134,8 @@ def joined_spans(starts: Column, gone: Column) -> Column:
             new = np.flatnonzero(np.diff(n) > 1)
             first, last = n[np.r_[0, new + 1]], n[np.r_[new, len(n) - 1]]
             at = np.asarray(at)
-            out.append([{"s": s, "e": e} for s, e in zip(at[first].tolist(), at[last + 1].tolist())])
+            ranges = zip(at[first].tolist(), at[last + 1].tolist())
+            out.append([{"s": s, "e": e} for s, e in ranges if e - s >= MIN_RUN or (s, e) == (0, at[-1])])
         return pd.Series(out, dtype=object)
 
     return spans(starts, gone)
@@ -142,11 +145,10 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id, t, n_bytes, n_chunks, n_removed`` and ``spans`` (sorted
     byte ranges to remove) for every row."""
     chunks = stage(chunk_table(documents, id_col, text_col), "chunks")
-    # a set of chunk numbers is no larger than its document's chunk arrays
-    gone = repeated_chunks(chunks).groupBy("doc_id", "t").agg(F.collect_set("i").alias("gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "d", "t": "u"})
-    rows = chunks.select("doc_id", "t", "starts", F.size("high").cast("long").alias("n_chunks"))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left")
+    # a row's chunk numbers are no more than its own chunk arrays hold
+    gone = repeated_chunks(chunks).groupBy("row").agg(F.collect_list("i").alias("gone"))
+    rows = chunks.select("row", "doc_id", "t", "starts", F.size("high").cast("long").alias("n_chunks"))
+    rows = rows.join(gone, "row", "left")
     rows = rows.withColumn("spans", joined_spans(F.col("starts"), F.col("gone")))
     return rows.select(
         "doc_id", "t", F.coalesce(F.try_element_at("starts", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"), "n_chunks",

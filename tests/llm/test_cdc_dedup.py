@@ -4,7 +4,7 @@ import xxhash
 
 from llm_data import SF_MID
 from tablewright.llm import cdc_dedup, queries
-from tablewright.llm.cdc_dedup import GEAR, MAX_BYTES, MEAN_BITS, MIN_BYTES
+from tablewright.llm.cdc_dedup import GEAR, MAX_BYTES, MEAN_BITS, MIN_BYTES, MIN_RUN
 
 
 def slow_cuts(data):
@@ -20,10 +20,11 @@ def slow_cuts(data):
 
 
 def slow(rows):
-    order = sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda r: (r[0], r[1], xxhash.xxh64_intdigest(r[2].encode(), 42) ^ (1 << 63)))
+    """Spans of each row, by its number."""
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, r))
     seen, out = set(), {}
-    for none, i, t in order:
-        data, at, gone = t.encode(), 0, []
+    for r in order:
+        data, at, gone = (rows[r][1] or "").encode(), 0, []
         for end in slow_cuts(data):
             digest = xxhash.xxh3_128_digest(data[at:end])
             if end - at >= MIN_BYTES:
@@ -31,10 +32,14 @@ def slow(rows):
                     gone[-1:] = [(gone[-1][0], end)] if gone and gone[-1][1] == at else [*gone[-1:], (at, end)]
                 seen.add(digest)
             at = end
-        out[None if none else i, t] = gone
+        out[r] = [(a, b) for a, b in gone if b - a >= MIN_RUN or (a, b) == (0, len(data))]
     return out
 
 
+def by_id(texts):
+    return {texts[r][0]: ",".join(f"{a}:{b}" for a, b in spans) for r, spans in slow(texts).items()}
+
+
 def test_gear_cuts_match_the_rolling_form():
     rng = random.Random(1)
     for n in (0, 1, 10, 31, 33, 700, 5000):
@@ -44,7 +49,7 @@ def test_gear_cuts_match_the_rolling_form():
 
 
 def test_query_matches_brute_force(spark, texts):
-    want = {d: ",".join(f"{a}:{b}" for a, b in spans) for (d, _), spans in slow(texts).items()}
+    want = by_id(texts)
     rows = queries.op7_cdc_dedup(spark, SF_MID).collect()
     assert {r.doc_id: r.spans for r in rows} == want
     assert any(r.n_removed for r in rows) and all(r.n_removed <= r.n_bytes for r in rows)
@@ -60,18 +65,20 @@ def test_insertions_move_cuts_locally():
 def test_odd_rows(spark, odd):
     extra = odd.union(odd.where("doc_id = 4")).selectExpr("*", "1 AS d", "2 AS s")
     got = cdc_dedup.dedup(extra).collect()
-    want = slow([(r.doc_id, r.text) for r in extra.collect()])
-    assert len(got) == extra.count()
-    for r in got:
-        mine = [x for (i, t), x in want.items() if i == r.doc_id and len((t or "").encode()) == r.n_bytes]
-        assert [(s.s, s.e) for s in r.spans] in mine
+    rows = [(r.doc_id, r.text) for r in extra.collect()]
+    want = slow(rows)
+    expected = [(i, len((t or "").encode()), want[r]) for r, (i, t) in enumerate(rows)]
+    assert sorted(map(str, expected)) == sorted(str((r.doc_id, r.n_bytes, [(s.s, s.e) for s in r.spans])) for r in got)
+    # of rows repeated under one id, or without an id, one copy stays
+    again = spark.createDataFrame([(i, "the very same text, twice and more, under one id or under none at all") for i in (7, 7, 7, None, None)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in cdc_dedup.dedup(again).collect())[:2] == [0, 69]
     assert cdc_dedup.dedup(odd.limit(0)).count() == 0
     both = cdc_dedup.dedup(odd).where("doc_id = 5").first()
     assert both.n_removed > 0.9 * both.n_bytes
 
 
 def test_hot_digests_give_the_same_result(spark, texts, monkeypatch):
-    want = {d: ",".join(f"{a}:{b}" for a, b in spans) for (d, _), spans in slow(texts).items()}
+    want = by_id(texts)
     monkeypatch.setattr(cdc_dedup, "hot_digests", lambda one: one.where("high > 0").select("high").distinct())
     assert {r.doc_id: r.spans for r in queries.op7_cdc_dedup(spark, SF_MID).collect()} == want
 
