@@ -194,10 +194,13 @@ def fit_sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series([line_features(t)[0].ravel() for t in texts], dtype=object)
 
-    lines = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^\n]", ""))
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(lines < FIT_LINES)
-    docs = docs.join(F.broadcast(chosen), "doc_id")  # at most FIT_DOCS rows
-    got = docs.select("doc_id", "quality", features(F.col("text")).alias("x")).dropDuplicates(["doc_id"])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.join(F.broadcast(chosen), "doc_id").where(lines < FIT_LINES)  # at most FIT_DOCS rows
+    # of texts with one id the least by hash, so every fit takes the same
+    docs = docs.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = docs.select("doc_id", "quality", features(F.col("text")).alias("x"))
     rows = sorted(got.toPandas().itertuples(index=False), key=lambda r: r.doc_id)
     return fit([np.asarray(r.x).reshape(-1, len(FEATURES)) for r in rows], [int(r.quality) for r in rows])
 
