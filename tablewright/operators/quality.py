@@ -6,16 +6,18 @@ the driver: metadata only, no data is read.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import field_type, ident
 from ..functions.predicates import condition
 from ..functions.types import spark_type
+from ..sources.sinks import new_scratch_path, observed_rows
 
 
 def missing_columns(df: DataFrame, expected: Mapping[str, str] | Sequence[str]) -> list[str]:
@@ -126,6 +128,23 @@ def quarantine(
     return valid, rejected
 
 
+def quarantine_once(df: DataFrame, error_column: str) -> tuple[DataFrame, DataFrame, dict[str, int | None]]:
+    """``(valid, rejected, counts)`` from one run of ``df``'s plan: rows are
+    tagged, written once in a folder for each tag of the shared scratch folder,
+    and both sides read their own; the counts come from that write."""
+    spark, path = df.sparkSession, new_scratch_path(df.sparkSession, "quarantine")
+    tag = "_tw_rejected"
+    obs = Observation(f"tw_quarantine_{uuid.uuid4().hex[:8]}")
+    tagged = df.withColumn(tag, error_predicate(df, error_column))
+    counted = tagged.observe(obs, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col(tag).cast("long")), F.lit(0)).alias("rejected"))
+    counted.write.partitionBy(tag).parquet(path)
+    rows = observed_rows(obs)
+    counts = {"rejected": None, "valid": None} if rows is None else {"rejected": int(obs.get["rejected"]), "valid": rows - int(obs.get["rejected"])}
+    # the schema is given, so a side without rows reads as empty
+    staged = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(tag, T.BooleanType())])).parquet(path)
+    return staged.where(~F.col(tag)).drop(tag), staged.where(F.col(tag)).drop(tag), counts
+
+
 DRIFT_MODES = ("add_missing_columns", "drop_extra_columns", "fail")
 
 

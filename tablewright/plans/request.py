@@ -78,6 +78,10 @@ def _qualified(schema: str | None, table: str) -> str:
     return f"{schema}.{table}" if schema else table
 
 
+# How a database source is split into tasks; bounds may be left to the database.
+_SPLIT = ("partition_column", "num_partitions", "lower_bound", "upper_bound")
+
+
 def _source(s: dict) -> dict:
     if "dataset" not in s:
         return s
@@ -87,7 +91,7 @@ def _source(s: dict) -> dict:
     if s.get("type") is not None and s["type"] not in SOURCE_TYPES:
         raise ValueError(f"source type must be one of {SOURCE_TYPES}")
     ds = s["dataset"]
-    extra = set(ds) - {"schema", "table", "columns", "filters", "batch_size"}
+    extra = set(ds) - {"schema", "table", "columns", "filters", "batch_size", *_SPLIT}
     if extra:
         raise ValueError(f"source {s.get('name')!r} dataset: unknown fields {sorted(extra)}")
     table = _qualified(ds.get("schema"), ds["table"])
@@ -97,6 +101,7 @@ def _source(s: dict) -> dict:
         jdbc = {**conn["jdbc"], "table": table}
         if ds.get("batch_size"):
             jdbc["fetch_size"] = int(ds["batch_size"])
+        jdbc |= {k: ds[k] for k in _SPLIT if ds.get(k) is not None}
         out["jdbc"] = jdbc
     elif "path" in conn:
         out["path"], out["format"] = conn["path"], conn["format"]

@@ -2,8 +2,9 @@
 
 ``build`` turns the spec into named lazy DataFrames (Spark plans the whole
 DAG at the write).  Two steps have deliberate side effects: write-staging
-(writes, then continues from the written copy) and error-quarantine (its
-rejected rows are written by ``run`` before the target).
+(writes, then continues from the written copy) and error-quarantine (tags and
+stages its rows in one run of the plan, ``single_pass: false`` leaves that out;
+its rejected rows are written by ``run`` before the target).
 
 Row order: first/last de-duplication and metrics need an ordering.  The
 last sort step's columns are carried through row-local steps and dropped at
@@ -113,7 +114,10 @@ def _apply(step: Step, ins: list[DataFrame], order: list[str] | None, built: Bui
             spark.sql(f"CREATE DATABASE IF NOT EXISTS `{c['schema']}`")
         return write_staging(x, mode=c.get("mode", "overwrite"), table=f"{c['schema']}.{ident(c['table'])}")
     if a == "action-error-quarantine":
-        valid, rejected = quality.quarantine(x, c["error_column"], c.get("include_valid_output", True))
+        if c.get("include_valid_output", True) and c.get("single_pass", True):
+            valid, rejected, _ = quality.quarantine_once(x, c["error_column"])  # both sides are written: run the plan once
+        else:
+            valid, rejected = quality.quarantine(x, c["error_column"], c.get("include_valid_output", True))
         if c.get("path"):
             target = {"path": c["path"]}
         else:

@@ -75,7 +75,7 @@ CONFIG_KEYS: dict[str, tuple[set[str], set[str], object]] = {
     "action-schema-validate": ({"schema"}, {"fail_on_error", "error_column", "check_types"}, 1),
     "action-row-hash": ({"columns", "target_column"}, {"algo"}, 1),
     "action-write-staging": ({"table"}, {"schema", "mode", "path"}, 1),
-    "action-error-quarantine": ({"error_column", "table"}, {"schema", "include_valid_output", "path"}, 1),
+    "action-error-quarantine": ({"error_column", "table"}, {"schema", "include_valid_output", "path", "single_pass"}, 1),
     "action-handle-drift": ({"mode", "expected_schema"}, {"default_value"}, 1),
     "action-merge-join": ({"type", "on"}, {"suffix", "broadcast_max_bytes", "null_safe", "split_full_join"}, 2),
     "action-union": ({"type"}, {"align_schema"}, "2+"),
