@@ -147,6 +147,31 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 5""",
+    "op5_suffix_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT r, base + i AS p, md5(substr(part, 2 * i + 1, 400)) AS h FROM (
+    SELECT r, base, part, unnest(range(0, len(part) // 2 - 199)) AS i FROM (
+      SELECT r, base, substr(x, 2 * base + 1, 2 * (256 + 199)) AS part FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199, 256)) AS base FROM d WHERE len(x) >= 400)
+    )
+  )
+), again AS (
+  SELECT r, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+), marked AS (
+  SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS first FROM again
+), span AS (
+  SELECT r, min(p) AS s, max(p) + 200 AS e FROM (SELECT r, p, sum(first) OVER (PARTITION BY r ORDER BY p) AS g FROM marked) GROUP BY r, g
+), cut AS (
+  SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS b FROM span
+), kept AS (
+  SELECT r, count(*) AS n_spans, sum(e - s) AS n_removed,
+    string_agg(substr(x, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(x), 2 * max(e) + 1) AS rest
+  FROM cut JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
     "op13_prefix_trie": r"""
 WITH t AS (
   SELECT conv_id AS c, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x,
