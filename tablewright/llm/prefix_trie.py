@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import small, stage
-from tablewright.llm.scan import running
+from tablewright.operators.running import running
 
 FAMILY = 20
 HEADS = 4
@@ -62,7 +62,7 @@ def numbered_turns(conversations: DataFrame, conv_col: str, turn_col: str, role_
         F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary"), 256).alias("digest"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"), F.monotonically_increasing_id().alias("row"),
     )
-    rows = running(rows, ["conv"], ["turn", "digest", "row"], {"at": ("sum", F.lit(1).cast("long"))}, "turns")
+    rows = running(rows, ["conv"], ["turn", "digest", "row"], {"at": ("sum", F.lit(1).cast("long"))})
     return stage(rows.select("conv", (F.col("at") - 1).alias("at"), "digest", "words"), "numbered-turns")
 
 
@@ -91,7 +91,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     (of one turn less), ``words, total``."""
     x1, x2 = _two_words(F.sha2(F.concat(F.col("at").cast("string"), F.lit(":"), "digest").cast("binary"), 256))
     turns = turns.select("conv", "at", "words", "total", x1.alias("x1"), x2.alias("x2"))
-    turns = running(turns, ["conv"], ["at"], {"k1": ("xor", F.col("x1")), "k2": ("xor", F.col("x2"))}, "rebuilt-turns")
+    turns = running(turns, ["conv"], ["at"], {"k1": ("xor", F.col("x1")), "k2": ("xor", F.col("x2"))})
     named = turns.select(
         "conv", (F.col("at") + 1).alias("depth"), "k1", "k2", F.col("k1").bitwiseXOR(F.col("x1")).alias("p1"),
         F.col("k2").bitwiseXOR(F.col("x2")).alias("p2"), "words", "total",
@@ -117,7 +117,7 @@ def tour(nodes: DataFrame) -> DataFrame:
     """The Euler tour as a doubly linked list: ``arc, next, prev, len``.  A
     node's enter arc is twice its number, its exit arc one more."""
     kids = nodes.where("parent is not null").select("node", "parent", "conv_id")
-    kids = running(kids, ["parent"], ["conv_id"], {"nth": ("sum", F.lit(1).cast("long"))}, "siblings")
+    kids = running(kids, ["parent"], ["conv_id"], {"nth": ("sum", F.lit(1).cast("long"))})
     kids = stage(kids, "ordered-siblings")
     first = kids.where("nth = 1").select(F.col("parent").alias("node"), F.col("node").alias("child"))
     after = kids.select("parent", (F.col("nth") - 1).alias("nth"), F.col("node").alias("sibling"))
@@ -177,7 +177,7 @@ def subtree_sums(nodes: DataFrame, far: DataFrame) -> DataFrame:
     arcs = far.select(F.expr("arc div 2").alias("node"), (F.col("arc") % 2).alias("leaving"), (-F.col("far")).alias("place"))
     arcs = arcs.join(nodes.select("node", "leaves", "saves"), "node")
     own = lambda c: F.when(F.col("leaving") == 0, F.col(c)).otherwise(F.lit(0))
-    arcs = running(arcs, [], ["place"], {"sum_leaves": ("sum", own("leaves")), "sum_saves": ("sum", own("saves"))}, "tour-sums")
+    arcs = running(arcs, [], ["place"], {"sum_leaves": ("sum", own("leaves")), "sum_saves": ("sum", own("saves"))})
     at = lambda c: F.max(F.when(F.col("leaving") == 1, F.col(c))) - F.max(F.when(F.col("leaving") == 0, F.col(c)))
     return arcs.groupBy("node").agg(
         (at("sum_leaves") + F.max("leaves")).alias("n_leaves"), (at("sum_saves") + F.max("saves")).alias("saved_tokens")
@@ -206,7 +206,7 @@ def _stream_hash(batches):
 def end_hashes(ends: DataFrame) -> DataFrame:
     """``depth, k1, k2, ends_sha256`` of the conversations (``conv``) that end
     at a node."""
-    ends = running(ends.select(*_KEY, "conv"), _KEY, ["conv"], {"nth": ("sum", F.lit(1).cast("long"))}, "ends")
+    ends = running(ends.select(*_KEY, "conv"), _KEY, ["conv"], {"nth": ("sum", F.lit(1).cast("long"))})
     pieces = ends.withColumn("part", F.expr(f"(nth - 1) div {PIECE_IDS}")).groupBy(*_KEY, "part").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("conv")), lambda c: c.cast("string")), ",").alias("piece")
     )

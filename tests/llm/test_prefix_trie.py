@@ -8,7 +8,7 @@ import pytest
 
 from llm_data import SF_MID, bag
 from tablewright.llm import prefix_trie, queries
-from tablewright.llm.scan import running
+from tablewright.operators.running import running
 from pyspark.sql import functions as F
 
 NAMES = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -95,7 +95,7 @@ def test_odd_rows(spark):
 
 def test_running_totals_in_one_large_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4500, 0).otherwise(F.col("id") % 7).alias("g"), "id", F.xxhash64("id").alias("x"))
-    got = running(df.repartition(6), ["g"], ["id"], {"n": ("sum", F.lit(1).cast("long")), "h": ("xor", F.col("x"))}, "test")
+    got = running(df.repartition(6), ["g"], ["id"], {"n": ("sum", F.lit(1).cast("long")), "h": ("xor", F.col("x"))})
     seen = {}
     for r in sorted(got.collect(), key=lambda r: (r.g, r.id)):
         n, h = seen.get(r.g, (0, 0))
