@@ -1,4 +1,4 @@
-"""Physical-plan summary of every registered query -> PLANS.md.
+"""Physical-plan summary of every table query -> PLANS.md.
 
     python tools/plan_report.py [sf_dir] > PLANS.md
 
@@ -17,7 +17,7 @@ from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from tablewright.plans.workload import QUERIES  # noqa: E402
 from tablewright.session import local_session  # noqa: E402
 
 NODES = [
@@ -54,7 +54,7 @@ def main() -> None:
     print("before AQE re-optimisation (AQE may still turn a sort-merge join into a broadcast join at run time).\n")
     print("| query | operators |")
     print("|---|---|")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
         print(f"| `{name}` | {summary(plan)} |")
