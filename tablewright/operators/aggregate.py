@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import field_type, ident, idents, require_columns
 from ..functions.types import canon
-from .ranks import group_chunks, group_median, group_mode, same_keys
+from .ranks import beside, group_chunks, group_median, group_mode
 from .setops import union
 
 # Metric names of the typed contract, then the extended set.
@@ -148,7 +148,7 @@ def aggregate(
     out = df.groupBy(*keys).agg(*exprs, F.count(F.lit(1)).alias("_tw_rows"))
     for m, alias in ranked:
         source = df.withColumn(m["column"], F.col(m["column"]).cast("long")) if m["agg"] == "median" and isinstance(field_type(df, m["column"]), T.BooleanType) else df
-        out = same_keys(out, RANKED_METRICS[m["agg"]](source, keys, m["column"], alias), keys, "left")
+        out = beside(out, RANKED_METRICS[m["agg"]](source, keys, m["column"], alias), keys)
     return out.select(*keys, *order)
 
 

@@ -23,22 +23,23 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_tw_v")).agg(F.count("*").alias("_tw_n"))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on equal keys, null equal to null; the keys come from the left."""
-    names = {k: f"_tw_k{i}" for i, k in enumerate(keys)}
-    right = right.withColumnsRenamed(names)
+def beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The columns of ``right`` beside those of ``left`` by equal keys, null
+    equal to null; without keys both have one row, ``right`` or none."""
     if not keys:
-        return left.join(right, F.lit(True), how)  # one row each
-    return left.join(right, reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]), how).drop(*names.values())
+        both = left.unionByName(right, allowMissingColumns=True)
+        return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
+    names = {k: f"_tw_k{i}" for i, k in enumerate(keys)}
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(right.withColumnsRenamed(names), same, "left").drop(*names.values())
 
 
 def group_median(df: DataFrame, keys: Sequence[str], column: str, alias: str) -> DataFrame:
     """Exact interpolated median of each group, as Spark's ``median``; groups
     without values are left out."""
     counts = value_counts(df, keys, column)
-    counts = running(counts, keys, ["_tw_v"], {"_tw_upto": ("sum", F.col("_tw_n"))})
-    total = counts.groupBy(*keys).agg(F.sum("_tw_n").alias("_tw_total"))
-    placed = same_keys(counts, total, keys, "inner")
+    counts = running(counts, keys, ["_tw_v"], {"_tw_upto": ("sum", F.col("_tw_n")), "_tw_rest": ("rest", F.col("_tw_n"))})
+    placed = counts.withColumn("_tw_total", F.col("_tw_upto") + F.col("_tw_rest") - F.col("_tw_n"))
     holds = lambda rank: (F.col("_tw_upto") >= rank) & (F.col("_tw_upto") - F.col("_tw_n") < rank)
     low, high = F.expr("(_tw_total + 1) div 2"), F.expr("(_tw_total + 2) div 2")
     v = F.col("_tw_v").cast("double")

@@ -6,7 +6,8 @@ partition's share of a group, and what the other shares hold comes from a table
 of one row for each group and share.  A group that holds all rows is spread
 over all partitions, and nothing but row counts reaches the driver.
 
-Kinds: ``sum`` and ``xor`` of the rows up to and with this one, ``last``
+Kinds: ``sum`` and ``xor`` of the rows up to and with this one, ``rest`` (the
+sum from this row on), ``last``
 (the last value so far that is not null) and ``next`` (the first from this row
 on that is not null).
 """
@@ -34,6 +35,8 @@ _AHEAD = (Window.currentRow, Window.unboundedFollowing)
 def _local(kind: str, c: Column, window) -> Column:
     if kind == "sum":
         return F.sum(c).over(window.rowsBetween(*_BACK))
+    if kind == "rest":
+        return F.sum(c).over(window.rowsBetween(*_AHEAD))
     if kind == "xor":
         return F.bit_xor(c).over(window.rowsBetween(*_BACK))
     if kind == "last":
@@ -45,20 +48,20 @@ def _local(kind: str, c: Column, window) -> Column:
 
 def _of_share(kind: str, c: Column, order: Sequence[str]) -> Column:
     place = F.when(c.isNotNull(), F.struct(*order))
-    return {"sum": F.sum, "xor": F.bit_xor, "last": lambda x: F.max_by(x, place), "next": lambda x: F.min_by(x, place)}[kind](c)
+    return {"sum": F.sum, "rest": F.sum, "xor": F.bit_xor, "last": lambda x: F.max_by(x, place), "next": lambda x: F.min_by(x, place)}[kind](c)
 
 
 def _of_others(kind: str, c: Column, window) -> Column:
     before, after = window.rowsBetween(Window.unboundedPreceding, -1), window.rowsBetween(1, Window.unboundedFollowing)
-    if kind == "sum":
-        return F.coalesce(F.sum(c).over(before), F.lit(0))
+    if kind in ("sum", "rest"):
+        return F.coalesce(F.sum(c).over(before if kind == "sum" else after), F.lit(0))
     if kind == "xor":
         return F.coalesce(F.bit_xor(c).over(before), F.lit(0))
     return F.last(c, ignorenulls=True).over(before) if kind == "last" else F.first(c, ignorenulls=True).over(after)
 
 
 def _joined(kind: str, own: Column, others: Column) -> Column:
-    if kind == "sum":
+    if kind in ("sum", "rest"):
         return own + others
     return own.bitwiseXOR(others) if kind == "xor" else F.coalesce(own, others)
 

@@ -18,6 +18,7 @@ def test_running_values_equal_windows(spark):
     df = spark.createDataFrame(data, "g string, i int, v int").repartition(7)
     totals = {
         "n": ("sum", F.lit(1).cast("long")), "x": ("xor", F.xxhash64("i")), "back": ("last", F.col("v")), "ahead": ("next", F.col("v")),
+        "rest": ("rest", F.col("i").cast("long")),
     }
     for group in (["g"], []):
         got = running(df, group, ["i"], totals, shares=9)

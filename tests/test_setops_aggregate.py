@@ -90,7 +90,7 @@ def test_global_and_booleans(spark):
 def test_unknown_metric_and_alias_clash(spark):
     df = spark.createDataFrame([("a", 1.0)], "g string, x double")
     with pytest.raises(ValueError, match="Unsupported metric"):
-        agg.aggregate(df, ["g"], [{"column": "x", "agg": "implode"}])
+        agg.aggregate(df, ["g"], [{"column": "x", "agg": "histogram"}])
     with pytest.raises(ValueError, match="duplicate"):
         agg.aggregate(df, ["g"], [{"column": "x", "agg": "sum", "alias": "g"}])
 
