@@ -29,20 +29,25 @@ Totals = dict[str, tuple[str, Column]]
 SHARES_BYTES = 8 << 20
 
 _BACK = (Window.unboundedPreceding, Window.currentRow)
-_AHEAD = (Window.currentRow, Window.unboundedFollowing)
+#: Kinds that look ahead run back from the end: Spark computes a frame that
+#: ends there anew at every row, in time that grows with the square.
+_AHEAD = ("rest", "next")
+
+
+def _along(kind: str, partition: Sequence[str], order: Sequence[str]):
+    """The window of a kind, in which all frames begin with the first row."""
+    places = [F.col(c).desc_nulls_last() if kind in _AHEAD else F.col(c).asc_nulls_first() for c in order]
+    return Window.partitionBy(*partition).orderBy(*places)
 
 
 def _local(kind: str, c: Column, window) -> Column:
-    if kind == "sum":
-        return F.sum(c).over(window.rowsBetween(*_BACK))
-    if kind == "rest":
-        return F.sum(c).over(window.rowsBetween(*_AHEAD))
+    window = window.rowsBetween(*_BACK)
+    if kind in ("sum", "rest"):
+        return F.sum(c).over(window)
     if kind == "xor":
-        return F.bit_xor(c).over(window.rowsBetween(*_BACK))
-    if kind == "last":
-        return F.last(c, ignorenulls=True).over(window.rowsBetween(*_BACK))
-    if kind == "next":
-        return F.first(c, ignorenulls=True).over(window.rowsBetween(*_AHEAD))
+        return F.bit_xor(c).over(window)
+    if kind in ("last", "next"):
+        return F.last(c, ignorenulls=True).over(window)
     raise ValueError(f"no running value {kind!r}")
 
 
@@ -52,12 +57,12 @@ def _of_share(kind: str, c: Column, order: Sequence[str]) -> Column:
 
 
 def _of_others(kind: str, c: Column, window) -> Column:
-    before, after = window.rowsBetween(Window.unboundedPreceding, -1), window.rowsBetween(1, Window.unboundedFollowing)
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
     if kind in ("sum", "rest"):
-        return F.coalesce(F.sum(c).over(before if kind == "sum" else after), F.lit(0))
+        return F.coalesce(F.sum(c).over(before), F.lit(0))
     if kind == "xor":
         return F.coalesce(F.bit_xor(c).over(before), F.lit(0))
-    return F.last(c, ignorenulls=True).over(before) if kind == "last" else F.first(c, ignorenulls=True).over(after)
+    return F.last(c, ignorenulls=True).over(before)
 
 
 def _joined(kind: str, own: Column, others: Column) -> Column:
@@ -68,8 +73,7 @@ def _joined(kind: str, own: Column, others: Column) -> Column:
 
 def running_in_windows(df: DataFrame, group: Sequence[str], order: Sequence[str], totals: Totals) -> DataFrame:
     """The same values by plain windows: each group in one task."""
-    window = Window.partitionBy(*group).orderBy(*order)
-    return df.select("*", *[_local(kind, c, window).alias(name) for name, (kind, c) in totals.items()])
+    return df.select("*", *[_local(kind, c, _along(kind, group, order)).alias(name) for name, (kind, c) in totals.items()])
 
 
 def running(df: DataFrame, group: Sequence[str], order: Sequence[str], totals: Totals, shares: int | None = None) -> DataFrame:
@@ -83,10 +87,9 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[str], totals: T
     df = df.repartitionByRange(*([shares] if shares else []), *group, *order)
     df = write_staging(df.withColumn("_tw_share", F.spark_partition_id()))
     sums = df.groupBy(*share).agg(*[_of_share(kind, F.col(f"_tw_in_{name}"), order).alias(name) for name, (kind, _) in totals.items()])
-    along = Window.partitionBy(*group).orderBy("_tw_share")
-    sums = write_staging(sums.select(*share, *[_of_others(kind, F.col(n), along).alias(f"_tw_other_{n}") for n, (kind, _) in totals.items()]))
-    here = Window.partitionBy(*share).orderBy(*order)
-    df = df.select("*", *[_local(kind, F.col(f"_tw_in_{name}"), here).alias(name) for name, (kind, _) in totals.items()])
+    others = {f"_tw_other_{n}": _of_others(kind, F.col(n), _along(kind, group, ["_tw_share"])) for n, (kind, _) in totals.items()}
+    sums = write_staging(sums.select(*share, *[c.alias(n) for n, c in others.items()]))
+    df = df.select("*", *[_local(kind, F.col(f"_tw_in_{name}"), _along(kind, share, order)).alias(name) for name, (kind, _) in totals.items()])
     names = {c: f"_tw_key{i}" for i, c in enumerate(share)}
     sums = sums.withColumnsRenamed(names)
     df = df.join(maybe_broadcast(sums, SHARES_BYTES), reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]))

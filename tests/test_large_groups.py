@@ -29,6 +29,16 @@ def test_running_values_equal_windows(spark):
         running_in_windows(df, [], ["i"], {"q": ("product", F.col("i"))})
 
 
+def test_no_frame_ends_with_the_last_row(spark):
+    # Spark adds such a frame up anew at every row
+    df = spark.range(50).select((F.col("id") % 2).alias("g"), "id")
+    totals = {"rest": ("rest", F.col("id")), "ahead": ("next", F.col("id"))}
+    median = agg.aggregate(df, ["g"], [{"column": "id", "agg": "median"}], large_groups=True)
+    for out in (median, running(df, ["g"], ["id"], totals), running_in_windows(df, ["g"], ["id"], totals)):
+        plan = out._jdf.queryExecution().executedPlan().toString().lower()
+        assert "currentrow$()" in plan and "unboundedfollowing" not in plan
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_median_and_mode_of_large_groups(spark, seed):
     rnd = random.Random(seed)
