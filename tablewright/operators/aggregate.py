@@ -2,7 +2,9 @@
 
 ``aggregate`` is one ``groupBy().agg()``: Spark plans a partial aggregate
 before the shuffle and a final one after it, so a hot group is pre-reduced on
-every map task.  ``median`` and ``mode`` keep a group's values in one buffer
+every map task.  Exact distinct counts and distinct-count sketches are
+aggregated apart, as Spark would otherwise keep a sketch for each distinct
+value.  ``median`` and ``mode`` keep a group's values in one buffer
 there; ``large_groups=True`` takes them from ranked value counts instead
 (``ranks``), with the same result.  ``implode`` gives a group's values in
 lists of at most ``chunk_rows``, several rows for a large group, and stands
@@ -26,6 +28,7 @@ from .setops import union
 CORE_METRICS = ("sum", "min", "max", "mean", "median", "count", "n_unique", "first", "last")
 EXTENDED_METRICS = ("std", "var", "product", "any", "all", "null_count", "len", "mode", "skewness", "kurtosis", "approx_n_unique", "sketch", "implode")
 RANKED_METRICS = {"median": group_median, "mode": group_mode}
+SKETCHES = ("approx_n_unique", "sketch")
 CHUNK_ROWS = 10_000
 #: log2 of a sketch's registers: a relative standard error of 1.04 / 64.
 SKETCH_BITS = 12
@@ -117,7 +120,8 @@ def aggregate(
     require_columns(df, keys)
     if not metrics:
         raise ValueError("aggregate needs at least one metric")
-    exprs, ranked, order, names = [], [], [], set(k.lower() for k in keys)
+    exprs, ranked, sketches, order, names = [], [], [], [], set(k.lower() for k in keys)
+    distinct = any(m["agg"] == "n_unique" for m in metrics)
     for m in metrics:
         extra = set(m) - {"column", "agg", "alias"}
         if extra:
@@ -138,14 +142,16 @@ def aggregate(
         if large_groups and m["agg"] in RANKED_METRICS and not (m["agg"] == "median" and approx_median):
             ranked.append((m, alias))
             continue
-        exprs.append(
+        (sketches if distinct and m["agg"] in SKETCHES else exprs).append(
             metric_column(
                 df, m["column"], m["agg"], order_by=order_by, approx_median=approx_median, null_sum_as_zero=null_sum_as_zero
             ).alias(alias)
         )
-    if not ranked:
+    if not ranked and not sketches:
         return df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
     out = df.groupBy(*keys).agg(*exprs, F.count(F.lit(1)).alias("_tw_rows"))
+    if sketches:
+        out = beside(out, df.groupBy(*keys).agg(*sketches), keys)
     for m, alias in ranked:
         source = df.withColumn(m["column"], F.col(m["column"]).cast("long")) if m["agg"] == "median" and isinstance(field_type(df, m["column"]), T.BooleanType) else df
         out = beside(out, RANKED_METRICS[m["agg"]](source, keys, m["column"], alias), keys)

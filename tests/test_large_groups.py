@@ -100,6 +100,25 @@ def test_sketches_merge_over_loads(spark):
     assert agg.aggregate(df, [], [{"column": "d", "agg": "sketch"}]).count() == 1
 
 
+def test_no_sketch_for_each_distinct_value(spark):
+    data = [(None if i % 4 == 0 else i % 4, None if i % 10 == 0 else i % 997) for i in range(4000)]
+    df = spark.createDataFrame(data, "g int, v int")
+    metrics = [{"column": "v", "agg": a} for a in ("n_unique", "approx_n_unique", "sketch", "len")]
+    for keys in (["g"], []):
+        out = agg.aggregate(df, keys, metrics)
+        assert out.columns == [*keys, *[f"v_{m['agg']}" for m in metrics]]
+        rows = out.collect()
+        assert len(rows) == (4 if keys else 1)
+        for r in rows:
+            values = [v for g, v in data if not keys or g == r.g]
+            assert r.v_len == len(values) and r.v_n_unique == len(set(values))
+            assert abs(r.v_approx_n_unique - r.v_n_unique) <= 0.05 * r.v_n_unique
+        steps = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        sketches = [x for x in steps if "approx_count_distinct" in x or "hll_sketch" in x]
+        assert sketches and all(f"keys=[{', '.join(keys)}" in x and ", v#" not in x.split("functions=")[0] for x in sketches)
+        assert not any("v#" in x.split("functions=")[0] or "count(distinct" in x for x in sketches)
+
+
 @pytest.mark.parametrize("changes", [0, 3, 400])
 def test_changes_by_digests_equal_the_whole_comparison(spark, changes):
     rnd = random.Random(changes)
