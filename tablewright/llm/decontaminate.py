@@ -30,11 +30,13 @@ from tablewright.llm.common import ascii_lower, small, stage
 
 WINDOW = 13
 ANCHORS = 2
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: What stands between words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(1))
+    # regexp_extract_all copies the text at every match
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 @dataclass

@@ -1,6 +1,8 @@
 import duckdb
 import re
 
+from pyspark.sql import functions as F
+
 from llm_data import SF_MID, bag
 from tablewright.llm import decontaminate, queries
 
@@ -37,6 +39,14 @@ def slow(doc, items, size=13):
     return len(words), len(hit), sorted(named)
 
 
+def test_words_are_split_without_copies_of_the_text(spark):
+    texts = [None, "", " ", "a", " Ab,cD ", "\x00x\x7fY\x80z", "é\u0130\u212a9{ß`", "\n\nq😀w\u2028e", "--", "x" * 5000 + " Y" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", decontaminate.words(F.col("t")).alias("w"))
+    assert {r.i: r.w for r in df.collect()} == {i: words_of(t) for i, t in enumerate(texts)}
+    # its matches each copy the whole text
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_short_items_repeats_and_odd_rows(spark, odd):
     w = [f"w{i}" for i in range(40)]
     docs = [
