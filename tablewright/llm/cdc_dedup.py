@@ -10,7 +10,7 @@ such chunks of at least ``MIN_RUN`` bytes, or make up the whole text.
 A digest's chunks meet in one shuffle and are ranked by a streamed window, so
 no group is held in memory.  Digests with more rows than an even share of a
 task are found in a sample first, which decides their way only: their first
-places come from partial aggregates and are broadcast back to their chunks.
+places come from partial aggregates, and their other chunks need no shuffle.
 Texts are not shuffled.
 
 Defined cases: a null or empty text has no chunks; repeated rows, and rows that
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import stage
 
-MIN_BYTES = 24
-MEAN_BITS = 6
+# A passage loses a part of a chunk at each end, and has to keep a run of
+# MIN_RUN bytes: chunks are 44 bytes on average, so a few sentences are found.
+MIN_BYTES = 12
+MEAN_BITS = 5
 MAX_BYTES = 512
 MIN_RUN = 100
 # hot digests are sought in one chunk of HOT_SAMPLE, where they occur HOT_LEAST times or more
@@ -109,16 +111,25 @@ def repeated_chunks(chunks: DataFrame) -> DataFrame:
     one = chunks.select(
         "doc_id", "row", F.explode(F.expr("transform(high, (h, i) -> struct(i, h AS high, low[i] AS low, starts[i + 1] - starts[i] AS n))")).alias("c")
     ).select("doc_id", "row", "c.*").where(F.col("n") >= MIN_BYTES).drop("n")
-    hot = F.broadcast(hot_digests(one))  # at most one row a shuffle partition
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "i")
-    hot_rows = one.join(hot, "high", "left_semi")
-    first = hot_rows.groupBy("high", "low").agg(F.min(place).alias("first"))
-    hot_gone = hot_rows.join(F.broadcast(first), ["high", "low"]).where(place != F.col("first"))
+    # at most one digest a shuffle partition, and a first place of each
+    hot = _among(["high"], hot_digests(one))
+    first = one.where(hot).groupBy("high", "low").agg(F.min(place).alias("first"))
+    hot_gone = one.where(hot).where(~_among(["row", "i"], first.select("first.row", "first.i")))
     order = Window.partitionBy("high", "low").orderBy(F.asc_nulls_last("doc_id"), "row", "i")
-    gone = one.join(hot, "high", "left_anti").withColumn("rank", F.row_number().over(order)).where("rank > 1")
+    gone = one.where(~hot).withColumn("rank", F.row_number().over(order)).where("rank > 1")
     return gone.select("row", "i").union(hot_gone.select("row", "i"))
 
 
+def _among(columns: list[str], rows: DataFrame) -> Column:
+    """Whether whole numbers, none of them null, are among the few ``rows``."""
+    found = [tuple(r) for r in rows.collect()]
+    if not found:
+        return F.lit(False)
+    values = ", ".join(f"({', '.join(f'{x}L' for x in r)})" for r in found)
+    return F.expr(f"({', '.join(f'CAST({c} AS BIGINT)' for c in columns)}) IN ({values})")
+
+
 def joined_spans(starts: Column, gone: Column) -> Column:
     """Byte ranges of the chunks ``gone``, joined where they touch; ranges
     under ``MIN_RUN`` bytes stay, unless they are the whole text."""

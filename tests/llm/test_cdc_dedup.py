@@ -62,6 +62,21 @@ def test_insertions_move_cuts_locally():
     assert len(chunks(data) - chunks(data[:5000] + b"inserted" + data[5000:])) <= 4
 
 
+def test_passages_of_a_few_sentences_are_found(spark):
+    # passages of 51 to 80 words, each put into two texts of their own
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 10))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choices(vocab, k=n))
+    passages = [text(rng.randrange(51, 81)) for _ in range(300)]
+    put = lambda p: f"{text(rng.randrange(40))} {p} {text(rng.randrange(40))}"
+    rows = [(i, put(p)) for i, p in enumerate(passages * 2)] + [(1000 + i, text(200)) for i in range(300)]
+    got = {r.doc_id: r.n_removed for r in cdc_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert not any(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(300))
+    # at least half of the passage goes from the later text, and never more than it
+    assert all(got[300 + i] <= len(p) + 2 for i, p in enumerate(passages))
+    assert sum(2 * got[300 + i] >= len(p) for i, p in enumerate(passages)) >= 0.85 * 300
+
+
 def test_odd_rows(spark, odd):
     extra = odd.union(odd.where("doc_id = 4")).selectExpr("*", "1 AS d", "2 AS s")
     got = cdc_dedup.dedup(extra).collect()
