@@ -12,7 +12,9 @@ indices of its distinct words, and asks the count tables, partitioned by key
 hash, once for each distinct key.  A partition adds the counts of all blocks
 and answers each; the first block that trained a pair counts it in its
 context's sums.  So rows are exchanged once for each distinct key of a block,
-not for each token, and no key is hot: every block sends it once.
+not for each token, and no key is hot: every block sends it once.  A block is
+small enough that the arrays over its tokens stay a few MB each; sorted keys
+travel as six bytes each and the steps of the other two.
 
 Keys are 64-bit hashes of words and of pairs.  Defined cases: a null or empty
 text is its end token alone; repeated rows are trained on and scored each;
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ from tablewright.llm.common import stage
 
 KEEP = 5
 SLIGHT = 0.01
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 PART_BYTES = 8 << 20
 
 _BEGIN = np.uint64(0x243F6A8885A308D3)
@@ -42,16 +45,42 @@ WORD, PAIR = 0, 1
 
 
 def _pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    x = before * _MIX + (words ^ (words >> np.uint64(31)))
+    """Keys of pairs; both arrays are overwritten."""
+    x, w = before, words
+    w ^= w >> np.uint64(31)
+    x *= _MIX
+    x += w
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(27))
+    x ^= x >> np.uint64(27)
+    return x
 
 
 def _pack(a: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(a, dtype=kind).tobytes()
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: how many, the high two bytes of the first, the low six
+    bytes of each, the steps of the high two."""
+    high = (keys >> np.uint64(48)).astype(np.int64)
+    low = _pack(keys, "<u8")
+    low = np.frombuffer(low, "u1").reshape(-1, 8)[:, :6]
+    return _pack([len(keys), *high[:1]], "<i8") + _pack(low, "u1") + _small(np.diff(high)) if len(keys) else b""
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    n, first = np.frombuffer(data, "<i8", 2).tolist()
+    keys = np.zeros((n, 8), "u1")
+    keys[:, :6] = np.frombuffer(data, "u1", 6 * n, 16).reshape(n, 6)
+    keys = keys.view("<u8").ravel()
+    high = np.cumsum(np.append(first, _unsmall(data[16 + 6 * n :])))
+    keys |= high.astype(np.uint64) << np.uint64(48)
+    return keys
+
+
 class _Words(dict):
     """Hash of a word; the table is emptied when it grows too large."""
 
@@ -68,7 +97,22 @@ def _names(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
 
-BLOCKS = "block long, ids array<long>, train binary, lengths binary, words binary, index binary"
+BLOCKS = "block long, ids array<long>, tokens long, train binary, lengths binary, words binary, index binary"
+
+#: Rows of a batch that are Python objects at one time.
+SLICE_ROWS = 200
+
+
+def _slices(batch: pa.RecordBatch, rows: int):
+    """The batch's rows as dictionaries, few at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield from batch.slice(i, rows).to_pylist()
+
+
+def _record(row: tuple, ddl: str) -> pa.RecordBatch:
+    """A batch of one row, whose columns are long, binary or array<long>."""
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([pa.array([x], kinds[c.split()[1]]) for x, c in zip(row, ddl.split(", "))], _names(ddl))
 
 
 def blocks(documents: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
@@ -84,19 +128,18 @@ def blocks(documents: DataFrame, train: Column, id_col: str, text_col: str) -> D
         def flush():
             tokens = np.concatenate([h for _, _, h in held])
             words, index = np.unique(tokens, return_inverse=True)
-            kind = "<u2" if len(words) <= 1 << 16 else "<u4"
             row = (
-                uuid.uuid4().int >> 65, [None if pd.isna(i) else int(i) for i, _, _ in held], _pack([t for _, t, _ in held], "u1"),
-                _pack([len(h) for _, _, h in held], "<i8"), _pack(words, "<u8"), _pack(index, kind),
+                uuid.uuid4().int >> 65, [i for i, _, _ in held], len(tokens), _pack([t for _, t, _ in held], "u1"),
+                _pack([len(h) for _, _, h in held], "<i8"), _pack_keys(words), _pack(index & 0xFFFF, "<u2") + _small(index >> 16),
             )
             held.clear()
-            return pd.DataFrame([row], columns=_names(BLOCKS))
+            return _record(row, BLOCKS)
 
         end, size = _Words()[b"\xff end"], 0
-        for rows in batches:
-            for i, flag, text in zip(rows["id"], rows["train"], rows["text"]):
-                h = np.array([hashes[w] for w in (text or "").encode().lower().split()] + [end], dtype=np.uint64)
-                held.append((i, bool(flag), h))
+        for batch in batches:
+            for r in _slices(batch, SLICE_ROWS):
+                h = np.array([hashes[w] for w in (r["text"] or "").encode().lower().split()] + [end], dtype=np.uint64)
+                held.append((r["id"], r["train"], h))
                 size += len(h)
                 if size >= BLOCK_TOKENS:
                     size = 0
@@ -105,7 +148,7 @@ def blocks(documents: DataFrame, train: Column, id_col: str, text_col: str) -> D
             yield flush()
 
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    return docs.mapInPandas(run, BLOCKS)
+    return docs.mapInArrow(run, BLOCKS)
 
 
 @dataclass
@@ -123,16 +166,17 @@ class _Block:
         return np.unique(_pair_keys(contexts[self.before], self.words[self.index]), return_inverse=True)
 
 
-def _open(r) -> _Block:
-    words = np.frombuffer(r.words, "<u8")
-    index = np.frombuffer(r.index, "<u2" if len(words) <= 1 << 16 else "<u4").astype(np.int32)
-    lengths = np.frombuffer(r.lengths, "<i8")
+def _open(r: dict) -> _Block:
+    words = _unpack_keys(r["words"])
+    index = np.frombuffer(r["index"], "<u2", r["tokens"]).astype(np.int32)
+    index |= _unsmall(r["index"][2 * len(index) :]).astype(np.int32) << 16
+    lengths = np.frombuffer(r["lengths"], "<i8")
     before = np.empty_like(index)
     before[1:] = index[:-1]
     before[(np.cumsum(lengths) - lengths)] = len(words)
-    train = np.frombuffer(r.train, "u1").astype(bool)
+    train = np.frombuffer(r["train"], "u1").astype(bool)
     return _Block(
-        list(r.ids), lengths, words, index, before, np.repeat(train, lengths), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        list(r["ids"]), lengths, words, index, before, np.repeat(train, lengths), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     )
 
 
@@ -145,21 +189,26 @@ ASKED = "level int, part long, block long, keys binary, counts binary"
 
 def _ask(parts: int):
     """Distinct keys of a block with their counts in its training documents,
-    cut by partition; keys are sorted, so a partition is a range of them."""
+    cut by partition; keys are sorted, so a partition is a range of them.
+    Words are fewer than pairs and have a third of the partitions."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def cut(block: int, level: int, parts: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        part = _partition_of(keys, parts)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]))
+        rows = [(level, int(part[i]), block, _pack_keys(keys[i:j]), _small(counts[i:j])) for i, j in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _names(ASKED))
+
+    def asked(r: dict) -> list[pa.RecordBatch]:
+        b = _open(r)
+        words = cut(r["block"], WORD, max(1, parts // 3), b.words, np.bincount(b.index[b.taught], minlength=len(b.words)))
+        keys, inverse = b.pairs()
+        return [words, cut(r["block"], PAIR, parts, keys, np.bincount(inverse[b.taught], minlength=len(keys)))]
 
     def run(batches):
-        for rows in batches:
-            for r in rows.itertuples():
-                b = _open(r)
-                keys, inverse = b.pairs()
-                for level, k, inv in ((WORD, b.words, b.index), (PAIR, keys, inverse)):
-                    counts = np.bincount(inv[b.taught], minlength=len(k))
-                    part = _partition_of(k, parts)
-                    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(k)])) if len(k) else np.zeros(1, int)
-                    yield pd.DataFrame(
-                        [(level, int(part[i]), r.block, _pack(k[i:j], "<u8"), _small(counts[i:j])) for i, j in zip(cuts, cuts[1:])],
-                        columns=_names(ASKED),
-                    )
+        for batch in batches:
+            for r in _slices(batch, 1):
+                yield from asked(r)
 
     return run
 
@@ -187,7 +236,7 @@ def _answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     first that trained the key, and (in the first row) how many keys have
     each count up to KEEP + 1, all keys and all counts."""
     rows = rows.sort_values("block")
-    keys = [np.frombuffer(k, "<u8") for k in rows["keys"]]
+    keys = [_unpack_keys(k) for k in rows["keys"]]
     counts = [_unsmall(c) for c in rows["counts"]]
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     flat = np.concatenate(counts)
@@ -257,31 +306,34 @@ def _score(model: Model):
     of contexts over the pairs that this block counts."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        b = _open(next(left.itertuples()))
+        b = _open(left.iloc[0].to_dict())
         right = right.sort_values(["level", "part"])
         word_total, pair_total = (np.concatenate([_unsmall(x) for x in right["totals"][right["level"] == k]]) for k in (WORD, PAIR))
         first = np.concatenate([_unsmall(x) for x in right["own"][right["level"] == PAIR]]).astype(bool)
         inverse = b.pairs()[1]
-        c_word, c_pair, p_word, docs = word_total[b.index], pair_total[inverse], model.word(word_total), len(b.ids)
+        p_word, p_pair, docs = model.word(word_total), kept(model.pairs, pair_total), len(b.ids)
         # a word is followed as often as it occurs, a beginning as often as an end occurs
         context = np.append(b.words, _BEGIN).view(np.int64)
-        c_context = np.append(word_total, word_total[b.index[-1]])[b.before]
+        context_total = np.append(word_total, word_total[b.index[-1]])
 
         at = np.unique(inverse, return_index=True)[1][first]
-        sums = pd.DataFrame({"key": context[b.before[at]], "n": c_pair[at], "base": kept(model.pairs, c_pair[at]), "score": p_word[b.index[at]]})
-        sums = sums.groupby("key", as_index=False).sum()
+        follows = lambda x: np.bincount(b.before[at], x, len(context))
+        has = np.flatnonzero(follows(None))
+        sums = pd.DataFrame({
+            "key": context[has], "n": follows(pair_total[first])[has], "base": follows(p_pair[first])[has], "score": follows(p_word[b.index[at]])[has]
+        })
 
-        seen = c_pair > 0
-        p = np.where(seen, kept(model.pairs, c_pair) / np.maximum(c_context, 1), p_word[b.index])
+        seen = (pair_total > 0)[inverse]
+        p = np.where(seen, p_pair[inverse] / np.maximum(context_total, 1)[b.before], p_word[b.index])
         done = pd.DataFrame({
             "row": np.arange(docs), "id": pd.Series(b.ids, dtype=object), "n": b.lengths,
-            "known": np.bincount(b.doc, c_word > 0, docs).astype(np.int64),
-            "base": np.bincount(b.doc, np.log10((c_word + 1) / (model.tokens + model.types + 1)), docs),
+            "known": np.bincount(b.doc, (word_total > 0)[b.index], docs).astype(np.int64),
+            "base": np.bincount(b.doc, np.log10((word_total + 1) / (model.tokens + model.types + 1))[b.index], docs),
             "score": np.bincount(b.doc, np.log10(p), docs),
         })
-        wait = np.flatnonzero(~seen & (c_context > 0))
-        pend = pd.DataFrame({"row": b.doc[wait], "key": context[b.before[wait]]})
-        pend = pend.groupby(["row", "key"], as_index=False).size().rename(columns={"size": "n"})
+        wait = np.flatnonzero(~seen & (context_total > 0)[b.before])
+        pair, n = np.unique(b.doc[wait].astype(np.int64) * len(context) + b.before[wait], return_counts=True)
+        pend = pd.DataFrame({"row": pair // len(context), "key": context[pair % len(context)], "n": n})
         out = [done.assign(kind=DOC, key=0), pend.assign(kind=PENDING, id=None, known=0, base=0.0, score=0.0), sums.assign(kind=CONTEXT, row=0, id=None, known=0)]
         out = pd.concat([x.assign(block=key[0])[_names(SCORED)] for x in out if len(x)])
         return out.astype({"kind": "int32", "row": "int32", "key": "int64", "n": "int64", "known": "int64"})
@@ -293,9 +345,9 @@ def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     """``doc_id, n_tokens, n_known, base_score, score`` for every row (log10),
     and the global figures.  ``train`` is a condition on ``documents``."""
     read = stage(blocks(documents, train, id_col, text_col), "blocks")
-    size = read.agg(F.sum(F.octet_length("words") + 4 * F.octet_length("index"))).first()[0]
-    parts = max(1, -(-int(size or 0) // PART_BYTES))
-    asked = read.mapInPandas(_ask(parts), ASKED)
+    tokens = read.agg(F.sum("tokens")).first()[0]
+    parts = max(1, -(-8 * int(tokens or 0) // PART_BYTES))
+    asked = read.mapInArrow(_ask(parts), ASKED)
     answered = stage(asked.groupBy("level", "part").applyInPandas(_answer, ANSWERED), "totals")
     hists: dict[int, np.ndarray] = {}
     for level, i, n in (

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -84,3 +85,27 @@ def test_odd_rows(odd):
     none, model = katz.score(odd, F.lit(None).cast("boolean"))
     assert model.tokens == 0 and {r.score for r in none.collect()} == {0.0}
     assert katz.score(odd.limit(0), F.lit(True))[0].count() == 0
+
+
+def test_sorted_keys_take_little_over_six_bytes():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 1000, 100_000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert np.array_equal(katz._unpack_keys(katz._pack_keys(keys)), keys)
+    assert len(katz._pack_keys(keys)) < 6.5 * len(keys)
+    edge = np.array([0, 1, (1 << 48) - 1, 1 << 48, (1 << 64) - 1], dtype=np.uint64)
+    assert np.array_equal(katz._unpack_keys(katz._pack_keys(edge)), edge)
+
+
+def test_a_block_takes_little_memory(spark):
+    """Peak of the asking step over a partition of 1.2 million tokens; with
+    blocks of a million tokens it took 74 MB."""
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(map(str, rng.integers(0, 400_000, 30_000)))) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    batches = katz.blocks(df, F.lit(True), "doc_id", "text").toArrow().to_batches()
+    tracemalloc.start()
+    keys = sum(len(katz._unpack_keys(k)) for b in katz._ask(4)(iter(batches)) for k in b["keys"].to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys > 1_200_000 and peak < 60e6
