@@ -31,7 +31,7 @@ END_ID = 1
 MAX_LEN = 2048
 
 #: Words kept in a worker's table of ids, in two halves.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 # Text of these characters only needs no Unicode normalisation, and its white
 # space is the same for Python and the tokenizer; other texts take the
@@ -48,6 +48,16 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if 33 <= b <= 126 or 161 <= b <= 255 and b != 173 else next(free) for b in range(256)}
 
 
+class _Newer(dict):
+    """The newer half of a table; a word that it lacks is asked for once."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        return self.find(word)
+
+
 class WordIds:
     """Token ids of a text as little-endian uint32 bytes.  Parts of a word
     never cross white space, so ids are looked up word by word.  The table has
@@ -61,31 +71,33 @@ class WordIds:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words: dict[str, bytes] = {}
+        self.words = _Newer(self._find)
         self.older: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(self.letters)
-        return b"".join([self.ids[t.id] for t in self.model.tokenize(part)])
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.model.tokenize(part)])
 
-    def _word(self, word: str) -> bytes:
-        out = self.words.get(word) or self.older.get(word)
+    def _find(self, word: str) -> bytes:
+        out = self.older.get(word)
         if out is None:
-            parts = _PARTS.findall(word)
-            out = self._part(word) if len(parts) == 1 else b"".join(map(self._word, parts))
+            # letters alone are one part
+            parts = () if word.isalpha() else _PARTS.findall(word)
+            out = self._part(word) if len(parts) < 2 else b"".join([self.words[p] for p in parts])
         if len(word) <= 64:
             if len(self.words) >= CACHE_WORDS // 2:
-                self.older, self.words = self.words, {}
+                self.older = dict(self.words)
+                self.words.clear()
             self.words[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or "<|" in text and any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        get, word = self.words.get, self._word
-        return b"".join([get(w) or word(w) for w in text.lower().split()])
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 @functools.lru_cache(maxsize=2)

@@ -62,3 +62,18 @@ def test_buckets_hold_one_length(odd, spark, tmp_path):
     packing.write_buckets(packing.pack(odd), str(tmp_path / "b"))
     for r in spark.read.parquet(str(tmp_path / "b")).select("bucket", "length").distinct().collect():
         assert r.length == 1 << r.bucket
+
+
+def test_a_known_word_is_one_lookup(monkeypatch):
+    """Each distinct word is worked out once, words of letters without the
+    word pattern; a text of known words asks the table only."""
+    words = packing.WordIds(packing.vocabulary_path())
+    calls, find = [], words._part
+    monkeypatch.setattr(words, "_part", lambda p: calls.append(p) or find(p))
+    rng = random.Random(4)
+    text = [f"{''.join(rng.choices('aeioulnrst', k=9))}{'.' if i % 5 == 0 else ''}" for i in range(150_000)]
+    ids = [words.encode(" ".join(text[i : i + 1000])) for i in range(0, len(text), 1000)]
+    asked = len(calls)
+    assert asked <= len({t.rstrip(".") for t in text}) + 1
+    assert [words.encode(" ".join(text[i : i + 1000])) for i in range(0, len(text), 1000)] == ids
+    assert len(calls) == asked
